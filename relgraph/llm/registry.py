@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, token_counts
+from . import chat, exact_dedup, language_id, line_dedup, mixing, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op4_mixing": mixing.query,
+    "op6_toxicity": toxicity.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_line_dedup": line_dedup.query,
     "op9_chat_formatting": chat.query,
+    "op10_language_id": language_id.query,
 }
 
 SQL = {
