@@ -1,6 +1,473 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries and their SQL counterparts (DuckDB), by name."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hilbert
+from ..operators import components, generic_join, motifs, pagerank, prep
+from ..operators.mis import maximal_independent_set
+from ..session import hold, shared_dir
+from ..sources import codecs, graphs
+from ..streaming import epochs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+_LINE = "select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b using (l_orderkey) where a.l_partkey < b.l_partkey"
+COPART = f"copart as materialized ({_LINE})"
+COPART_S = f"copart_s as materialized ({_LINE} and a.l_quantity >= 40 and a.l_returnflag = 'R' and b.l_quantity >= 40 and b.l_returnflag = 'R')"
+TRANS = "trans as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst from events) where dst is not null and src <> dst)"
+PS = "ps as materialized (select distinct l_partkey as src, l_suppkey as dst from lineitem where l_partkey <> l_suppkey)"
+NORM = "norm as materialized (select distinct least(src, dst) as src, greatest(src, dst) as dst from trans where src <> dst)"
+SYM_S = "sym as materialized (select src, dst from copart_s union select dst, src from copart_s)"
+DEG_S = "deg as materialized (select v, count(*) as degree from (select src as v from copart_s union all select dst from copart_s) group by v)"
+
+
+def _register(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sum(column: str) -> str:
+    return f"cast(coalesce(sum({column}), 0) as bigint)"
+
+
+# --- preparation -------------------------------------------------------------------------------------------------------
+
+
+@_register(f"with {TRANS} select distinct least(src, dst) as src, greatest(src, dst) as dst from trans where src <> dst")
+def graph_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.normalize(graphs.trans(spark, sf_dir))
+
+
+@_register(f"with {COPART_S}, {SYM_S} select src, dst from sym")
+def graph_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.symmetrize(graphs.copart_s(spark, sf_dir))
+
+
+@_register(f"with {PS} select dst as src, src as dst from ps")
+def graph_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.transpose(graphs.ps(spark, sf_dir))
+
+
+@_register("select l_partkey as src, l_suppkey as dst from lineitem where l_partkey <> l_suppkey")
+def self_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.drop_self_loops(graphs.edges(graphs.table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey"))
+
+
+@_register(f"with {PS} select src as v, count(*) as degree from ps group by src")
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.out_degree(graphs.ps(spark, sf_dir))
+
+
+@_register(f"with {PS} select dst as v, count(*) as degree from ps group by dst")
+def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.in_degree(graphs.ps(spark, sf_dir))
+
+
+@_register(f"with {COPART} select v, count(*) as degree from (select src as v from copart union all select dst from copart) group by v")
+def degree_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.degree(graphs.copart(spark, sf_dir))
+
+
+@_register(f"with {COPART} select distinct src as v, (select count(distinct src) from copart) as total from copart")
+def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = hold(generic_join.distinct_values(graphs.copart(spark, sf_dir), "src"))
+    return values.withColumn("total", F.lit(values.count()))
+
+
+@_register(f"with {COPART} select src as key, count(*) as n, min(dst) as least, max(dst) as most, cast(sum(dst) as bigint) as total from copart group by src")
+def adjacency_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = generic_join.build_index(graphs.copart(spark, sf_dir), "src", "dst").lists
+    return lists.select("key", "n", F.element_at("vs", 1).alias("least"), F.element_at("vs", -1).alias("most"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@_register(f"with {PS} select src, degree, cast(sum(degree) over (order by src rows unbounded preceding) - degree as bigint) as first from (select src, count(*) as degree from ps group by src)")
+def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.offsets(graphs.ps(spark, sf_dir))
+
+
+@_register(f"with {PS} select src, cast((row_number() over (partition by src order by dst) - 1) // 16 as bigint) as chunk, dst from ps")
+def adjacency_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prep.adjacency(graphs.ps(spark, sf_dir), chunk=16)
+    return rows.select("src", F.col("chunk").cast("long").alias("chunk"), F.explode("neighbours").alias("dst"))
+
+
+_ENDS = "select e.src, e.dst, a.degree as da, b.degree as db from copart_s e join deg a on a.v = e.src join deg b on b.v = e.dst"
+
+
+@_register(f"with {COPART_S}, {DEG_S}, e as ({_ENDS}) select case when da < db or (da = db and src < dst) then src else dst end as src, case when da < db or (da = db and src < dst) then dst else src end as dst from e")
+def orient_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.orient_by_degree(graphs.copart_s(spark, sf_dir))
+
+
+@_register(f"with {COPART_S}, {DEG_S}, e as ({_ENDS}) select case when da <= db then src else dst end as src, case when da <= db then dst else src end as dst from e")
+def swap_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.swap_by_degree(graphs.copart_s(spark, sf_dir))
+
+
+@_register(f"with {COPART_S}, e as (select src, dst, src % 7 as da, dst % 7 as db from copart_s) select case when da < db then src else dst end as src, case when da < db then dst else src end as dst from e")
+def orient_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.copart_s(spark, sf_dir)
+    return prep.orient_by_value(e, prep.vertices(e).withColumn("value", F.col("v") % 7))
+
+
+_WORK = f"with {COPART_S}, {DEG_S}, e as ({_ENDS}), w as (select case when da < db or (da = db and src < dst) then src else dst end as v, sum(case when da < db or (da = db and src < dst) then db else da end) as work from e group by 1)"
+
+
+@_register(f"{_WORK} select cast(max(work) as bigint) as max_work from w")
+def assess_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.assess_work(graphs.copart_s(spark, sf_dir))
+
+
+_IDS = "ids as (select src as v from ps union select dst from ps)"
+_RENAMED = "select a.new as src, b.new as dst from ps join names a on a.v = ps.src join names b on b.v = ps.dst"
+
+
+@_register(f"with {PS}, {_IDS}, names as (select v, row_number() over (order by v) - 1 as new from ids) {_RENAMED}")
+def dense_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.ps(spark, sf_dir)
+    return prep.rename(e, prep.dense_names(e))
+
+
+@_register(f"with {PS}, {_IDS}, names as (select v, row_number() over (order by (v * 2654435761) % 4294967296, v) - 1 as new from ids) {_RENAMED}")
+def random_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.ps(spark, sf_dir)
+    return prep.rename(e, prep.random_names(e))
+
+
+@_register("""with e as (select event_id as pos, user_id as src, event_id % 1000 as dst from events),
+t as (select v, min(at) as at from (select src as v, 2 * pos as at from e union all select dst, 2 * pos + 1 from e) group by v)
+select v, row_number() over (order by at) - 1 as new from t""")
+def first_touch_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("src"), (F.col("event_id") % 1000).alias("dst"))
+    return prep.first_touch_names(e, "pos")
+
+
+def _placed(kind: str, sql: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return graphs.ps(spark, sf_dir).groupBy(prep.partition_expr(kind).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+    name = {"sp": "partition2d_counts", "pp": "partition_blocks_counts", "op": "partition_spread_counts", "hp": "partition_hier_counts"}[kind]
+    _register(f"with {PS} select {sql} as part, count(*) as n from ps group by 1", name)(query)
+
+
+_placed("sp", "(src % 2) + 2 * (dst % 2)")
+_placed("pp", "(src % 2) + 2 * (dst % 2)")
+_placed("op", "2 * ((src % 2) + 2 * (dst % 2))")
+_placed("hp", "((src % 2) + 2 * (dst % 2)) * 2 + ((src // 2) % 2) + 2 * ((dst // 2) % 2)")
+
+
+@_register(f"with {PS} select src, dst, (src % 2) + 2 * (dst % 2) as part, row_number() over (partition by (src % 2) + 2 * (dst % 2) order by src, dst) - 1 as pos from ps")
+def edge_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges dealt in two dimensions and sorted by source within each part; ``pos`` is the place in that order."""
+    from pyspark.sql.window import Window
+
+    placed = prep.place(graphs.ps(spark, sf_dir), prep.partition_expr("sp"), 4)
+    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("src", "dst")).cast("long") - 1)
+
+
+# --- joins and primitives ----------------------------------------------------------------------------------------------
+
+
+@_register(f"with {COPART_S} select e.src, e.dst, i.n from copart_s e join (select src as k, count(*) as n from copart_s group by src) i on i.k = e.dst")
+def index_join_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.copart_s(spark, sf_dir)
+    return generic_join.index_join(e, generic_join.build_index(e, "src", "dst"), "dst").select("src", "dst", "n")
+
+
+@_register(f"with {COPART}, n as (select src as k, count(*) as n from copart group by src) select e.src as a, e.dst as b, case when y.n < x.n then 1 else 0 end as rel, least(x.n, y.n) as n from copart e join n x on x.k = e.src join n y on y.k = e.dst")
+def generic_join_min_proposer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.copart(spark, sf_dir)
+    index = generic_join.build_index(e, "src", "dst")
+    prefixes = e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return generic_join.propose(prefixes, [generic_join.Atom(index, "a"), generic_join.Atom(index, "b")])
+
+
+@_register(f"with {TRANS}, {NORM} select e.src as a, e.dst as b, count(*) as n_c, cast(sum(x.dst) as bigint) as sum_c from norm e join norm x on x.src = e.src join norm y on y.src = e.dst and y.dst = x.dst group by 1, 2")
+def generic_join_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row form of the join layer: proposals by join, validation by semi-joins."""
+    e = prep.normalize(graphs.trans(spark, sf_dir))
+    return motifs.triangles(e, expand=True, form="rows").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_c"), F.sum("c").alias("sum_c"))
+
+
+@_register(f"with {COPART_S} select e.src, e.dst, d.v as d from copart_s e join (select distinct src as v from copart_s) d on d.v < e.src and d.v % 97 = e.src % 97")
+def empty_key_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension by an un-keyed relation that other conditions narrow: here, of the same residue."""
+    e = graphs.copart_s(spark, sf_dir)
+    values = generic_join.distinct_values(e, "src").withColumn("r", F.col("v") % 97)
+    return e.withColumn("r", F.col("src") % 97).join(values, "r").filter("v < src").select("src", "dst", F.col("v").alias("d"))
+
+
+@_register(f"with {PS}, d as (select src as v, count(*) as degree from ps group by src), i as (select dst as v, count(*) as degree from ps group by dst) select d.v, d.degree as x, i.degree as y, d.degree * i.degree as xy from d join i using (v)")
+def node_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.ps(spark, sf_dir)
+    x, y = prep.out_degree(e).withColumnRenamed("degree", "x"), prep.in_degree(e).withColumnRenamed("degree", "y")
+    return x.join(y, "v").withColumn("xy", F.col("x") * F.col("y"))
+
+
+@_register(f"with {PS} select src, dst from ps where dst in (select src from ps where src % 2 = 0)")
+def filter_by_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.ps(spark, sf_dir)
+    return e.join(e.filter("src % 2 = 0").select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+@_register(f"with {PS}, d as (select src as v, count(*) as degree from ps group by src) select dst as v, cast(sum(degree) as bigint) as value from ps join d on d.v = ps.src group by dst")
+def graph_reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graphs.ps(spark, sf_dir)
+    return e.join(prep.out_degree(e).withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum("degree").alias("value"))
+
+
+@_register(f"with {PS}, {TRANS} select src, dst from ps union all select src, dst from trans")
+def concat_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.ps(spark, sf_dir).unionAll(graphs.trans(spark, sf_dir))
+
+
+@_register(f"with {PS} select max(greatest(src, dst)) as largest, count(*) as edges, cast(sum(src) as bigint) as total from ps")
+def allreduce_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.ps(spark, sf_dir).agg(F.max(F.greatest("src", "dst")).alias("largest"), F.count(F.lit(1)).alias("edges"), F.sum("src").alias("total"))
+
+
+# --- motifs ------------------------------------------------------------------------------------------------------------
+
+_TRI = "select a.src as a, a.dst as b, x.dst as c from {0} a join {0} x on x.src = a.src join {0} y on y.src = a.dst and y.dst = x.dst"
+
+
+@_register(f"with {COPART}, t as ({_TRI.format('copart')}) select a, b, count(*) as n_c, cast(sum(c) as bigint) as sum_c from t group by a, b")
+def triangles_factorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = motifs.triangles(graphs.copart(spark, sf_dir))
+    return found.select("a", "b", F.size("c").cast("long").alias("n_c"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_c"))
+
+
+@_register(f"with {COPART_S} {_TRI.format('copart_s')}")
+def triangles_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.triangles(graphs.copart_s(spark, sf_dir), expand=True)
+
+
+@_register(f"with {COPART}, t as ({_TRI.format('copart')}) select count(*) as triangles from t")
+def triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.triangle_count(hold(graphs.copart(spark, sf_dir)))
+
+
+@_register(f"with {COPART}, t as ({_TRI.format('copart')}) select count(*) as triangles from t")
+def triangle_count_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over edges oriented from low to high degree: the same number, with lists bounded by the square root of the edges."""
+    return motifs.triangle_count(hold(prep.orient_by_degree(hold(graphs.copart(spark, sf_dir)))))
+
+
+_RECT = "select count(*) as rectangles from {0} x join {0} y on y.src = x.src and y.dst <> x.dst join {0} p on p.src = x.dst join {0} q on q.src = y.dst and q.dst = p.dst where p.dst <> x.src"
+
+
+@_register(f"with {COPART} {_RECT.format('copart')}")
+def rectangles_oriented_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.factor_count(motifs.rectangles(hold(graphs.copart(spark, sf_dir))), "d", "rectangles")
+
+
+@_register(f"with {COPART_S}, {SYM_S} {_RECT.format('sym')}")
+def rectangles_symmetric_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.factor_count(motifs.rectangles(hold(prep.symmetrize(graphs.copart_s(spark, sf_dir)))), "d", "rectangles")
+
+
+@_register(f"with {TRANS}, {NORM}, t as ({_TRI.format('norm')}) select count(*) as flags from t join norm p on p.src = t.b join norm q on q.src = t.c and q.dst = p.dst where p.dst <> t.a")
+def flags_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.factor_count(motifs.flags(hold(prep.normalize(graphs.trans(spark, sf_dir)))), "d", "flags")
+
+
+def _clique_sql(graph: str, k: int, out: str) -> str:
+    names = motifs.NAMES[:k]
+    joins = " ".join(
+        f"join {graph} e{j}_{n} on " + " and ".join(f"e{j}_{n}.src = {f'e0_{names[j]}.dst' if j else 'e0_b.src'} and e{j}_{n}.dst = e0_{n}.dst" if j else f"e0_{n}.src = e0_b.src" for _ in (0,))
+        for i, n in enumerate(names) if i >= 2 for j in range(i)
+    )
+    return f"select {out} from {graph} e0_b {joins}"
+
+
+_FOUR = "e0_b.src as a, e0_b.dst as b, e0_c.dst as c, e0_d.dst as d"
+
+
+@_register(f"with {COPART} {_clique_sql('copart', 4, _FOUR)}")
+def clique4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.cliques(hold(graphs.copart(spark, sf_dir)), 4)
+
+
+@_register(f"with {COPART} {_clique_sql('copart', 5, 'count(*) as cliques')}")
+def clique5_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.factor_count(motifs.cliques(hold(graphs.copart(spark, sf_dir)), 5, expand=False), "e", "cliques")
+
+
+@_register(f"with {COPART} {_clique_sql('copart', 6, 'count(*) as cliques')}")
+def clique6_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.factor_count(motifs.cliques(hold(graphs.copart(spark, sf_dir)), 6, expand=False), "f", "cliques")
+
+
+# --- PageRank ----------------------------------------------------------------------------------------------------------
+
+_W = "w as materialized (select ps.src, ps.dst, 1.0::double / d.degree as w from ps join (select src, count(*) as degree from ps group by src) d on d.src = ps.src), ids as materialized (select src as v from ps union select dst from ps), s as materialized (select distinct src as v from ps)"
+_FRAME = """with recursive {ps}, {w},
+r as (
+  select 0 as it, v, {start}::double as a from ids
+  union all
+  select it + 1, v, a from (
+    with now as (select it, v, a from r where it < {rounds}),
+    came as (select w.dst as v, sum({share} * now.a * w.w) as c from now join w on w.src = now.v group by w.dst)
+    select now.it, now.v, {base} + coalesce(came.c, 0) as a from now left join came on came.v = now.v left join s on s.v = now.v))
+select v, round(a, 6) as rank from r where it = {rounds}"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("v", F.round("rank", 6).alias("rank"))
+
+
+@_register(f"""with recursive {PS}, {_W},
+r as (
+  select 0 as it, v, 0.15::double as a from s
+  union all
+  select it + 1 as it, dst as v, sum(0.85 * a * w) as a from r join w on w.src = r.v where it < 20 group by it, dst)
+select v, round(sum(a), 6) as rank from r group by v""")
+def pagerank_dataflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pagerank.dataflow(graphs.ps(spark, sf_dir)))
+
+
+@_register(_FRAME.format(ps=PS, w=_W, start=0.15, rounds=20, share=0.85, base="case when s.v is not null then 0.15 else now.a end"))
+def pagerank_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pagerank.disk(graphs.ps(spark, sf_dir), reset=0.15))
+
+
+@_register(_FRAME.format(ps=PS, w=_W, start=0.15, rounds=20, share=0.85, base="0"))
+def pagerank_mem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pagerank.memory(graphs.ps(spark, sf_dir), reset=0.15))
+
+
+@_register(_FRAME.format(ps=PS, w=_W, start=0, rounds=20, share=0.85, base="0.15"))
+def pagerank_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pagerank.blocks(graphs.ps(spark, sf_dir), reset=0.15))
+
+
+@_register(_FRAME.format(ps=PS, w=_W, start=1, rounds=1, share=0.15, base="0.85"))
+def pagerank_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = hold(graphs.ps(spark, sf_dir))
+    return _rounded(pagerank.step(e, prep.vertices(e).withColumn("value", F.lit(1.0)), reset=0.85).select("v", "rank"))
+
+
+# --- components, independent sets --------------------------------------------------------------------------------------
+
+_CC = f"""with recursive {COPART_S}, {SYM_S},
+reach as (select src as v, src as label from sym union select sym.dst as v, r.label from reach r join sym on sym.src = r.v where r.label < sym.dst),
+cc as (select v, min(label) as label from reach group by v)"""
+
+
+@_register(f"{_CC} select v, label from cc")
+def cc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.labels(hold(graphs.copart_s(spark, sf_dir)))
+
+
+@_register(f"{_CC} select v, label from cc")
+def cc_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.propagate(hold(graphs.copart_s(spark, sf_dir)))
+
+
+@_register(f"{_CC} select count(*) as forest_edges from cc where v <> label")
+def cc_forest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.forest_size(graphs.copart_s(spark, sf_dir))
+
+
+@_register(f"{_CC} select label, count(*) as n from cc group by label")
+def cc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.sizes(hold(graphs.copart_s(spark, sf_dir)))
+
+
+@_register(f"""with recursive {COPART_S}, {SYM_S},
+r as (
+  select 0 as it, v, 0 as state from (select distinct src as v from sym)
+  union all
+  select it + 1, v, state from (
+    with now as (select it, v, state from r where it < 30),
+    won as (select n.v from now n where n.state = 0 and not exists (select 1 from sym join now m on m.v = sym.dst where sym.src = n.v and m.state = 0 and m.v < n.v))
+    select it, v, case when state <> 0 then state when v in (select v from won) then 1 when v in (select sym.dst from sym join won on won.v = sym.src) then 2 else 0 end as state from now))
+select v from r where it = 30 and state = 1""")
+def mis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_independent_set(graphs.copart_s(spark, sf_dir))
+
+
+# --- Hilbert order -----------------------------------------------------------------------------------------------------
+
+_HILBERT = f"""with recursive {PS},
+h as (
+  select src, dst, 31 as i, src as x, dst as y, 0::bigint as d from ps
+  union all
+  select src, dst, i - 1,
+         case when (y >> i) & 1 = 0 then case when (x >> i) & 1 = 1 then (1::bigint << i) - 1 - (y & ((1::bigint << i) - 1)) else y & ((1::bigint << i) - 1) end else x & ((1::bigint << i) - 1) end,
+         case when (y >> i) & 1 = 0 then case when (x >> i) & 1 = 1 then (1::bigint << i) - 1 - (x & ((1::bigint << i) - 1)) else x & ((1::bigint << i) - 1) end else y & ((1::bigint << i) - 1) end,
+         d * 4 + xor(3 * ((x >> i) & 1), (y >> i) & 1)
+  from h where i >= 0)"""
+
+
+@_register(f"{_HILBERT} select src, dst, d as hilbert_key from h where i = -1")
+def hilbert_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.ps(spark, sf_dir).withColumn("hilbert_key", hilbert.hilbert_key("src", "dst"))
+
+
+@_register(f"with {PS} select src, dst, src as x, dst as y from ps")
+def hilbert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = graphs.ps(spark, sf_dir).withColumn("k", hilbert.hilbert_key("src", "dst"))
+    return keyed.withColumn("c", hilbert.hilbert_cell("k")).select("src", "dst", "c.x", "c.y")
+
+
+@_register(f"with {PS} select src >> 8 as x_block, dst >> 8 as y_block, count(*) as n from ps group by 1, 2")
+def hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_blocks(graphs.ps(spark, sf_dir), 8)
+
+
+@_register(f"with {PS} select count(*) filter (src < 0) as unconserved from ps")
+def edge_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees before and after a trip through the Hilbert layout: no vertex may differ."""
+    e = hold(graphs.ps(spark, sf_dir))
+    laid = hilbert.hilbert_layout(e, 8).select(hilbert.hilbert_cell("hilbert_key").alias("c")).select(F.col("c.x").alias("src"), F.col("c.y").alias("dst"))
+    return prep.unconserved(e, laid).agg(F.count(F.lit(1)).alias("unconserved"))
+
+
+# --- sources, sinks, epochs --------------------------------------------------------------------------------------------
+
+
+@_register(f"with {PS} select src, dst from ps")
+def packed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    codecs.write_packed(graphs.ps(spark, sf_dir), to)
+    return codecs.read_packed_rows(spark, to)
+
+
+@_register(f"with {PS} select src, dst from ps")
+def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    codecs.write_text(graphs.ps(spark, sf_dir), to)
+    return codecs.read_text(spark, to)
+
+
+@_register(f"with {PS} select src, dst, (src % 2) + 2 * (dst % 2) as part from ps")
+def partitioned_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    codecs.write_partitioned(graphs.ps(spark, sf_dir), to, prep.partition_expr("sp"))
+    return spark.read.parquet(to).withColumn("part", F.col("part").cast("long"))
+
+
+@_register("select user_id as src, event_id % 100 as dst from events where user_id <> event_id % 100")
+def epoch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of edges, self-loops dropped epoch by epoch."""
+    at = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(at).schema).parquet(_folder(spark, at))
+    return epochs.materialize(spark, source, lambda df: prep.drop_self_loops(df.select(F.col("user_id").alias("src"), (F.col("event_id") % 100).alias("dst"))))
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """A streamed file source reads a folder: ``path`` itself if it is one, else a glob that matches just the file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory() else path.replace("events.parquet", "events.parquet*")
