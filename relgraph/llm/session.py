@@ -1,27 +1,13 @@
-"""What every operator of this subpackage shares: checkpoints in the cluster's shared folder, and size-checked broadcasts."""
+"""What every operator of this subpackage shares."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir  # noqa: F401
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir`` where the session names one; only where it is unset
-    (tests, a laptop) a fresh temporary folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
-    return named or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder: its lineage is cut, and losing an executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+ensure_checkpoint_dir = shared_dir
 
 
 def maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
