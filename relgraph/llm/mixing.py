@@ -3,8 +3,8 @@
 Every document ``i`` of source ``s`` gets a rate ``r_i`` between 0 and ``cap`` copies: of all rates whose tokens add up to
 the source's target, those of least (bounded) relative entropy to one copy each. They have the tilted form
 ``r_i = cap / (1 + (cap - 1) exp(-lam_s x_i))`` with ``x_i`` the size over the source's mean size, and ``lam_s`` solves the
-convex dual by safeguarded Newton steps: each step is one distributed aggregation over the (source, size) histogram, on
-which gradient and curvature depend, not over the documents.
+convex dual by safeguarded Newton steps. Gradient and curvature depend on the documents only by their (source, size)
+histogram, which one distributed aggregation with map-side combining makes.
 
 Rates become whole copies by carrying the error in tokens from the largest size down: the ``FOLDED`` largest distinct
 sizes of a source one after another, the smaller ones by rounding cumulated copies. A source's taken tokens are then
@@ -69,31 +69,35 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
 
 def solve(hist: DataFrame, wanted: DataFrame, cap: float = CAP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``lam`` for each source: Newton steps on the dual, kept inside a bracket that shrinks with every step. A source whose
-    target is its cap has the rate ``cap`` throughout and takes no part (``lam`` null)."""
+    target is its cap has the rate ``cap`` throughout and takes no part (``lam`` null).
+
+    The dual has one variable a source, so the sources' iterations are independent and run beside each other over the
+    cluster, each over its own levels (as many as it has distinct sizes, however many documents)."""
     scale = hist.groupBy("skey").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
-    open_ = wanted.filter((F.col("target") < cap * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)).select("skey", "target")
-    points = cut(hist.join(open_.join(scale, "skey"), "skey").filter("size > 0").select("skey", "size", "n", "target", (F.col("size") / F.col("scale")).alias("x")))
-    state = cut(open_.select("skey", "target", F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("off")))
-    for _ in range(rounds):
-        rate = _rate(F.col("lam"), F.col("x"), cap)
-        at = points.select("skey", "size", "n", "x").join(state.select("skey", "lam"), "skey").groupBy("skey").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("f"), F.sum(F.col("n") * F.col("size") * F.col("x") * rate * (1 - rate / cap)).alias("slope")
-        )
-        g = F.col("f") - F.col("target")
-        lo = F.when(g < 0, F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(g > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - g / F.col("slope")
-        inside = newton.isNotNull() & ~F.isnan(newton) & (F.col("lo").isNull() | (newton > F.col("lo"))) & (F.col("hi").isNull() | (newton < F.col("hi")))
-        step = F.when(inside, F.greatest(F.least(newton, F.col("lam") + 4.0 + F.abs("lam")), F.col("lam") - 4.0 - F.abs("lam"))).otherwise(
-            F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("hi").isNull(), F.col("lam") + 1 + F.abs("lam")).otherwise(F.col("lam") - 1 - F.abs("lam"))
-        )
-        state = cut(
-            state.join(at, "skey").withColumn("off", F.abs(g) / F.col("target")).withColumn("lo", lo).withColumn("hi", hi)
-            .withColumn("lam", F.when(F.col("off") <= tolerance, F.col("lam")).otherwise(step)).select("skey", "target", "lam", "lo", "hi", "off")
-        )
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
-            break
-    return wanted.join(state.select("skey", "lam"), "skey", "left")
+    open_ = wanted.filter((F.col("target") < cap * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)).join(scale, "skey")
+    points = hist.filter("size > 0").join(open_, "skey").groupBy("skey").agg(
+        F.first("target").alias("target"), F.collect_list(F.struct((F.col("n") * F.col("size")).cast("double").alias("tokens"), (F.col("size") / F.col("scale")).alias("x"))).alias("points")
+    )
+
+    def total(lam: Column) -> Column:
+        def add(acc: Column, p: Column) -> Column:
+            rate = _rate(lam, p["x"], cap)
+            return F.struct((acc["f"] + p["tokens"] * rate).alias("f"), (acc["slope"] + p["tokens"] * p["x"] * rate * (1 - rate / cap)).alias("slope"))
+
+        return F.aggregate("points", F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("slope")), add)
+
+    def move(s: Column, at: Column) -> Column:
+        g, lam = at["f"] - F.col("target"), s["lam"]
+        lo, hi = F.when(g < 0, lam).otherwise(s["lo"]), F.when(g > 0, lam).otherwise(s["hi"])
+        newton, most = lam - g / at["slope"], 4.0 + F.abs(lam)
+        inside = (at["slope"] > 0) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
+        step = F.when(inside, F.greatest(F.least(newton, lam + most), lam - most)).when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(hi.isNull(), lam + most).otherwise(lam - most)
+        done = F.abs(g) <= tolerance * F.col("target")
+        return F.struct(F.when(done, lam).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
+
+    begin = F.struct(F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done"))
+    rounds_of = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, _: F.when(s["done"], s).otherwise(F.element_at(F.transform(F.array(total(s["lam"])), lambda at: move(s, at)), 1)), lambda s: s["lam"])
+    return wanted.join(points.select("skey", rounds_of.alias("lam")), "skey", "left")
 
 
 def _level_copies(hist: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
@@ -128,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     counts = cut(rows.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("m")))
     hist = cut(counts.groupBy("skey", "size").agg(F.sum("m").alias("n")))
     wanted = cut(targets(hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
-    levels = _level_copies(hist, solve(hist, wanted, cap), cap)
+    levels = cut(_level_copies(hist, cut(solve(hist, wanted, cap)), cap))
     before = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(levels, ["skey", "size"]).join(wanted, "skey")
     own = Window.partitionBy("skey", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id")
