@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, token_counts, toxicity
+from . import chat, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, passage_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_token_counts": token_counts.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op4_mixing": mixing.query,
+    "op5_passage_dedup": passage_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_line_dedup": line_dedup.query,
