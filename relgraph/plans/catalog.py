@@ -146,8 +146,8 @@ def random_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("""with e as (select event_id as pos, user_id as src, event_id % 1000 as dst from events),
-t as (select v, min(at) as at from (select src as v, 2 * pos as at from e union all select dst, 2 * pos + 1 from e) group by v)
-select v, row_number() over (order by at) - 1 as new from t""")
+t as (select v, min(p) as p from (select src as v, 2 * pos as p from e union all select dst, 2 * pos + 1 from e) group by v)
+select v, row_number() over (order by p) - 1 as new from t""")
 def first_touch_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graphs.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("src"), (F.col("event_id") % 1000).alias("dst"))
     return prep.first_touch_names(e, "pos")
@@ -294,19 +294,21 @@ def _clique_sql(graph: str, k: int, out: str) -> str:
 _FOUR = "e0_b.src as a, e0_b.dst as b, e0_c.dst as c, e0_d.dst as d"
 
 
-@_register(f"with {COPART} {_clique_sql('copart', 4, _FOUR)}")
+@_register(f"with {COPART_S} {_clique_sql('copart_s', 4, _FOUR)}")
 def clique4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.cliques(hold(graphs.copart(spark, sf_dir)), 4)
+    return motifs.cliques(hold(graphs.copart_s(spark, sf_dir)), 4)
 
 
-@_register(f"with {COPART} {_clique_sql('copart', 5, 'count(*) as cliques')}")
-def clique5_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.factor_count(motifs.cliques(hold(graphs.copart(spark, sf_dir)), 5, expand=False), "e", "cliques")
+def _clique_count(k: int) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = motifs.cliques(hold(prep.normalize(graphs.trans(spark, sf_dir))), k, expand=False)
+        return motifs.factor_count(found, motifs.NAMES[k - 1], "cliques")
+
+    _register(f"with {TRANS}, {NORM} {_clique_sql('norm', k, 'count(*) as cliques')}", f"clique{k}_count")(query)
 
 
-@_register(f"with {COPART} {_clique_sql('copart', 6, 'count(*) as cliques')}")
-def clique6_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.factor_count(motifs.cliques(hold(graphs.copart(spark, sf_dir)), 6, expand=False), "f", "cliques")
+for _k in (4, 5, 6):
+    _clique_count(_k)
 
 
 # --- PageRank ----------------------------------------------------------------------------------------------------------
