@@ -122,13 +122,14 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
     return out
 
 
-def verify_block(cids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For the classes of a block pair (``side`` 0 and 1, or all 0 for a block with itself): the documents linked to each in
-    this pair of blocks, and the smallest class it is connected with."""
+def verify_block(cids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, within: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the classes of a block pair (``side`` 0 and 1; ``within``: a block with itself): the documents linked to each in this
+    pair of blocks, and the smallest class it is connected with."""
     n, left, right = np.array([len(s) for s in sets]), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    within = not len(right)
     if within:
         right = left
+    if not len(left) or not len(right):
+        return np.zeros(len(cids), np.int64), cids
     inter = intersections([sets[i] for i in left], None if within else [sets[i] for i in right])
     linked = inter >= threshold * (n[left][:, None] + n[right][None, :] - inter) - 1e-6
     if within:
@@ -156,7 +157,7 @@ def _verify(threshold: float):
 
         def done() -> pa.RecordBatch:
             cids, sizes, side = (np.array([r[k] for r in held]) for k in (0, 1, 2))
-            links, root = verify_block(cids, sizes, [np.frombuffer(r[3], U) for r in held], side, threshold)
+            links, root = verify_block(cids, sizes, [np.frombuffer(r[3], U) for r in held], side, key[1] == key[2], threshold)
             return pa.record_batch([pa.array(cids), pa.array(links), pa.array(root), pa.array([key[3] for _ in held], pa.bool_())], names=["cid", "links", "root", "split"])
 
         for batch in batches:
@@ -180,8 +181,8 @@ def link_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(3), text_col).alias("t2"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_signatures(bands, rows, n), f"doc_id {kind}, t1 long, t2 long, digest binary, n long, bands array<long>"))
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "t1", "t2", "bands")).alias("first"))
-    classes = cut(classes.select("digest", "size", "first.doc_id", "first.t1", "first.t2", "first.bands", F.monotonically_increasing_id().alias("cid")))
+    classes = signed.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "t1", "t2", "bands")).alias("first"), F.min("doc_id").alias("least_id"))
+    classes = cut(classes.select("digest", "size", "least_id", "first.doc_id", "first.t1", "first.t2", "first.bands", F.monotonically_increasing_id().alias("cid")))
 
     buckets = classes.select("cid", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -207,8 +208,8 @@ def link_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     joined = star_edges(across).select(F.col("v").alias("cid"), F.col("label").alias("joined"))
     grouped = links.join(joined, "cid", "left").select("cid", "links", F.when(F.col("split"), F.coalesce("joined", "cid")).otherwise(F.col("root")).alias("root"))
 
-    resolved = classes.select("cid", "digest", "size", "doc_id").join(grouped, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    names = resolved.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    resolved = classes.select("cid", "digest", "size", "least_id").join(grouped, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    names = resolved.groupBy("root").agg(F.min("least_id").alias("class_id"))
     final = resolved.join(names, "root").select(F.col("digest").alias("d"), "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows_ = signed.select("doc_id", "digest")
     with_words = rows_.filter("digest is not null").join(final, F.col("digest") == F.col("d")).select("doc_id", "class_id", "n_links")
