@@ -21,6 +21,7 @@ searched.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,10 +226,10 @@ _READY: dict = {}
 
 def _prepared(shared) -> Items:
     """A worker prepares a block of items once."""
-    key = getattr(shared, "id", id(shared))
+    key, *block = shared.value
     if key not in _READY:
         _READY.clear()
-        _READY[key] = Items(*shared.value)
+        _READY[key] = Items(*block)
     return _READY[key]
 
 
@@ -244,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_
     rows, out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), None
 
     def search(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block], max_edit))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [r[0] for r in block], [r[1] for r in block], max_edit))
         return rows.mapInArrow(_search(shared, item_type), schema)
 
     block, size = [], 0
