@@ -20,6 +20,7 @@ ORACLES: dict = {}
 _LINE = "select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b using (l_orderkey) where a.l_partkey < b.l_partkey"
 COPART = f"copart as materialized ({_LINE})"
 COPART_S = f"copart_s as materialized ({_LINE} and a.l_quantity >= 40 and a.l_returnflag = 'R' and b.l_quantity >= 40 and b.l_returnflag = 'R')"
+COPART_R = f"copart_r as materialized ({_LINE} and a.l_returnflag = 'R' and b.l_returnflag = 'R')"
 TRANS = "trans as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst from events) where dst is not null and src <> dst)"
 PS = "ps as materialized (select distinct l_partkey as src, l_suppkey as dst from lineitem where l_partkey <> l_suppkey)"
 NORM = "norm as materialized (select distinct least(src, dst) as src, greatest(src, dst) as dst from trans where src <> dst)"
@@ -299,16 +300,17 @@ def clique4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.cliques(hold(graphs.copart_s(spark, sf_dir)), 4)
 
 
-def _clique_count(k: int) -> None:
+def _clique_count(k: int, graph, ctes: str, table: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = motifs.cliques(hold(prep.normalize(graphs.trans(spark, sf_dir))), k, expand=False)
+        found = motifs.cliques(hold(prep.normalize(graph(spark, sf_dir))), k, expand=False)
         return motifs.factor_count(found, motifs.NAMES[k - 1], "cliques")
 
-    _register(f"with {TRANS}, {NORM} {_clique_sql('norm', k, 'count(*) as cliques')}", f"clique{k}_count")(query)
+    _register(f"with {ctes} {_clique_sql(table, k, 'count(*) as cliques')}", f"clique{k}_count")(query)
 
 
-for _k in (4, 5, 6):
-    _clique_count(_k)
+_clique_count(4, graphs.trans, f"{TRANS}, {NORM}", "norm")
+_clique_count(5, graphs.copart_r, COPART_R, "copart_r")
+_clique_count(6, graphs.copart_r, COPART_R, "copart_r")
 
 
 # --- PageRank ----------------------------------------------------------------------------------------------------------

@@ -38,6 +38,11 @@ def copart_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co_occurrence(table(spark, sf_dir, "lineitem").filter("l_quantity >= 40 and l_returnflag = 'R'"), "l_orderkey", "l_partkey")
 
 
+def copart_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-purchase among returned lines: sparse, with a large clique for each order that came back."""
+    return co_occurrence(table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'"), "l_orderkey", "l_partkey")
+
+
 def trans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's user to the next event's. The order is total over the table, so the window has one partition; ``lead``
     needs only the neighbour, and the input is three columns of a bounded event log."""
