@@ -36,7 +36,7 @@ def dataflow(e: DataFrame, rounds: int = 20, reset: float = 0.15, damping: float
     return deltas.groupBy("v").agg(F.sum("value").alias("rank")).filter("rank > 0")
 
 
-def _rounds(e: DataFrame, start: float, rounds: int, share: float, base: Column, every: int = 4) -> DataFrame:
+def _rounds(e: DataFrame, start: float, rounds: int, share: float, base: Column, every: int = 1) -> DataFrame:
     """Rounds over the whole vertex frame ``v, value, sends``: ``base`` plus what comes in."""
     edges = weighted(e)
     sources = edges.select(F.col("src").alias("v")).distinct().withColumn("sends", F.lit(True))
