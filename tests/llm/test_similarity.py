@@ -119,7 +119,6 @@ def test_leaks(spark):
         assert {k[:2] for k in got} == {k[:2] for k in want}
         assert sum((got & want).values()) >= 0.98 * sum(want.values())  # another window as close may be found first
     kept = decontamination.drop_contaminated(docs(spark, rows), bench)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows) - Counter(k[0] for k in want.elements()) or True
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {k[0] for k in want}
     assert decontamination.leaks(docs(spark, []), bench).count() == 0 and decontamination.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
