@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .sampling import bounded_sample, held_out
+from .sampling import chosen_rows, held_out, snippet
 from .session import read
 from .words import slices, text_bytes
 
@@ -125,8 +125,10 @@ def probabilities(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", size: int = SIZE, steps: int = STEPS) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """The model and its languages, learned from rows with text and language that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect())
-    sample = bounded_sample(rows.filter(F.col("lang").isin(langs)), "lang", "text", SAMPLE_EACH, SAMPLE_CHARS) if langs else []
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    langs = sorted(counts)
+    chosen = chosen_rows(rows.filter(F.col("lang").isin(langs)), "lang", counts, SAMPLE_EACH).select(snippet(F.col("text"), SAMPLE_CHARS).alias("text"), "lang") if langs else None
+    sample = sorted((r[0], r[1]) for r in chosen.collect()) if langs else []
     return (train(sample, langs, size, steps) if sample else None), langs
 
 

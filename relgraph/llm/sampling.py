@@ -11,15 +11,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, text: str, each: int, chars: int, seed: int = 11) -> list[tuple[str, object]]:
-    """About ``each`` rows (at most twice that) of every label, chosen by a hash, as ``(snippet, label)``: a part of the text
-    of at most ``chars`` characters that starts at a hashed place. Labels are few (the caller bounds them)."""
-    keyed = rows.withColumn("__h", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)), F.lit(1 << 30)))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return []
+def chosen_rows(rows: DataFrame, label: str, counts: dict, each: int, seed: int = 11) -> DataFrame:
+    """About ``each`` rows of every label (at most twice that in all), chosen by a hash of ``doc_id``; ``counts`` has the rows
+    of each label, of which the caller bounds the number."""
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, each / n))))])
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < F.element_at(share, F.col(label))).limit(2 * each * len(counts))
+
+
+def snippet(text: Column, chars: int, seed: int = 12) -> Column:
+    """At most ``chars`` characters of a text, from a hashed place on."""
     room = F.greatest(F.length(text) - chars + 1, F.lit(1))
-    snippet = F.substr(text, (F.lit(1) + F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), room)).cast("int"), F.lit(chars))
-    chosen = keyed.filter(F.col("__h") < F.element_at(share, F.col(label))).select(snippet.alias("snippet"), label, "__h").limit(2 * each * len(counts))
-    return [(r[0], r[1]) for r in sorted(chosen.collect(), key=lambda r: (r[2], r[0] or ""))]
+    return F.substr(text, (F.lit(1) + F.pmod(F.xxhash64(F.lit(seed), F.length(text), F.substr(text, F.lit(1), F.lit(64))), room)).cast("int"), F.lit(chars))

@@ -9,8 +9,8 @@ whole text are scored. It is trained in numpy by backpropagation through time, a
 document is a bag of windows and the gradient goes to its windows by their share in the soft maximum.
 
 Defined results: a text that is null, empty or without words is one empty window and gets the network's base score; repeated
-rows are scored each; a null ``doc_id`` is not held out; without labels of both kinds every score is the share of toxic
-labels (0.0 without labels); an empty table gives an empty result; other columns are ignored.
+rows are scored each; a null ``doc_id`` is not held out; without labels of both kinds every score is 1.0 if
+all labels are toxic and else 0.0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .sampling import bounded_sample, held_out
+from .sampling import chosen_rows, held_out, snippet
 from .session import read
 from .words import U, Words, mix, slices, split_words
 
@@ -34,7 +34,7 @@ WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
 GRAMS = (3, 4, 6)
 BATCH = 2048
 #: Labelled rows of a kind in the training sample (twice that at most) and characters of each.
-SAMPLE_EACH, SAMPLE_CHARS = 1500, 3000
+SAMPLE_EACH, SAMPLE_CHARS = 1500, 2000
 STEPS, RATE, EMBED_RATE, BAGS, BAG_WINDOWS = 200, 0.01, 0.02, 48, 6
 
 
@@ -81,15 +81,30 @@ def padded(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pad: int)
     return np.where(real, np.append(numbers, pad)[np.where(real, place, 0)] if len(numbers) else pad, pad)
 
 
-def evidence(owner: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """For each of ``size`` hashed rows: the toxic documents that hold it against the number expected, in standard errors,
-    squeezed to (-1, 1)."""
-    pairs = np.unique(owner.astype(np.int64) * size + rows)
-    doc, row = pairs // size, pairs % size
-    n, toxic, share = np.bincount(row, minlength=size), np.bincount(row, y[doc], size), y.mean()
+def evidence(n: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How far ``toxic`` of ``n`` documents are from what ``share`` lets expect, in standard errors, squeezed to (-1, 1)."""
     return np.tanh((toxic - n * share) / np.sqrt(n * share * (1 - share) + 1) / 4).astype(np.float32)
 
 
+def holders(words: Words, number: np.ndarray, word_rows: np.ndarray, grams: np.ndarray, begins: np.ndarray, y: np.ndarray, half: np.ndarray, block: int = 64) -> dict[str, np.ndarray]:
+    """For the hashed rows of words and of n-grams, ``[half, label, row]``: how many documents of that half of the sample and
+    with that label hold it. Documents are taken ``block`` at a time, so memory does not grow with the sample."""
+    counts = np.diff(np.append(begins, len(grams)))
+    out = {"word": np.zeros((2, 2, WORD_ROWS), np.int64), "gram": np.zeros((2, 2, GRAM_ROWS), np.int64)}
+    for a in range(0, len(y), block):
+        docs = np.arange(a, min(a + block, len(y)))
+        lo, hi = words.bounds[a], words.bounds[docs[-1] + 1]
+        distinct = np.unique(np.repeat(docs - a, words.counts()[docs]) * np.int64(len(word_rows)) + number[lo:hi])
+        doc, word = distinct // len(word_rows), distinct % len(word_rows)
+        each = counts[word]
+        of_grams = grams[np.repeat(begins[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        for kind, size, owner, rows in (("word", WORD_ROWS, doc, word_rows[word]), ("gram", GRAM_ROWS, np.repeat(doc, each), of_grams)):
+            pairs = np.unique(owner * size + rows)
+            d = pairs // size + a
+            np.add.at(out[kind], (half[d], y[d].astype(np.int64), pairs % size), 1)
+    return out
+
+
 def embed(p: dict[str, np.ndarray], word_rows: np.ndarray, grams: np.ndarray, begins: np.ndarray, half: str = "") -> np.ndarray:
     """Input vectors of distinct words."""
     if not len(word_rows):
@@ -137,15 +152,11 @@ def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: i
     gram_counts, p = np.diff(np.append(begins, len(grams))), _initial(rng)
     tables = {"word": rng.normal(0, 0.02, (WORD_ROWS, DIM)).astype(np.float32), "gram": rng.normal(0, 0.02, (GRAM_ROWS, DIM)).astype(np.float32)}
     squares = {k: np.zeros(len(v), np.float32) for k, v in tables.items()}
-    doc_of = np.repeat(np.arange(len(rows)), words.counts())
-    distinct = np.unique(doc_of * np.int64(len(word_rows)) + number)
-    in_doc, in_word = distinct // len(word_rows), distinct % len(word_rows)
-    for name, own in (("", np.ones(len(rows), bool)), ("0", half == 1), ("1", half == 0)):  # half 0 sees the evidence of half 1
-        d, w = in_doc[own[in_doc]], in_word[own[in_doc]]
-        renumbered = np.cumsum(own) - 1
-        tables["zword" + name] = evidence(renumbered[d], word_rows[w], y[own], WORD_ROWS)
-        g_of = np.repeat(begins[w] - (np.cumsum(gram_counts[w]) - gram_counts[w]), gram_counts[w]) + np.arange(int(gram_counts[w].sum()))
-        tables["zgram" + name] = evidence(np.repeat(renumbered[d], gram_counts[w]), grams[g_of], y[own], GRAM_ROWS)
+    held = holders(words, number, word_rows, grams, begins, y, half)
+    for name, halves in (("", [0, 1]), ("0", [1]), ("1", [0])):  # half 0 sees the evidence of half 1
+        for kind, n in held.items():
+            n = n[halves].sum(0)
+            tables[f"z{kind}{name}"] = evidence(n.sum(0), n[1], y[np.isin(half, halves)].mean())
     adam = gru.Adam(p, RATE)
     for step in range(steps):
         adam.rate = RATE * (1 - step / steps)
@@ -255,13 +266,17 @@ def worst_windows(p: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", steps: int = STEPS) -> dict[str, np.ndarray] | float:
     """The model learned from labelled rows that are not held out; without both kinds of label, the share of toxic ones."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(known, "doc_id")
-    sample = bounded_sample(rows, "label", "text", SAMPLE_EACH, SAMPLE_CHARS)
-    kinds = {k for _, k in sample}
-    if len(kinds) < 2:
-        return float(1 in kinds)
-    return train(sample, rows.agg(F.avg("label")).first()[0], steps)
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out(F.col("doc_id")))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    if not counts:
+        return 0.0
+    # the labels are sampled first, so that few rows, whatever the data, are broadcast to meet their texts where these are
+    chosen = F.broadcast(chosen_rows(known, "label", counts, SAMPLE_EACH))
+    text = F.col(text_col)
+    sample = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(chosen, "doc_id").filter("text is not null").select(snippet(F.col("text"), SAMPLE_CHARS).alias("text"), "label").limit(2 * SAMPLE_EACH * len(counts))
+    rows = sorted((r[0], r[1]) for r in sample.collect())
+    prior = counts.get(1, 0) / sum(counts.values())
+    return train(rows, prior, steps) if len({k for _, k in rows}) == 2 else float(prior == 1.0)
 
 
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray] | float, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
