@@ -2,9 +2,11 @@
 
 A text's words enter the network as the sum of a hashed word embedding and the mean of hashed embeddings of the word's
 character (byte) n-grams with its ends marked, beside three evidence inputs: how far the training documents that hold the
-word, and its n-grams (mean and largest), are from the average share of toxic ones, in standard errors. While training,
-documents see the evidence of the other half of the sample only, so that a word of one document proves nothing. Overlapping windows of ``WINDOW`` words, one every ``STRIDE``, each go
-through the GRU and an attention pooling to a logit; a document's score is that of its worst window. All windows of the
+word, and its n-grams (mean and largest), are from the average share of toxic ones, in standard errors. Evidence is kept by
+full 64-bit hashes, so that in a large vocabulary no rare word takes over another one's, and deviations that chance explains
+are pressed to about zero, so that long texts do not gather them. While training, documents see the evidence of the other
+``FOLDS - 1`` parts of the sample only, so that a word of one document proves nothing. Overlapping windows of ``WINDOW``
+words, one every ``STRIDE``, each go through the GRU and an attention pooling to a logit; a document's score is that of its worst window. All windows of the
 whole text are scored. It is trained in numpy by backpropagation through time, as multiple-instance learning: a labelled
 document is a bag of windows and the gradient goes to its windows by their share in the soft maximum.
 
@@ -36,10 +38,15 @@ BATCH = 2048
 #: Labelled rows of a kind in the training sample (twice that at most) and characters of each.
 SAMPLE_EACH, SAMPLE_CHARS = 1500, 2000
 STEPS, RATE, EMBED_RATE, BAGS, BAG_WINDOWS = 200, 0.01, 0.02, 48, 6
+#: Parts of the sample for the evidence while training; standard errors that count as much; evidence too weak to keep.
+FOLDS, ERRORS, FAINT = 5, 5.0, 0.01
+
+
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's number among the distinct ones; the distinct words' embedding rows; their n-grams' rows, one word's after
+    """Each word's number among the distinct ones; the distinct words' hashes; their n-grams' hashes, one word's after
     another's, and where each word's begin."""
     distinct, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
     starts, lengths = words.starts[first], (words.ends - words.starts)[first]
@@ -56,12 +63,12 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         h = np.full(len(keep), U(n), U)
         for k in range(n):
             h = h * U(257) + wide[keep + k]
-        rows.append((mix(h) % U(GRAM_ROWS)).astype(np.int64))
+        rows.append(mix(h))
         owners.append(of[keep])
     owner, grams = np.concatenate(owners), np.concatenate(rows)
     order = np.argsort(owner, kind="stable")
     counts = np.bincount(owner, minlength=len(distinct))
-    return number, (distinct % U(WORD_ROWS)).astype(np.int64), grams[order], np.cumsum(counts) - counts
+    return number, distinct, grams[order], np.cumsum(counts) - counts
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,37 +89,63 @@ def padded(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pad: int)
 
 
 def evidence(n: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
-    """How far ``toxic`` of ``n`` documents are from what ``share`` lets expect, in standard errors, squeezed to (-1, 1)."""
-    return np.tanh((toxic - n * share) / np.sqrt(n * share * (1 - share) + 1) / 4).astype(np.float32)
+    """How far ``toxic`` of ``n`` documents are from what ``share`` lets expect, in standard errors, squeezed to (-1, 1) with
+    little left of what chance explains."""
+    return np.tanh(((toxic - n * share) / np.sqrt(n * share * (1 - share) + 1) / ERRORS) ** 3).astype(np.float32)
 
 
-def holders(words: Words, number: np.ndarray, word_rows: np.ndarray, grams: np.ndarray, begins: np.ndarray, y: np.ndarray, half: np.ndarray, block: int = 64) -> dict[str, np.ndarray]:
-    """For the hashed rows of words and of n-grams, ``[half, label, row]``: how many documents of that half of the sample and
-    with that label hold it. Documents are taken ``block`` at a time, so memory does not grow with the sample."""
-    counts = np.diff(np.append(begins, len(grams)))
-    out = {"word": np.zeros((2, 2, WORD_ROWS), np.int64), "gram": np.zeros((2, 2, GRAM_ROWS), np.int64)}
+def holders(words: Words, number: np.ndarray, n_words: int, gram_ids: np.ndarray, n_grams: int, begins: np.ndarray, y: np.ndarray, fold: np.ndarray, block: int = 64) -> dict[str, np.ndarray]:
+    """For the distinct words and n-grams, ``[fold, label, number]``: how many documents of that part of the sample and with
+    that label hold it. Documents are taken ``block`` at a time, so memory grows with the vocabulary only."""
+    counts = np.diff(np.append(begins, len(gram_ids)))
+    out = {"word": np.zeros((FOLDS, 2, n_words), np.int32), "gram": np.zeros((FOLDS, 2, n_grams), np.int32)}
     for a in range(0, len(y), block):
         docs = np.arange(a, min(a + block, len(y)))
         lo, hi = words.bounds[a], words.bounds[docs[-1] + 1]
-        distinct = np.unique(np.repeat(docs - a, words.counts()[docs]) * np.int64(len(word_rows)) + number[lo:hi])
-        doc, word = distinct // len(word_rows), distinct % len(word_rows)
+        distinct = np.unique(np.repeat(docs - a, words.counts()[docs]) * np.int64(max(1, n_words)) + number[lo:hi])
+        doc, word = distinct // max(1, n_words), distinct % max(1, n_words)
         each = counts[word]
-        of_grams = grams[np.repeat(begins[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-        for kind, size, owner, rows in (("word", WORD_ROWS, doc, word_rows[word]), ("gram", GRAM_ROWS, np.repeat(doc, each), of_grams)):
-            pairs = np.unique(owner * size + rows)
+        of_grams = gram_ids[np.repeat(begins[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        for kind, size, owner, ids in (("word", max(1, n_words), doc, word), ("gram", max(1, n_grams), np.repeat(doc, each), of_grams)):
+            pairs = np.unique(owner * size + ids)
             d = pairs // size + a
-            np.add.at(out[kind], (half[d], y[d].astype(np.int64), pairs % size), 1)
+            np.add.at(out[kind], (fold[d], y[d].astype(np.int64), pairs % size), 1)
     return out
 
 
-def embed(p: dict[str, np.ndarray], word_rows: np.ndarray, grams: np.ndarray, begins: np.ndarray, half: str = "") -> np.ndarray:
-    """Input vectors of distinct words."""
-    if not len(word_rows):
+def known(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """The evidence that ``table`` (sorted hashes, values) holds for each hash; 0 for a hash that it lacks."""
+    if not len(table[0]):
+        return np.zeros(len(hashes), np.float32)
+    at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+    return np.where(table[0][at] == hashes, table[1][at], np.float32(0))
+
+
+def embed(p: dict, words: np.ndarray, grams: np.ndarray, begins: np.ndarray, of_words: np.ndarray | None = None, of_grams: np.ndarray | None = None) -> np.ndarray:
+    """Input vectors of distinct words, given by hashes; their evidence is ``p``'s unless it is given."""
+    if not len(words):
         return np.zeros((0, INPUT), np.float32)
     counts = np.diff(np.append(begins, len(grams)))[:, None].astype(np.float32)
-    zg = p["zgram" + half][grams]
-    learned = p["word"][word_rows] + np.add.reduceat(p["gram"][grams], begins) / counts
-    return np.concatenate([learned, p["zword" + half][word_rows][:, None], np.add.reduceat(zg, begins)[:, None] / counts, np.maximum.reduceat(zg, begins)[:, None]], 1)
+    zw = known(p["zword"], words) if of_words is None else of_words
+    zg = known(p["zgram"], grams) if of_grams is None else of_grams
+    learned = p["word"][rows_of(words, WORD_ROWS)] + np.add.reduceat(p["gram"][rows_of(grams, GRAM_ROWS)], begins) / counts
+    return np.concatenate([learned, zw[:, None], np.add.reduceat(zg, begins)[:, None] / counts, np.maximum.reduceat(zg, begins)[:, None]], 1)
+
+
+def rows_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes % U(size)).astype(np.int64)
+
+
+def joined(texts: pa.Array) -> Words:
+    """The words of all texts, split a slice at a time so that only the result is held whole."""
+    parts, offset, done = [], 0, 0
+    bounds = [np.zeros(1, np.int64)]
+    for a, b in slices(texts):
+        w = split_words(texts.slice(a, b - a))
+        parts.append((w.hashes, w.starts + offset, w.ends + offset, w.data))
+        bounds.append(w.bounds[1:] + done)
+        offset, done = offset + len(w.data), done + len(w.hashes)
+    return Words(np.concatenate([q[0] for q in parts]), np.concatenate(bounds), *(np.concatenate([q[k] for q in parts]) for k in (1, 2, 3)))
 
 
 def _initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -142,25 +175,41 @@ def _pad_gates() -> np.ndarray:
 def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: int = 0) -> dict[str, np.ndarray]:
     """Fit on ``(text, label)`` rows of both labels; ``prior`` is the share of toxic ones outside the sample."""
     rng = np.random.default_rng(seed)
-    words = split_words(pa.array([t for t, _ in rows], pa.string()))
-    number, word_rows, grams, begins = features(words)
+    words = joined(pa.array([t for t, _ in rows], pa.string()))
+    number, distinct, grams, begins = features(words) if len(words.hashes) else NOTHING
+    gram_hashes, gram_ids = np.unique(grams, return_inverse=True)
     starts, sizes, of = windows(words.bounds)
     y = np.array([k for _, k in rows], np.float32)
     first = np.searchsorted(of, np.arange(len(rows) + 1))
-    half = rng.permutation(len(rows)) % 2
-    kinds = [[np.flatnonzero((y == k) & (half == i)) for k in (0, 1)] for i in (0, 1)]
+    fold = np.empty(len(rows), np.int64)
+    for k in (0, 1):  # every part has its share of both labels
+        own = rng.permutation(np.flatnonzero(y == k))
+        fold[own] = np.arange(len(own)) % FOLDS
+    kinds = [[np.flatnonzero((y == k) & (fold == i)) for k in (0, 1)] for i in range(FOLDS)]
+    sides = [i for i in range(FOLDS) if len(kinds[i][0]) and len(kinds[i][1])] if min((y == 0).sum(), (y == 1).sum()) > 1 else []
     gram_counts, p = np.diff(np.append(begins, len(grams))), _initial(rng)
     tables = {"word": rng.normal(0, 0.02, (WORD_ROWS, DIM)).astype(np.float32), "gram": rng.normal(0, 0.02, (GRAM_ROWS, DIM)).astype(np.float32)}
     squares = {k: np.zeros(len(v), np.float32) for k, v in tables.items()}
-    held = holders(words, number, word_rows, grams, begins, y, half)
-    for name, halves in (("", [0, 1]), ("0", [1]), ("1", [0])):  # half 0 sees the evidence of half 1
-        for kind, n in held.items():
-            n = n[halves].sum(0)
-            tables[f"z{kind}{name}"] = evidence(n.sum(0), n[1], y[np.isin(half, halves)].mean())
+    held = holders(words, number, len(distinct), gram_ids, len(gram_hashes), begins, y, fold)
+
+    def weighed(parts: np.ndarray) -> dict[str, np.ndarray]:
+        share = y[np.isin(fold, parts)].mean()
+        return {kind: evidence(n[parts].sum((0, 1)), n[parts, 1].sum(0), share) for kind, n in held.items()}
+
+    def kept_table(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        strong = np.abs(values) >= FAINT
+        return hashes[strong], values[strong]
+
+    def tables_of(found: dict[str, np.ndarray]) -> dict:
+        return {"zword": kept_table(distinct, found["word"]), "zgram": kept_table(gram_hashes, found["gram"])}
+
+    whole = weighed(np.arange(FOLDS))
+    others = {i: weighed(np.setdiff1d(np.arange(FOLDS), i)) for i in sides}
     adam = gru.Adam(p, RATE)
     for step in range(steps):
         adam.rate = RATE * (1 - step / steps)
-        side = step % 2 if all(len(k) for k in (*kinds[0], *kinds[1])) else None
+        side = sides[step % len(sides)] if sides else None
+        found = whole if side is None else others[side]
         docs = np.concatenate([rng.choice(np.flatnonzero(y == k) if side is None else kinds[side][k], BAGS // 2) for k in (0, 1)])
         pick, bag = [], []
         for i, d in enumerate(docs):
@@ -174,7 +223,7 @@ def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: i
         used, local = np.unique(x[real], return_inverse=True)
         counts = gram_counts[used]
         gi = np.repeat(begins[used] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        vec = embed(tables, word_rows[used], grams[gi], np.cumsum(counts) - counts, "" if side is None else str(side))
+        vec = embed(tables, distinct[used], grams[gi], np.cumsum(counts) - counts, found["word"][used], found["gram"][gram_ids[gi]])
         ids = np.full(x.shape, len(used))
         ids[real] = local
         h, kept, g = {}, {}, {}
@@ -209,15 +258,15 @@ def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: i
             dvec += dtable @ p[f"w{d}"].T
         adam.step(grads)
         # embeddings learn slowly: in a small sample they would only tell its documents apart
-        _descend(tables["word"], squares["word"], word_rows[used], dvec[:, :DIM], EMBED_RATE * adam.rate)
-        _descend(tables["gram"], squares["gram"], grams[gi], np.repeat(dvec[:, :DIM] / counts[:, None], counts, axis=0), EMBED_RATE * adam.rate)
+        _descend(tables["word"], squares["word"], rows_of(distinct[used], WORD_ROWS), dvec[:, :DIM], EMBED_RATE * adam.rate)
+        _descend(tables["gram"], squares["gram"], rows_of(grams[gi], GRAM_ROWS), np.repeat(dvec[:, :DIM] / counts[:, None], counts, axis=0), EMBED_RATE * adam.rate)
     worst = np.empty(len(rows))
-    for i in (0, 1):  # every document as it would be scored, by evidence that it is no part of
-        seen = p | {k: v for k, v in tables.items() if k[-1] not in "01"} | {"zword": tables[f"zword{i}"], "zgram": tables[f"zgram{i}"]}
-        own = np.flatnonzero(half == i)
-        worst[own] = worst_windows(seen, pa.array([rows[k][0] for k in own], pa.string()))
+    for i in range(FOLDS):  # every document as it would be scored, by evidence that it is no part of
+        own = np.flatnonzero(fold == i)
+        if len(own):
+            worst[own] = worst_windows(p | tables | tables_of(others.get(i, whole)), pa.array([rows[k][0] for k in own], pa.string()))
     p["scale"] = calibrated(worst, y, prior)
-    return p | {k: v for k, v in tables.items() if k[-1] not in "01"}
+    return p | tables | tables_of(whole)
 
 
 def calibrated(logits: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
@@ -244,9 +293,9 @@ def worst_windows(p: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
     out = np.empty(len(texts))
     for a, b in slices(texts):
         words = split_words(texts.slice(a, b - a))
-        number, word_rows, grams, begins = features(words) if len(words.hashes) else (np.zeros(0, np.int64),) * 4
+        number, distinct, grams, begins = features(words) if len(words.hashes) else NOTHING
         starts, sizes, of = windows(words.bounds)
-        vec = embed(p, word_rows, grams, begins)
+        vec = embed(p, distinct, grams, begins)
         tables = {d: gru.folded(np.concatenate([vec @ p[f"w{d}"] + p[f"c{d}"], _pad_gates().reshape(1, -1)]).reshape(-1, 3, SIZE), p[f"u{d}"]) for d in "fb"}
         logits = np.empty(len(starts), np.float32)
         for k in range(0, len(starts), BATCH):

@@ -117,6 +117,23 @@ def test_features_group_grams_by_word():
     assert (np.diff(np.append(begins, len(grams))) > 0).all()
 
 
+def test_long_clean_texts_stay_clean():
+    """Rare words, ever new ones, must not add up to a toxic text, however long it is."""
+    rng = random.Random(3)
+    sounds = ["ka", "lo", "mi", "ru", "te", "sa", "po", "ne", "vi", "du"]
+    rows = []
+    for i in range(400):
+        ws = ["".join(rng.choice(sounds) for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(20, 200))]
+        if i % 5 == 0:
+            ws.insert(rng.randrange(len(ws)), rng.choice(["zorg", "blaft", "quix"]))
+        rows.append((" ".join(ws), int(i % 5 == 0)))
+    model = toxicity.train(rows, 0.2)
+    clean = [" ".join("".join(rng.choice(sounds) for _ in range(rng.randrange(2, 6))) for _ in range(6000)) for _ in range(10)]
+    bad = [c[:20000] + " blaft " + c[20000:] for c in clean]
+    assert (toxicity.scores(model, pa.array(clean)) < 0.5).all()
+    assert (toxicity.scores(model, pa.array(bad)) >= 0.5).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
