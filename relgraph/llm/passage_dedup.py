@@ -5,12 +5,16 @@ Suffixes are kept only where a text's content selects them: at the minimisers of
 Suffixes whose first gram occurs only once cannot be in a repeated passage and go after a map-side combined count. Of the
 others, the words to the right (the suffix as far as a passage through the minimiser can reach) and to the left are kept.
 They are sorted over all partitions by the words to the right, neighbours are compared, and each match is extended to the
-right and to the left; a match of ``MIN_WORDS`` words or more marks both places. Neighbours in the order of the words to the
-left are compared as well, within the suffixes of one gram. Longer passages are the union of overlapping marks, as
-minimisers lie less than a window apart.
+right and to the left; a match of ``MIN_WORDS`` words or more marks both places. Longer passages are the union of
+overlapping marks, as minimisers lie less than a window apart.
 
-The sort is by range with ties parted by further words, so no key meets in one task; where a partition ends, its last suffix
-and the next one's first are compared in a second, small step (two rows a partition).
+Neighbours alone miss copies that others part in the order. No two suffixes share more words to the right than one of them
+does with a neighbour, so what may be missed is known: the windows of ``MIN_WORDS`` words through a minimiser that a
+neighbour's match allows on the right and that the suffix before does not share. Those are grouped by their hash: on the
+spot where all suffixes of a gram are at hand, else (a gram at the end of a partition, or of more than ``BLOCK`` suffixes)
+over all partitions. Nothing depends on where a batch or a partition ends.
+
+The sort is by range with ties parted by further words, so no key meets in one task.
 
 Defined results: null and empty texts have no passage; repeated rows are documents like others, so a text of ``MIN_WORDS``
 words or more that occurs twice is marked whole in both; a passage repeated within one document counts; an empty table gives
@@ -27,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import cut, partitions, read
-from .words import U, fold, slices, split_words
+from .words import _BASE, U, fold, mix, slices, split_words
 
 MIN_WORDS, GRAM = 50, 10
+#: Suffixes of one gram worked on together; the windows of a gram with more are grouped over all partitions.
+BLOCK = 1 << 14
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -89,7 +95,7 @@ def _contexts(gram: int, least: int):
                         rows.append(a + i)
                         at.append(p)
                         right.append(own[p : p + least].tobytes())
-                        left.append(back[len(own) - p : len(own) - p + least - 1].tobytes())
+                        left.append(back[len(own) - p : len(own) - p + least - gram].tobytes())
                 yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names=["uid", "at", "suffix", "before"])
 
     return run
@@ -110,75 +116,97 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), a.shape[1], same.argmin(1)) if len(a) else np.zeros(0, np.int64)
 
 
-def neighbour_matches(right: np.ndarray, left: np.ndarray, order: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Neighbours in ``order`` whose match, extended both ways, has ``least`` words: ``(row, words left, words right)``."""
-    a, b = order[:-1], order[1:]
-    r, l = common(right[a], right[b]), common(left[a], left[b])
-    hit = r + l >= least
-    return [(x[hit], l[hit], r[hit]) for x in (a, b)]
+def window_hashes(right: np.ndarray, left: np.ndarray, row: np.ndarray, x: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of windows of ``least`` words with ``x`` words left of the minimiser of ``row``; ``x`` is mixed in, so windows of
+    one place through two minimisers are not taken for two."""
+    words = np.concatenate([left[:, ::-1], right], 1).astype(U)
+    sums, far = np.zeros((len(words), words.shape[1] + 1), U), U(1)
+    for k in range(words.shape[1]):
+        sums[:, k + 1] = sums[:, k] * _BASE + words[:, k]
+    for _ in range(least):
+        far = far * _BASE
+    begin = left.shape[1] - x
+    return mix(mix(sums[row, begin + least] - sums[row, begin] * far) + x.astype(U))
 
 
-def _compare(gram: int, least: int):
+def _compare(gram: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's rows come sorted by suffix. They are worked on as they come, the last row of a batch leading the
-        next; rows of one gram stay together where a batch ends within them."""
-        names, carried, first = ["uid", "begin", "end", "edge", "at", "suffix", "before"], None, True
+        """A partition's rows come sorted by suffix. They are worked on in whole grams; the first and last gram may go on in
+        another partition, and one of more than ``most`` rows is not held: the windows of those are given out."""
 
-        def marks(block: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        def marks(block: pa.Table, whole: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+            """``whole``: rows all of whose gram's suffixes are in the block."""
             suffix, before = block["suffix"].to_pylist(), block["before"].to_pylist()
-            right, left = matrix(suffix, least, 1 << 33), matrix(before, least - 1, 1 << 33)
-            at = block["at"].to_numpy().astype(np.int64)
-            found = neighbour_matches(right, left, np.arange(len(at)), least)
-            group = np.cumsum(np.append(0, (right[1:, :gram] != right[:-1, :gram]).any(1)))
-            by_left = np.array(sorted(range(len(at)), key=lambda i: (group[i], before[i])), np.int64)
-            same = group[by_left[:-1]] == group[by_left[1:]]
-            for row, l, r in neighbour_matches(right, left, by_left, least) if same.any() else []:
-                found.append((row, l, r))
-            row, l, r = (np.concatenate([f[k] for f in found]) for k in range(3))
-            n = len(row)
-            return pa.record_batch(
-                [block["uid"].combine_chunks().take(pa.array(row)) if isinstance(block, pa.Table) else block["uid"].take(pa.array(row)), pa.array(at[row] - l), pa.array(at[row] + r), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
-                names=names,
-            )
-
-        def edge(block: pa.Table, i: int, which: str) -> pa.RecordBatch:
-            row = block.slice(i, 1).combine_chunks().to_batches()[0]
-            none = pa.nulls(1, pa.int64())
-            return pa.record_batch([row["uid"], none, none, pa.array([which]), row["at"], row["suffix"], row["before"]], names=names)
-
+            right, left = matrix(suffix, least, 1 << 33), matrix(before, least - gram, 1 << 33)
+            at, n = block["at"].to_numpy().astype(np.int64), len(block)
+            r, l = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # shared with the row before
+            r[1:n], l[1:n] = common(right[:-1], right[1:]), common(left[:-1], left[1:])
+            hit = r + l >= least
+            ahead, back = np.where(hit, r, 0), np.where(hit, l, 0)
+            ahead, back = np.maximum(ahead[:-1], ahead[1:]), np.maximum(back[:-1], back[1:])
+            # windows by the number x of words left of the minimiser
+            x = np.arange(least - gram + 1)[None, :]
+            reach = np.maximum(r[:-1], r[1:])
+            reach[[k for k in (0, n - 1) if not whole[k]]] = least  # a neighbour is elsewhere
+            has_left, has_right = (np.array([len(v) // 4 for v in values], np.int64) for values in (before, suffix))
+            may = (x <= has_left[:, None]) & (least - x <= np.minimum(reach, has_right)[:, None])
+            shared = (least - x <= r[:-1, None]) & (x <= l[:-1, None])
+            after = (least - x <= r[1:, None]) & (x <= l[1:, None])
+            left_open = (may & ~shared & ~after).any(1) | ~whole
+            asked = np.zeros(int(grams[-1]) + 1, bool)
+            asked[grams[left_open]] = True
+            asked = asked[grams] & ((np.bincount(grams)[grams] > 2) | ~whole)  # two are each other's neighbours
+            row, back_by = np.nonzero(may & ~shared & asked[:, None])
+            hashes = window_hashes(right, left, row, back_by, least) if len(row) else np.zeros(0, U)
+            here = whole[row]
+            _, which, count = np.unique(hashes[here], return_inverse=True, return_counts=True)
+            again = count[which] > 1
+            np.maximum.at(back, row[here][again], back_by[here][again])
+            np.maximum.at(ahead, row[here][again], least - back_by[here][again])
+            # all of a place's windows hold its gram, so they are one stretch
+            marked = np.flatnonzero(ahead)
+            out, out_x = row[~here], back_by[~here]
+            rows = np.concatenate([marked, out])
+            begin = np.concatenate([at[marked] - back[marked], at[out] - out_x])
+            end = np.concatenate([at[marked] + ahead[marked], at[out] - out_x + least])
+            window = pa.concat_arrays([pa.nulls(len(marked), pa.int64()), pa.array(hashes[~here].view(np.int64))])
+            return pa.record_batch([block["uid"].combine_chunks().take(pa.array(rows)), pa.array(begin), pa.array(end), window], names=["uid", "begin", "end", "window"])
+
+        def numbered(suffixes: list[bytes]) -> np.ndarray:
+            heads = [v[: 4 * gram] for v in suffixes]
+            return np.cumsum([0] + [a != b for a, b in zip(heads, heads[1:], strict=False)])
+
+        held, size, head = [], 0, None  # the rows of the last gram so far
+        cut_gram = None  # the gram some rows of which are elsewhere
         for batch in batches:
             if not len(batch):
                 continue
-            table = pa.Table.from_batches([batch])
-            if first:
-                yield edge(table, 0, "first")
-                first = False
-            table = pa.concat_tables([carried, table]) if carried is not None else table
-            yield marks(table.combine_chunks())
-            # what the next batch's first rows are compared with: the last gram's rows so far, a bounded number of them
-            suffix = table["suffix"].slice(max(0, len(table) - 4096)).to_pylist()
-            last, keep = suffix[-1][: 4 * gram], 1
-            while keep < len(suffix) and suffix[-keep - 1][: 4 * gram] == last:
-                keep += 1
-            carried = table.slice(len(table) - keep)
-        if carried is not None:
-            yield edge(carried, len(carried) - 1, "last")
+            first, last = (batch.column(2)[k].as_py()[: 4 * gram] for k in (0, len(batch) - 1))
+            if cut_gram is None:
+                cut_gram = first
+            held.append(batch)
+            size += len(batch)
+            if not (first == last and head in (None, first)):
+                table = pa.Table.from_batches(held).combine_chunks()
+                suffix = table["suffix"].to_pylist()
+                grams = numbered(suffix)
+                done = int(np.searchsorted(grams, grams[-1]))
+                opened = int(np.searchsorted(grams, 1)) if suffix[0][: 4 * gram] == cut_gram else 0
+                if done:
+                    yield marks(table.slice(0, done).combine_chunks(), np.arange(done) >= opened, grams[:done])
+                held, size = table.slice(done).combine_chunks().to_batches(), len(table) - done
+            head = last
+            if size > most:
+                table, cut_gram = pa.Table.from_batches(held).combine_chunks(), last
+                yield marks(table, np.zeros(size, bool), np.zeros(size, np.int64))
+                held, size = [], 0
+        if size:
+            yield marks(pa.Table.from_batches(held).combine_chunks(), np.zeros(size, bool), np.zeros(size, np.int64))
 
     return run
 
 
-def _span(order, least: int) -> list[tuple[int, int, int]]:
-    """Marks from the edges of neighbouring partitions: ``(index, begin, end)``."""
-    out = []
-    for (i, a), (j, b) in zip(order, order[1:], strict=False):
-        right, left = matrix([a["suffix"], b["suffix"]], least, 1 << 33), matrix([a["before"], b["before"]], least - 1, 1 << 33)
-        r, l = int(common(right[:1], right[1:])[0]), int(common(left[:1], left[1:])[0])
-        if r + l >= least:
-            out += [(i, a["at"] - l, a["at"] + r), (j, b["at"] - l, b["at"] + r)]
-    return out
-
-
-def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, start_word, end_word, n_words``: the longest stretches of each document all of which is in passages of
     ``least`` words or more that occur elsewhere too (in another document or another place)."""
     spark = docs.sparkSession
@@ -190,12 +218,10 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM,
     wanted = cut(places.join(repeated, "key").select("uid", "at").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("at")).alias("places")))
     contexts = texts.select("uid", "text").join(wanted, "uid").select("uid", "text", "places").mapInArrow(_contexts(gram, least), "uid long, at int, suffix binary, before binary")
     ordered = contexts.repartitionByRange(partitions(spark), "suffix", "before", "uid", "at").sortWithinPartitions("suffix", "before", "uid", "at")
-    compared = cut(ordered.mapInArrow(_compare(gram, least), "uid long, begin long, end long, edge string, at int, suffix binary, before binary"))
-    edges = compared.filter("edge is not null").orderBy("suffix", "before", "uid", "at", F.when(F.col("edge") == "first", 0).otherwise(1)).collect()  # two rows a partition
-    extra = [(edges[i]["uid"], b, e) for i, b, e in _span([(i, r) for i, r in enumerate(edges)], least)]
-    marks = compared.filter("edge is null").select("uid", "begin", "end")
-    if extra:
-        marks = marks.unionAll(spark.createDataFrame(extra, "uid long, begin long, end long"))
+    compared = cut(ordered.mapInArrow(_compare(gram, least, block), "uid long, begin long, end long, window long"))
+    asked = compared.filter("window is not null")
+    again = asked.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    marks = compared.filter("window is null").select("uid", "begin", "end").unionAll(asked.join(again, "window").select("uid", "begin", "end"))
     spans = marks.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("marks"))
     merged = F.aggregate(
         "marks",

@@ -166,3 +166,21 @@ def test_repeated_passages(spark, parts):
     # repeated rows are one key, so their span is given for each of the rows
     assert set(got) == set(want)
     assert passage_dedup.repeated_passages(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("parts", "block"), [(1, 1 << 14), (1, 100), (6, 1 << 14)])
+def test_passages_around_a_frequent_line(spark, parts, block):
+    """Copies '35 own words + a line' whose neighbours in suffix order are other texts with that line."""
+    rng = random.Random(9)
+    line = sentence(rng, 20)
+    rows = [(k, " ".join([sentence(rng, 45), line, sentence(rng, 40)])) for k in range(600)]
+    for k in range(40):
+        own = sentence(rng, 35)
+        rows += [(1000 + 2 * k + j, " ".join([sentence(rng, 12), own, line, sentence(rng, 30)])) for j in (0, 1)]
+    want = {(1000 + k, 12, 67, 55) for k in range(80)}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {tuple(r) for r in passage_dedup.repeated_passages(docs(spark, rows), block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
