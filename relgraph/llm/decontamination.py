@@ -8,7 +8,7 @@ with words unlike any other) is within ``floor(max_edit * n)`` word edits of the
 2. Each item-sized window there is embedded by CGK random walks, which map edit distance to Hamming distance: at step j the
    walk emits the current word and advances if a random bit of (j, word) says so.
 3. Bit sampling: ``SAMPLES`` positions of a walk's output make a key; a window is a candidate of every item of its size with
-   an equal key in one of ``WALKS * KEYS`` tables, as many as the target recall needs.
+   an equal key in one of the tables, ``KEYS`` for each of as many walks as the target recall needs at its size.
 4. Candidates are verified by the exact edit distance.
 
 Items are broadcast in blocks of at most ``BLOCK_WORDS`` words, each block a pass over the documents, so what is broadcast
@@ -34,19 +34,26 @@ from .words import U, fold, mix, slices, split_words
 
 MAX_EDIT = 0.2
 RECALL = 0.999
-#: Share of a walk's positions that differ at the largest distance allowed (measured; see the tests), and positions in a key.
-FAR, SAMPLES = 0.4, 3
-WALKS = 6
+#: Positions in a key, and keys of a walk.
+SAMPLES, KEYS = 3, 20
+#: How often one walk's keys find a window at the largest distance allowed, by its words (250 windows with substitutions,
+#: insertions and deletions, 48 walks; see the tests). Walks are independent of each other, the keys of one are not.
+FOUND = ((60, 0.88), (120, 0.85), (240, 0.80), (480, 0.76))
+#: Walks beyond those the target recall needs at these rates, as windows differ in how easily they are found.
+SPARE = 2
 BLOCK_WORDS = 200_000
 STRETCH = 3
 
 
-def tables_needed(recall: float = RECALL, far: float = FAR, samples: int = SAMPLES) -> int:
-    """Keys of ``samples`` positions that find a window with a share ``far`` of differing positions with probability ``recall``."""
-    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - far) ** samples))))
+def found_rate(n: int) -> float:
+    """``FOUND`` for windows of ``n`` words; where it ends, 0.06 less for each doubling, as it falls before."""
+    longest, least = FOUND[-1]
+    return next((rate for most, rate in FOUND if n <= most), max(0.1, least - 0.06 * float(np.ceil(np.log2(max(n, longest) / longest)))))
 
 
-KEYS = -(-tables_needed() // WALKS)
+def walks_needed(n: int, recall: float = RECALL) -> int:
+    """Walks that find a window of ``n`` words at the largest distance with probability ``recall``."""
+    return SPARE + int(np.ceil(np.log(1 - recall) / np.log1p(-found_rate(n))))
 
 
 def allowed(n: int, max_edit: float = MAX_EDIT) -> int:
@@ -62,30 +69,36 @@ def gram_size(n: int, k: int) -> int:
 class Walks:
     """The random choices of the embedding and of the sampling, the same in every process."""
 
-    def __init__(self, longest: int, seed: int = 17):
+    def __init__(self, sizes: np.ndarray, seed: int = 17):
         rng = np.random.default_rng(seed)
-        self.odds = rng.integers(0, 1 << 63, (WALKS, STRETCH * longest), dtype=U) * U(2) + U(1)
-        self.places = rng.random((WALKS, KEYS, SAMPLES))
-
-    def keys(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """``[WALKS * KEYS, windows]`` keys of windows ``[rows, longest]`` with their sizes (mixed into the keys)."""
-        rows, longest = windows.shape
-        out = np.empty((WALKS * KEYS, rows), U)
-        flat, base = np.append(windows.reshape(-1), U(0)), np.arange(rows) * longest
-        steps = STRETCH * int(sizes.max(initial=0))
-        emitted = np.empty((steps, rows), U)
-        for w in range(WALKS):
-            at = np.zeros(rows, np.int64)
+        longest = int(sizes.max(initial=1))
+        self.walks = np.zeros(longest + 1, np.int64)  # by size
+        for n in np.unique(sizes):
+            self.walks[n] = walks_needed(int(n))
+        most = int(self.walks.max())
+        self.odds = rng.integers(0, 1 << 63, (most, STRETCH * longest), dtype=U) * U(2) + U(1)
+        self.places = rng.random((most, KEYS, SAMPLES))
+
+    def keys(self, windows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each table the rows of windows ``[rows, longest]`` whose size takes that walk, and their keys (sizes are mixed
+        in)."""
+        longest = windows.shape[1]
+        flat = np.append(windows.reshape(-1), U(0))
+        for w in range(len(self.odds)):
+            rows = np.flatnonzero(self.walks[sizes] > w)
+            own, base = sizes[rows], rows * longest
+            steps = STRETCH * int(own.max(initial=0))
+            emitted = np.empty((steps, len(rows)), U)
+            at = np.zeros(len(rows), np.int64)
             for j in range(steps):
-                word = flat[np.where(at < sizes, base + at, len(flat) - 1)]
+                word = flat[np.where(at < own, base + at, len(flat) - 1)]
                 emitted[j] = word
                 at += (mix(word * self.odds[w, j]) >> U(63)).astype(np.int64)
             for k in range(KEYS):
-                h = mix(sizes.astype(U) + U(1000 * (w * KEYS + k)))
+                h = mix(own.astype(U) + U(1000 * (w * KEYS + k)))
                 for place in self.places[w, k]:
-                    h = mix(h * U(31) + emitted[(place * STRETCH * sizes).astype(np.int64), np.arange(rows)])
-                out[w * KEYS + k] = h
-        return out
+                    h = mix(h * U(31) + emitted[(place * STRETCH * own).astype(np.int64), np.arange(len(rows))])
+                yield rows, h
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,12 +139,12 @@ class Items:
                 seen = np.zeros(1 << 20, bool)
                 seen[(pairs["g"] >> U(44)).astype(np.int64)] = True
                 self.grams[q] = (np.ascontiguousarray(pairs["g"]), np.ascontiguousarray(pairs["r"]), seen)
-        self.walks = Walks(max(1, self.longest))
+        self.walks = Walks(self.sizes)
         self.tables = []
         if len(keep):
-            for key in self.walks.keys(self.words, self.sizes):
+            for rows, key in self.walks.keys(self.words, self.sizes):
                 order = np.argsort(key, kind="stable")
-                self.tables.append((key[order], order))
+                self.tables.append((key[order], rows[order]))
 
     def starts(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows ``(text, start, size)`` of all texts that share enough q-grams with an item of their size."""
@@ -176,10 +189,10 @@ class Items:
     def candidates(self, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs ``(window, item)`` of equal size with an equal key in some table."""
         pairs = []
-        for key, (sorted_, order) in zip(self.walks.keys(windows, sizes), self.tables, strict=True):
+        for (rows, key), (sorted_, order) in zip(self.walks.keys(windows, sizes), self.tables, strict=True):
             lo, hi = np.searchsorted(sorted_, key, "left"), np.searchsorted(sorted_, key, "right")
             each = hi - lo
-            w = np.repeat(np.arange(len(key)), each)
+            w = np.repeat(rows, each)
             pairs.append(w * len(self.ids) + order[np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))])
         both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         w, i = both // max(1, len(self.ids)), both % max(1, len(self.ids))
@@ -189,6 +202,7 @@ class Items:
     def search(self, texts: pa.Array, chunk: int = 1 << 15) -> list[tuple[int, int, int, int]]:
         """``(text, item row, start word, edits)``: for each text and item the closest window, the earliest of those."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        chunk = min(chunk, max(256, (1 << 23) // (STRETCH * max(1, self.longest))))  # what a walk emits, bounded
         for a, b in slices(texts):
             words = split_words(texts.slice(a, b - a))
             text, at, size = self.starts(words.hashes, words.bounds)

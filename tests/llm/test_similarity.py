@@ -139,6 +139,29 @@ def test_embedding_recall():
     assert len(set(w[w == i].tolist())) >= 0.97 * 400
 
 
+@pytest.mark.parametrize("n", [40, 120, 300, 700])
+def test_embedding_recall_with_insertions_and_deletions(n):
+    """The target recall at the largest distance, of items of any length: at most as many misses as two standard errors allow."""
+    rng, many = random.Random(n), 1500
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(many)]
+    found = decontamination.Items(list(range(many)), [" ".join(x) for x in items])
+    edited = []
+    for x in items:
+        ws, k = list(x), decontamination.allowed(n)
+        moved = rng.randrange(k // 2 + 1)  # a word out and another in are two edits
+        for p in rng.sample(range(n), k - 2 * moved):
+            ws[p] = f"z{rng.randrange(10**6)}"
+        for _ in range(moved):
+            del ws[rng.randrange(len(ws))]
+            ws.insert(rng.randrange(n), f"z{rng.randrange(10**6)}")
+        edited.append(" ".join(ws))
+    other = decontamination.Items(list(range(many)), edited)
+    w, i = found.candidates(other.words, other.sizes)
+    missed = many - len(set(w[w == i].tolist()))
+    print(n, missed)
+    assert missed <= many * (1 - decontamination.RECALL) + 2 * (many * (1 - decontamination.RECALL)) ** 0.5
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_repeated_passages(spark, parts):
     rng = random.Random(4)
