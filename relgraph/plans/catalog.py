@@ -300,12 +300,12 @@ def clique4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.cliques(hold(graphs.copart_s(spark, sf_dir)), 4)
 
 
-def _clique_count(k: int, graph, ctes: str, table: str) -> None:
+def _clique_count(k: int, graph, ctes: str, table: str, name: str | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = motifs.cliques(hold(prep.normalize(graph(spark, sf_dir))), k, expand=False)
         return motifs.factor_count(found, motifs.NAMES[k - 1], "cliques")
 
-    _register(f"with {ctes} {_clique_sql(table, k, 'count(*) as cliques')}", f"clique{k}_count")(query)
+    _register(f"with {ctes} {_clique_sql(table, k, 'count(*) as cliques')}", name or f"clique{k}_count")(query)
 
 
 _clique_count(4, graphs.trans, f"{TRANS}, {NORM}", "norm")
@@ -313,6 +313,54 @@ _clique_count(5, graphs.copart_r, COPART_R, "copart_r")
 _clique_count(6, graphs.copart_r, COPART_R, "copart_r")
 
 
+# --- the same operators on whole graphs ------------------------------------------------------------------
+
+SYM = "sym as materialized (select src, dst from copart union select dst, src from copart)"
+DEG = "deg as materialized (select v, count(*) as degree from (select src as v from copart union all select dst from copart) group by v)"
+_WHOLE_ENDS = _ENDS.replace("copart_s", "copart")
+
+
+@_register(f"with {COPART}, {SYM} select src, dst from sym")
+def graph_symmetrize_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.symmetrize(graphs.copart(spark, sf_dir))
+
+
+@_register(f"with {COPART}, {DEG}, e as ({_WHOLE_ENDS}) select case when da < db or (da = db and src < dst) then src else dst end as src, case when da < db or (da = db and src < dst) then dst else src end as dst from e")
+def orient_by_degree_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.orient_by_degree(hold(graphs.copart(spark, sf_dir)))
+
+
+@_register(f"with {COPART}, {DEG}, e as ({_WHOLE_ENDS}) select case when da <= db then src else dst end as src, case when da <= db then dst else src end as dst from e")
+def swap_by_degree_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.swap_by_degree(hold(graphs.copart(spark, sf_dir)))
+
+
+@_register(f"with {COPART}, e as (select src, dst, src % 7 as da, dst % 7 as db from copart) select case when da < db then src else dst end as src, case when da < db then dst else src end as dst from e")
+def orient_by_value_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = hold(graphs.copart(spark, sf_dir))
+    return prep.orient_by_value(e, prep.vertices(e).withColumn("value", F.col("v") % 7))
+
+
+@_register(f"with {COPART} select e.src, e.dst, i.n from copart e join (select src as k, count(*) as n from copart group by src) i on i.k = e.dst")
+def index_join_lookup_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = hold(graphs.copart(spark, sf_dir))
+    return generic_join.index_join(e, generic_join.build_index(e, "src", "dst"), "dst").select("src", "dst", "n")
+
+
+@_register(f"with {COPART}, {SYM} {_RECT.format('sym')}")
+def rectangles_symmetric_count_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.factor_count(motifs.rectangles(hold(prep.symmetrize(graphs.copart(spark, sf_dir)))), "d", "rectangles")
+
+
+@_register(f"with {COPART} {_clique_sql('copart', 4, _FOUR)}")
+def clique4_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.cliques(hold(graphs.copart(spark, sf_dir)), 4)
+
+
+for _k in (5, 6):  # on the whole event graph: on copart DuckDB takes too long at sf0.001 already
+    _clique_count(_k, graphs.trans, f"{TRANS}, {NORM}", "norm", f"clique{_k}_count_trans")
+
+
 # --- PageRank ----------------------------------------------------------------------------------------------------------
 
 _W = "w as materialized (select ps.src, ps.dst, 1.0::double / d.degree as w from ps join (select src, count(*) as degree from ps group by src) d on d.src = ps.src), ids as materialized (select src as v from ps union select dst from ps), s as materialized (select distinct src as v from ps)"

@@ -183,6 +183,13 @@ def test_query_equals_sql(spark, name):
     spark.catalog.clearCache()
 
 
+def test_whole_graph_queries_lose_no_edge(spark):
+    edges = graphs.copart(spark, SF).count()
+    for name, times in (("graph_symmetrize", 2), ("orient_by_degree", 1), ("swap_by_degree", 1), ("orient_by_value", 1)):
+        assert catalog.QUERIES[f"{name}_copart"](spark, SF).count() == times * edges
+    spark.catalog.clearCache()
+
+
 def test_no_local_checkpoint():
     found = subprocess.run(["grep", "-rln", "localCheckpoint(", "relgraph"], cwd=Path(__file__).parent.parent, capture_output=True, text=True).stdout
     assert not found
