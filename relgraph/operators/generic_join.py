@@ -46,6 +46,13 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("v")).distinct()
 
 
+def build_unkeyed(df: DataFrame, column: str) -> Index:
+    """The un-keyed index for ``Atom(index, None)``: it proposes all values of the column for every prefix, so their number is
+    one constant, and allows those only. Its rows are the values; they are never gathered into a list."""
+    values = hold(distinct_values(df, column).filter("v is not null").withColumnRenamed("v", "value"))
+    return Index(values, values.limit(0), values.agg(F.count(F.lit(1)).alias("n")))
+
+
 def index_join(probe: DataFrame, index: Index, key: str) -> DataFrame:
     """Each probe row with the list of its key; rows whose key the index lacks go."""
     return probe.join(index.lists.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key")).drop("__key")
@@ -53,15 +60,18 @@ def index_join(probe: DataFrame, index: Index, key: str) -> DataFrame:
 
 @dataclass
 class Atom:
-    """A relation that constrains the new variable: its index, and the prefix column that is its key."""
+    """A relation that constrains the new variable: its index, and the prefix column that is its key; None if un-keyed."""
 
     index: Index
-    key: str
+    key: str | None
 
 
 def _looked_up(prefixes: DataFrame, atoms: list[Atom], lists: bool) -> DataFrame:
     out = prefixes
     for i, atom in enumerate(atoms):
+        if atom.key is None:  # one row
+            out = out.crossJoin(F.broadcast(atom.index.sizes.select(F.col("n").alias(f"__n{i}")).filter(F.col(f"__n{i}") > 0)))
+            continue
         own = (atom.index.lists if lists else atom.index.sizes).withColumnRenamed("key", f"__k{i}").withColumnRenamed("n", f"__n{i}")
         if lists:
             own = own.withColumnRenamed("vs", f"__v{i}")
@@ -94,10 +104,16 @@ def _extend_rows(prefixes: DataFrame, atoms: list[Atom], new: str) -> DataFrame:
     chosen = propose(prefixes, atoms).drop("n")
     out = None
     for i, atom in enumerate(atoms):
-        rows = atom.index.rows.select(F.col("key").alias("__key"), F.col("value").alias(new))
-        found = chosen.filter(F.col("rel") == i).drop("rel").join(rows, F.col(atom.key) == F.col("__key")).drop("__key")
+        mine = chosen.filter(F.col("rel") == i).drop("rel")
+        if atom.key is None:
+            found = mine.crossJoin(atom.index.rows.select(F.col("value").alias(new)))
+        else:
+            rows = atom.index.rows.select(F.col("key").alias("__key"), F.col("value").alias(new))
+            found = mine.join(rows, F.col(atom.key) == F.col("__key")).drop("__key")
         for j, other in enumerate(atoms):
-            if j != i:
+            if j != i and other.key is None:
+                found = found.join(other.index.rows.select(F.col("value").alias("__value")), F.col(new) == F.col("__value"), "left_semi")
+            elif j != i:
                 has = other.index.rows.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
                 found = found.join(has, (F.col(other.key) == F.col("__key")) & (F.col(new) == F.col("__value")), "left_semi")
         out = found if out is None else out.unionByName(found)
@@ -106,7 +122,9 @@ def _extend_rows(prefixes: DataFrame, atoms: list[Atom], new: str) -> DataFrame:
 
 def extend(prefixes: DataFrame, atoms: list[Atom], new: str, expand: bool = True, form: str = "auto", max_width: int = MAX_WIDTH) -> DataFrame:
     """``prefixes`` with one more variable ``new`` that every atom allows. ``expand=False`` leaves it factorised: an array
-    column ``new``, never empty. ``form``: ``arrays``, ``rows``, or by the widest index row."""
+    column ``new``, never empty. ``form``: ``arrays``, ``rows``, or by the widest index row; with an un-keyed atom ``rows``."""
+    if any(a.key is None for a in atoms):
+        form = "rows"
     if form == "auto":
         form = "arrays" if all(a.index.widest() <= max_width for a in atoms) else "rows"
     if form == "rows":

@@ -361,6 +361,15 @@ for _k in (5, 6):  # on the whole event graph: on copart DuckDB takes too long a
     _clique_count(_k, graphs.trans, f"{TRANS}, {NORM}", "norm", f"clique{_k}_count_trans")
 
 
+@_register(f"with {COPART}, s as (select distinct src as v from copart) select e.src as a, e.dst as b, count(*) as n_c, cast(sum(x.dst) as bigint) as sum_c from copart e join copart x on x.src = e.dst join s on s.v = x.dst group by 1, 2")
+def empty_key_extend_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges extended by a successor of b that is a source: an un-keyed relation narrowed by a keyed one."""
+    e = hold(graphs.copart(spark, sf_dir))
+    prefixes = e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    atoms = [generic_join.Atom(generic_join.build_unkeyed(e, "src"), None), generic_join.Atom(generic_join.build_index(e, "src", "dst"), "b")]
+    return generic_join.extend(prefixes, atoms, "c").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_c"), F.sum("c").alias("sum_c"))
+
+
 # --- PageRank ----------------------------------------------------------------------------------------------------------
 
 _W = "w as materialized (select ps.src, ps.dst, 1.0::double / d.degree as w from ps join (select src, count(*) as degree from ps group by src) d on d.src = ps.src), ids as materialized (select src as v from ps union select dst from ps), s as materialized (select distinct src as v from ps)"

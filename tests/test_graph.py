@@ -53,6 +53,21 @@ def test_generic_join_forms_agree(spark):
     assert rows(motifs.cliques(e, 4), *"abcd") == [c for c in itertools.combinations(range(40), 4) if all(p in have for p in itertools.combinations(c, 2))]
 
 
+def test_unkeyed_atom(spark):
+    """Proposes all its values, validates others' values, and proposes only where it has fewest; empty, it allows none."""
+    e = graphs.local_edges(spark, [(1, k) for k in range(2, 9)] + [(2, 3), (3, 4), (4, 9)])
+    pre = e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    few = generic_join.Atom(generic_join.build_unkeyed(e.filter("src in (2, 3, 4)"), "src"), None)
+    keyed = generic_join.Atom(generic_join.build_index(e, "src", "dst"), "a")
+    have = rows(e, "src", "dst")
+    assert rows(generic_join.extend(pre, [few], "c"), "a", "b", "c") == sorted((a, b, c) for a, b in have for c in (2, 3, 4))
+    want = sorted((a, b, c) for a, b in have for x, c in have if a == x and c in (2, 3, 4))
+    assert rows(generic_join.extend(pre, [keyed, few], "c"), "a", "b", "c") == rows(generic_join.extend(pre, [few, keyed], "c"), "a", "b", "c") == want
+    assert {(r.a, r.rel, r.n) for r in generic_join.propose(pre, [keyed, few]).collect()} == {(1, 1, 3), (2, 0, 1), (3, 0, 1), (4, 0, 1)}
+    none = generic_join.Atom(generic_join.build_unkeyed(e.limit(0), "src"), None)
+    assert generic_join.extend(pre, [none], "c").isEmpty()
+
+
 def test_tie_rules(spark):
     e = graphs.local_edges(spark, [(2, 1)])
     assert rows(prep.orient_by_degree(e), "src", "dst") == [(1, 2)]
