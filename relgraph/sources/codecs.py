@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,13 +115,28 @@ def read_split(spark: SparkSession, prefixes: list[str], cumulative: bool = Fals
     return both.mapInPandas(run, EDGES)
 
 
+def _without_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines ``value, path, start`` without the first one of each file: a file's blocks are read in order of lines, and its
+    first line is the first of the block that begins at 0."""
+    seen = set()
+    for batch in batches:
+        keep = np.ones(len(batch), bool)
+        heads = np.flatnonzero(batch.column(2).to_numpy() == 0)
+        paths = batch.column(1).take(pa.array(heads)).dictionary_encode()
+        values, first = np.unique(paths.indices.to_numpy(), return_index=True)
+        for path, k in zip(paths.dictionary.take(pa.array(values)).to_pylist(), first, strict=True):
+            if path not in seen:
+                seen.add(path)
+                keep[heads[k]] = False
+        yield pa.record_batch([batch.column(0).filter(pa.array(keep))], names=["value"])
+
+
 def read_text(spark: SparkSession, paths: str | list[str], comment: str = "#", strict: bool = True, skip_first: bool = False) -> DataFrame:
     """A pair of ids a line, parted by white space; lines that begin with ``comment`` are skipped. Unreadable lines go, or
     with ``strict=False`` give 0 for what can't be read. ``skip_first`` drops each file's first line."""
     lines = spark.read.text(paths)
     if skip_first:
-        first = spark.read.text(paths, wholetext=True).select(F.substring_index("value", "\n", 1).alias("value")).distinct()
-        lines = lines.join(first, "value", "left_anti")
+        lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).mapInArrow(_without_first, "value string")
     lines = lines.filter(~F.startswith("value", F.lit(comment)) & (F.trim("value") != ""))
     words = F.split(F.trim("value"), r"\s+")
     ids = lines.select(words.alias("w")).selectExpr("try_cast(try_element_at(w, 1) as bigint) as src", "try_cast(try_element_at(w, 2) as bigint) as dst")

@@ -159,6 +159,19 @@ def test_codecs(spark, tmp_path):
         codecs.decode_packed(np.array([1, 5, 2], "<i4").tobytes())
 
 
+def test_skip_first_goes_by_position(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 2\n3 4\n1 2\n5 6\n")
+    (tmp_path / "b.txt").write_text("5 6\n1 2\n")
+    (tmp_path / "c.txt").write_text("")
+    want = [(1, 2), (1, 2), (3, 4), (5, 6)]
+    assert rows(codecs.read_text(spark, str(tmp_path), skip_first=True), "src", "dst") == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6")
+    try:
+        assert rows(codecs.read_text(spark, str(tmp_path), skip_first=True), "src", "dst") == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_iterate_keeps_results(spark):
     s = iterate(spark.range(3), lambda d: d.select((F.col("id") + 1).alias("id")), 9, every=2)
     assert rows(s, "id") == [(9,), (10,), (11,)]
