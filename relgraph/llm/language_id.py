@@ -26,8 +26,9 @@ from .words import slices, text_bytes
 SIZE = 8
 SEGMENT = 64
 BATCH = 2048
-#: Rows of a language in the training sample (twice that at most), characters of each, and languages: the most frequent ones.
-SAMPLE_EACH, SAMPLE_CHARS, MOST_LANGS = 600, 320, 100
+#: Rows of a language in the training sample (twice that at most), characters of each, and languages up to which that holds;
+#: of more languages, all are learned, from fewer rows each.
+SAMPLE_EACH, SAMPLE_CHARS, FULL_LANGS = 600, 320, 100
 STEPS, RATE, TRAIN_BATCH = 260, 0.01, 192
 PAD = 256
 
@@ -125,9 +126,10 @@ def probabilities(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", size: int = SIZE, steps: int = STEPS) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """The model and its languages, learned from rows with text and language that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
-    chosen = chosen_rows(rows.filter(F.col("lang").isin(langs)), "lang", counts, SAMPLE_EACH).select(snippet(F.col("text"), SAMPLE_CHARS).alias("text"), "lang") if langs else None
+    each = max(20, min(SAMPLE_EACH, SAMPLE_EACH * FULL_LANGS // max(1, len(langs))))  # a language gets rows for sure
+    chosen = chosen_rows(rows, "lang", counts, each).select(snippet(F.col("text"), SAMPLE_CHARS).alias("text"), "lang") if langs else None
     sample = sorted((r[0], r[1]) for r in chosen.collect()) if langs else []
     return (train(sample, langs, size, steps) if sample else None), langs
 

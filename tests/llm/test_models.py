@@ -154,3 +154,11 @@ def test_pipeline(spark):
     assert docs.agg({"copies": "max"}).first()[0] <= 2
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, before.limit(0), SF).count() == 0
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language_id, "train", lambda sample, langs, size, steps: seen.update(langs=langs, sample=sample) or {})
+    rows = [(100 * k + j, f"some text {j}", f"l{k:03}") for k in range(130) for j in range(10)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen["langs"]) == 130 and {lang for _, lang in seen["sample"]} == set(seen["langs"])
