@@ -277,10 +277,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.select(key.alias("__key"), F.col(text_col).alias("text"))
-    bad = leaks(keyed, benchmark, max_edit, "__key", "text").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
+    bad = leaks(docs.select(key, F.col(text_col).alias("text")), benchmark, max_edit, "key", "text").select(F.col("doc_id").alias("key")).distinct()
+    # rows travel as one struct, so that no column of theirs can clash with the key
+    return docs.select(F.struct("*").alias("row"), key).join(bad, "key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,18 +93,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs``, all columns, without exact copies: of equal texts the one with the largest id stays, once."""
-    winners = exact_groups(docs, id_col, text_col, counters).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    winners = exact_groups(docs, id_col, text_col, counters).filter("kept").select("doc_id", "digest")
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    rows = docs.withColumn("__digest", digest).withColumn("__id", F.col(id_col))
+    # rows travel as one struct, so that no column of theirs can clash with these
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest.alias("own"))
     # a group has one winner, so several rows of one (id, digest) are repeats of it: told by a count over narrow rows
-    repeats = cut(rows.groupBy("__id", "__digest").count().filter("count > 1").select(F.col("__id").alias("__rid"), F.col("__digest").alias("__rdigest")))
-    kept = rows.join(winners.withColumnRenamed("__id", "__wid").withColumnRenamed("__digest", "__wdigest"), F.col("__wid").eqNullSafe(F.col("__id")) & (F.col("__wdigest") == F.col("__digest")), "left_semi")
+    repeats = cut(rows.groupBy("id", "own").count().filter("count > 1").select(F.col("id").alias("doc_id"), F.col("own").alias("digest")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own"))
+    kept = rows.join(winners, same, "left_semi")
     if repeats.isEmpty():
-        return kept.select(*docs.columns)
-    same = F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rdigest") == F.col("__digest"))
+        return kept.select("row.*")
     once = kept.join(repeats, same, "left_anti")
-    repeated = kept.join(repeats, same, "left_semi").dropDuplicates(["__digest"])
-    return once.unionByName(repeated).select(*docs.columns)
+    repeated = kept.join(repeats, same, "left_semi").dropDuplicates(["own"])
+    return once.unionByName(repeated).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

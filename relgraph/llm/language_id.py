@@ -2,7 +2,8 @@
 
 The network reads UTF-8 bytes, in segments of ``SEGMENT`` bytes that begin with a fresh state, and gives every byte position
 a distribution over the languages; a document's distribution is the mean over all its positions. It is trained in numpy by
-backpropagation through time on a bounded sample of rows outside the held-out fifth.
+backpropagation through time, in one task on an executor, on a bounded sample of rows outside the held-out fifth: whole texts,
+segments of which are drawn at random in each step.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; any other text gets a learned language, and
 the score is its pooled probability; repeated rows are scored each; a null ``doc_id`` is not held out; without any labelled
@@ -19,16 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .sampling import chosen_rows, held_out, snippet
+from .sampling import chosen_rows, fit_in_task, held_out
 from .session import read
 from .words import slices, text_bytes
 
 SIZE = 8
 SEGMENT = 64
 BATCH = 2048
-#: Rows of a language in the training sample (twice that at most), characters of each, and languages up to which that holds;
-#: of more languages, all are learned, from fewer rows each.
-SAMPLE_EACH, SAMPLE_CHARS, FULL_LANGS = 600, 320, 100
+#: Rows of a language in the training sample, their characters together, and languages up to which that holds; of more
+#: languages, all are learned, from fewer rows and characters each.
+SAMPLE_EACH, SAMPLE_CHARS, FULL_LANGS = 600, 3_000_000, 100
 STEPS, RATE, TRAIN_BATCH = 260, 0.01, 192
 PAD = 256
 
@@ -125,13 +126,14 @@ def probabilities(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", size: int = SIZE, steps: int = STEPS) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """The model and its languages, learned from rows with text and language that are not held out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label")).filter("text is not null and label is not null").filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     langs = sorted(counts)
-    each = max(20, min(SAMPLE_EACH, SAMPLE_EACH * FULL_LANGS // max(1, len(langs))))  # a language gets rows for sure
-    chosen = chosen_rows(rows, "lang", counts, each).select(snippet(F.col("text"), SAMPLE_CHARS).alias("text"), "lang") if langs else None
-    sample = sorted((r[0], r[1]) for r in chosen.collect()) if langs else []
-    return (train(sample, langs, size, steps) if sample else None), langs
+    if not langs:
+        return None, langs
+    share = max(1.0, len(langs) / FULL_LANGS)
+    sample = chosen_rows(rows.select("text", "label", F.xxhash64("doc_id", "text").alias("uid")), "label", counts, max(20, int(SAMPLE_EACH / share)), F.col("uid"))
+    return fit_in_task(sample, lambda found: train(found, langs, size, steps), int(SAMPLE_CHARS / share)), langs
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray] | None, langs: list[str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

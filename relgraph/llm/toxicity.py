@@ -1,18 +1,22 @@
 """Toxicity by a bidirectional GRU with attention pooling over character and word inputs.
 
-A text's words enter the network as the sum of a hashed word embedding and the mean of hashed embeddings of the word's
-character (byte) n-grams with its ends marked, beside three evidence inputs: how far the training documents that hold the
-word, and its n-grams (mean and largest), are from the average share of toxic ones, in standard errors. Evidence is kept by
-full 64-bit hashes, so that in a large vocabulary no rare word takes over another one's, and deviations that chance explains
-are pressed to about zero, so that long texts do not gather them. While training, documents see the evidence of the other
-``FOLDS - 1`` parts of the sample only, so that a word of one document proves nothing. Overlapping windows of ``WINDOW``
-words, one every ``STRIDE``, each go through the GRU and an attention pooling to a logit; a document's score is that of its worst window. All windows of the
-whole text are scored. It is trained in numpy by backpropagation through time, as multiple-instance learning: a labelled
-document is a bag of windows and the gradient goes to its windows by their share in the soft maximum.
+A text's words enter the network as the sum of a word's embedding and the scaled sum of the embeddings of its character (byte)
+n-grams with its ends marked. Words and n-grams in at least ``MIN_DOCS`` documents of the training sample have embeddings, kept
+by full 64-bit hashes; others enter as zero, so an unknown word is read by the n-grams that are known. All of it is learned
+through the network: nothing about labels reaches a score in any other way. Overlapping windows of ``WINDOW`` words, one every
+``STRIDE``, each go through the GRU and an attention pooling to a logit; a document's score is that of its worst window. All
+windows of the whole text are scored. It is trained in numpy by backpropagation through time, as multiple-instance learning:
+a labelled document is a bag of windows and the gradient goes to its windows by their share in the soft maximum. A bag holds
+the windows that scored highest when all were last scored, and random ones. Slope and offset of the scores come from a part of
+the sample that the network is not trained on.
+
+Training is one task on an executor over a bounded sample: at most ``SAMPLE_EACH`` labelled rows of a kind, whole texts, and
+``SAMPLE_CHARS`` characters of a kind together.
 
 Defined results: a text that is null, empty or without words is one empty window and gets the network's base score; repeated
-rows are scored each; a null ``doc_id`` is not held out; without labels of both kinds every score is 1.0 if
-all labels are toxic and else 0.0; an empty table gives an empty result; other columns are ignored.
+rows are scored each; a null ``doc_id`` is not held out; of several labels of one id the largest counts; without labels of
+both kinds every score is 1.0 if all labels are toxic and else 0.0; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,21 +29,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .sampling import chosen_rows, held_out, snippet
+from .sampling import chosen_rows, fit_in_task, held_out
 from .session import read
 from .words import U, Words, mix, slices, split_words
 
-SIZE, DIM = 12, 8
-INPUT = DIM + 3
+SIZE, DIM = 16, 16
 WINDOW, STRIDE = 48, 36
-WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
 GRAMS = (3, 4, 6)
 BATCH = 2048
-#: Labelled rows of a kind in the training sample (twice that at most) and characters of each.
-SAMPLE_EACH, SAMPLE_CHARS = 1500, 2000
-STEPS, RATE, EMBED_RATE, BAGS, BAG_WINDOWS = 200, 0.01, 0.02, 48, 6
-#: Parts of the sample for the evidence while training; standard errors that count as much; evidence too weak to keep.
-FOLDS, ERRORS, FAINT = 5, 5.0, 0.01
+#: Labelled rows of a kind in the training sample, and their characters together.
+SAMPLE_EACH, SAMPLE_CHARS = 1500, 12_000_000
+#: Documents of the sample that a word or an n-gram must be in to have an embedding.
+MIN_DOCS = 2
+STEPS, RATE, EMBED_RATE, BAGS, BAG_WINDOWS = 300, 0.01, 0.4, 48, 6
+#: Steps after which all windows are scored anew; share of words known by their n-grams alone in a step; one row in so many
+#: is kept aside for slope and offset.
+REFRESH, DROPPED, ASIDE = 40, 0.1, 5
 
 
 NOTHING = (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
@@ -88,52 +93,36 @@ def padded(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pad: int)
     return np.where(real, np.append(numbers, pad)[np.where(real, place, 0)] if len(numbers) else pad, pad)
 
 
-def evidence(n: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
-    """How far ``toxic`` of ``n`` documents are from what ``share`` lets expect, in standard errors, squeezed to (-1, 1) with
-    little left of what chance explains."""
-    return np.tanh(((toxic - n * share) / np.sqrt(n * share * (1 - share) + 1) / ERRORS) ** 3).astype(np.float32)
-
-
-def holders(words: Words, number: np.ndarray, n_words: int, gram_ids: np.ndarray, n_grams: int, begins: np.ndarray, y: np.ndarray, fold: np.ndarray, block: int = 64) -> dict[str, np.ndarray]:
-    """For the distinct words and n-grams, ``[fold, label, number]``: how many documents of that part of the sample and with
-    that label hold it. Documents are taken ``block`` at a time, so memory grows with the vocabulary only."""
-    counts = np.diff(np.append(begins, len(gram_ids)))
-    out = {"word": np.zeros((FOLDS, 2, n_words), np.int32), "gram": np.zeros((FOLDS, 2, n_grams), np.int32)}
-    for a in range(0, len(y), block):
-        docs = np.arange(a, min(a + block, len(y)))
-        lo, hi = words.bounds[a], words.bounds[docs[-1] + 1]
-        distinct = np.unique(np.repeat(docs - a, words.counts()[docs]) * np.int64(max(1, n_words)) + number[lo:hi])
-        doc, word = distinct // max(1, n_words), distinct % max(1, n_words)
-        each = counts[word]
-        of_grams = gram_ids[np.repeat(begins[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-        for kind, size, owner, ids in (("word", max(1, n_words), doc, word), ("gram", max(1, n_grams), np.repeat(doc, each), of_grams)):
-            pairs = np.unique(owner * size + ids)
-            d = pairs // size + a
-            np.add.at(out[kind], (fold[d], y[d].astype(np.int64), pairs % size), 1)
-    return out
-
-
-def known(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """The evidence that ``table`` (sorted hashes, values) holds for each hash; 0 for a hash that it lacks."""
-    if not len(table[0]):
-        return np.zeros(len(hashes), np.float32)
-    at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
-    return np.where(table[0][at] == hashes, table[1][at], np.float32(0))
-
-
-def embed(p: dict, words: np.ndarray, grams: np.ndarray, begins: np.ndarray, of_words: np.ndarray | None = None, of_grams: np.ndarray | None = None) -> np.ndarray:
-    """Input vectors of distinct words, given by hashes; their evidence is ``p``'s unless it is given."""
+def document_counts(doc_of: np.ndarray, number: np.ndarray, n_docs: int, n_words: int, gram_ids: np.ndarray, n_grams: int, begins: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents each distinct word and n-gram is. Documents are taken ``block`` at a time, so memory grows with
+    the vocabulary only."""
+    each = np.diff(np.append(begins, len(gram_ids)))
+    of_words, of_grams = np.zeros(n_words, np.int64), np.zeros(n_grams, np.int64)
+    for a in range(0, n_docs, block):
+        lo, hi = np.searchsorted(doc_of, [a, a + block])
+        pairs = np.unique((doc_of[lo:hi] - a) * np.int64(max(1, n_words)) + number[lo:hi])
+        doc, word = pairs // max(1, n_words), pairs % max(1, n_words)
+        np.add.at(of_words, word, 1)
+        n = each[word]
+        grams = gram_ids[np.repeat(begins[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        np.add.at(of_grams, np.unique(np.repeat(doc, n) * np.int64(max(1, n_grams)) + grams) % max(1, n_grams), 1)
+    return of_words, of_grams
+
+
+def row_of(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Each hash's row in a table with the sorted hashes ``keys``; the row after the last, which is zero, if it lacks it."""
+    if not len(keys):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, len(keys))
+
+
+def embed(p: dict, words: np.ndarray, grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Input vectors of distinct words, given by their hashes and those of their n-grams."""
     if not len(words):
-        return np.zeros((0, INPUT), np.float32)
-    counts = np.diff(np.append(begins, len(grams)))[:, None].astype(np.float32)
-    zw = known(p["zword"], words) if of_words is None else of_words
-    zg = known(p["zgram"], grams) if of_grams is None else of_grams
-    learned = p["word"][rows_of(words, WORD_ROWS)] + np.add.reduceat(p["gram"][rows_of(grams, GRAM_ROWS)], begins) / counts
-    return np.concatenate([learned, zw[:, None], np.add.reduceat(zg, begins)[:, None] / counts, np.maximum.reduceat(zg, begins)[:, None]], 1)
-
-
-def rows_of(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (hashes % U(size)).astype(np.int64)
+        return np.zeros((0, DIM), np.float32)
+    root = np.sqrt(np.diff(np.append(begins, len(grams))))[:, None].astype(np.float32)
+    return p["word"][row_of(p["words"], words)] + np.add.reduceat(p["gram"][row_of(p["grams"], grams)], begins) / root
 
 
 def joined(texts: pa.Array) -> Words:
@@ -152,7 +141,7 @@ def _initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
     f = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
     p = {"b": np.zeros(1, np.float32)}
     for d in "fb":
-        p |= {f"w{d}": f(1 / np.sqrt(INPUT), INPUT, 3 * SIZE), f"c{d}": np.zeros(3 * SIZE, np.float32), f"u{d}": f(1 / np.sqrt(SIZE), 3, SIZE, SIZE), f"r{d}": f(1 / np.sqrt(SIZE), SIZE, 2)}
+        p |= {f"w{d}": f(1 / np.sqrt(DIM), DIM, 3 * SIZE), f"c{d}": np.zeros(3 * SIZE, np.float32), f"u{d}": f(1 / np.sqrt(SIZE), 3, SIZE, SIZE), f"r{d}": f(1 / np.sqrt(SIZE), SIZE, 2)}
     return p
 
 
@@ -172,49 +161,51 @@ def _pad_gates() -> np.ndarray:
     return out
 
 
-def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: int = 0) -> dict[str, np.ndarray]:
-    """Fit on ``(text, label)`` rows of both labels; ``prior`` is the share of toxic ones outside the sample."""
+def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: int = 0, chars: bool = True, attention: bool = True) -> dict[str, np.ndarray]:
+    """Fit on ``(text, label)`` rows of both labels; ``prior`` is the share of toxic ones outside the sample. Without ``chars``
+    words alone are the input, without ``attention`` a window is the mean of its words' values (for comparison)."""
     rng = np.random.default_rng(seed)
-    words = joined(pa.array([t for t, _ in rows], pa.string()))
-    number, distinct, grams, begins = features(words) if len(words.hashes) else NOTHING
-    gram_hashes, gram_ids = np.unique(grams, return_inverse=True)
-    starts, sizes, of = windows(words.bounds)
     y = np.array([k for _, k in rows], np.float32)
-    first = np.searchsorted(of, np.arange(len(rows) + 1))
-    fold = np.empty(len(rows), np.int64)
-    for k in (0, 1):  # every part has its share of both labels
+    texts = pa.array([t for t, _ in rows], pa.string())
+    aside = np.zeros(len(rows), bool)
+    for k in (0, 1):  # both labels are on both sides where there are rows enough
         own = rng.permutation(np.flatnonzero(y == k))
-        fold[own] = np.arange(len(own)) % FOLDS
-    kinds = [[np.flatnonzero((y == k) & (fold == i)) for k in (0, 1)] for i in range(FOLDS)]
-    sides = [i for i in range(FOLDS) if len(kinds[i][0]) and len(kinds[i][1])] if min((y == 0).sum(), (y == 1).sum()) > 1 else []
-    gram_counts, p = np.diff(np.append(begins, len(grams))), _initial(rng)
-    tables = {"word": rng.normal(0, 0.02, (WORD_ROWS, DIM)).astype(np.float32), "gram": rng.normal(0, 0.02, (GRAM_ROWS, DIM)).astype(np.float32)}
-    squares = {k: np.zeros(len(v), np.float32) for k, v in tables.items()}
-    held = holders(words, number, len(distinct), gram_ids, len(gram_hashes), begins, y, fold)
-
-    def weighed(parts: np.ndarray) -> dict[str, np.ndarray]:
-        share = y[np.isin(fold, parts)].mean()
-        return {kind: evidence(n[parts].sum((0, 1)), n[parts, 1].sum(0), share) for kind, n in held.items()}
-
-    def kept_table(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        strong = np.abs(values) >= FAINT
-        return hashes[strong], values[strong]
-
-    def tables_of(found: dict[str, np.ndarray]) -> dict:
-        return {"zword": kept_table(distinct, found["word"]), "zgram": kept_table(gram_hashes, found["gram"])}
-
-    whole = weighed(np.arange(FOLDS))
-    others = {i: weighed(np.setdiff1d(np.arange(FOLDS), i)) for i in sides}
+        aside[own[: len(own) // ASIDE]] = True
+    fitted, others = np.flatnonzero(~aside), np.flatnonzero(aside)
+    p = _network(texts.take(pa.array(fitted)), y[fitted], steps, rng, chars, attention)
+    judged = others if len(set(y[others].tolist())) == 2 else np.arange(len(rows))
+    p["scale"] = calibrated(worst_windows(p, texts.take(pa.array(judged))), y[judged], prior)
+    return p
+
+
+def _network(texts: pa.Array, y: np.ndarray, steps: int, rng: np.random.Generator, chars: bool, attention: bool) -> dict[str, np.ndarray]:
+    words = joined(texts)
+    number, distinct, grams, begins = features(words) if len(words.hashes) else NOTHING
+    starts, sizes, of = windows(words.bounds)
+    first = np.searchsorted(of, np.arange(len(y) + 1))
+    gram_hashes, gram_ids = np.unique(grams, return_inverse=True)
+    gram_counts = np.diff(np.append(begins, len(grams)))
+    docs_of = document_counts(np.repeat(np.arange(len(y)), words.counts()), number, len(y), len(distinct), gram_ids, len(gram_hashes), begins)
+    keys = {"words": distinct[docs_of[0] >= MIN_DOCS], "grams": gram_hashes[docs_of[1] >= MIN_DOCS][: None if chars else 0]}
+    p = _initial(rng)
+    if not attention:
+        p["rf"][:, 0] = p["rb"][:, 0] = 0
+    tables = {k: np.concatenate([rng.normal(0, 0.1, (len(keys[f"{k}s"]), DIM)), np.zeros((1, DIM))]).astype(np.float32) for k in ("word", "gram")}
+    squares = {k: np.full(len(v), 1e-4, np.float32) for k, v in tables.items()}
+    word_row, gram_row = row_of(keys["words"], distinct), row_of(keys["grams"], grams)
+    latest = np.zeros(len(starts), np.float32)  # every window's logit when all were last scored
     adam = gru.Adam(p, RATE)
     for step in range(steps):
         adam.rate = RATE * (1 - step / steps)
-        side = sides[step % len(sides)] if sides else None
-        found = whole if side is None else others[side]
-        docs = np.concatenate([rng.choice(np.flatnonzero(y == k) if side is None else kinds[side][k], BAGS // 2) for k in (0, 1)])
+        if step and step % REFRESH == 0:
+            latest = logits_of(p | tables | keys, number, distinct, grams, begins, starts, sizes)
+        docs = np.concatenate([rng.choice(np.flatnonzero(y == k), BAGS // 2) for k in (0, 1)])
         pick, bag = [], []
         for i, d in enumerate(docs):
-            have = np.arange(first[d], first[d + 1])
-            own = have if len(have) <= BAG_WINDOWS else rng.choice(have, BAG_WINDOWS, replace=False)
+            own = np.arange(first[d], first[d + 1])
+            if len(own) > BAG_WINDOWS:
+                worst = own[np.argpartition(-latest[own], BAG_WINDOWS // 2)[: BAG_WINDOWS // 2]] if step >= REFRESH else own[:0]
+                own = np.unique(np.concatenate([worst, rng.choice(own, BAG_WINDOWS - len(worst), replace=False)]))
             pick.append(own)
             bag += [i] * len(own)
         pick, bag, ys = np.concatenate(pick), np.array(bag), y[docs]
@@ -223,7 +214,11 @@ def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: i
         used, local = np.unique(x[real], return_inverse=True)
         counts = gram_counts[used]
         gi = np.repeat(begins[used] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        vec = embed(tables, distinct[used], grams[gi], np.cumsum(counts) - counts, found["word"][used], found["gram"][gram_ids[gi]])
+        root = np.sqrt(counts)[:, None].astype(np.float32)
+        rows = word_row[used]
+        rows = np.where(rng.random(len(used)) < DROPPED, len(tables["word"]) - 1, rows)
+        sums = np.add.reduceat(tables["gram"][gram_row[gi]], np.cumsum(counts) - counts) if len(used) else np.zeros((0, DIM), np.float32)
+        vec = tables["word"][rows] + sums / root
         ids = np.full(x.shape, len(used))
         ids[real] = local
         h, kept, g = {}, {}, {}
@@ -243,9 +238,8 @@ def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: i
         doc = np.bincount(bag, share * logit, len(docs))
         dd = (gru.sigmoid(doc) - ys) / len(docs)
         dlogit = (dd[bag] * share * (1 + logit - doc[bag])).astype(np.float32)
-        do = a * dlogit
-        ds = a * (so[..., 1] - (a * so[..., 1]).sum(0)) * dlogit
-        dso = np.stack([ds, do], -1).astype(np.float32)
+        ds = a * (so[..., 1] - (a * so[..., 1]).sum(0)) * dlogit * attention
+        dso = np.stack([ds, a * dlogit], -1).astype(np.float32)
         by_word = np.argsort(local, kind="stable")
         word_firsts = np.searchsorted(local[by_word], np.arange(len(used)))
         grads, dvec = {"b": np.array([dlogit.sum()], np.float32)}, np.zeros_like(vec)
@@ -257,16 +251,11 @@ def train(rows: list[tuple[str, int]], prior: float, steps: int = STEPS, seed: i
             grads[f"w{d}"], grads[f"c{d}"] = vec.T @ dtable, dtable.sum(0)
             dvec += dtable @ p[f"w{d}"].T
         adam.step(grads)
-        # embeddings learn slowly: in a small sample they would only tell its documents apart
-        _descend(tables["word"], squares["word"], rows_of(distinct[used], WORD_ROWS), dvec[:, :DIM], EMBED_RATE * adam.rate)
-        _descend(tables["gram"], squares["gram"], rows_of(grams[gi], GRAM_ROWS), np.repeat(dvec[:, :DIM] / counts[:, None], counts, axis=0), EMBED_RATE * adam.rate)
-    worst = np.empty(len(rows))
-    for i in range(FOLDS):  # every document as it would be scored, by evidence that it is no part of
-        own = np.flatnonzero(fold == i)
-        if len(own):
-            worst[own] = worst_windows(p | tables | tables_of(others.get(i, whole)), pa.array([rows[k][0] for k in own], pa.string()))
-    p["scale"] = calibrated(worst, y, prior)
-    return p | tables | tables_of(whole)
+        rate = EMBED_RATE * (1 - step / steps)
+        _descend(tables["word"], squares["word"], rows, dvec, rate)
+        _descend(tables["gram"], squares["gram"], gram_row[gi], np.repeat(dvec / root, counts, axis=0), rate)
+        tables["word"][-1] = tables["gram"][-1] = 0
+    return p | tables | keys
 
 
 def calibrated(logits: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
@@ -288,6 +277,24 @@ def scores(p: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
     return gru.sigmoid(np.clip(slope * worst_windows(p, texts) + offset, -30, 30))
 
 
+def logits_of(p: dict[str, np.ndarray], number: np.ndarray, distinct: np.ndarray, grams: np.ndarray, begins: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The logit of each window."""
+    vec = embed(p, distinct, grams, begins)
+    tables = {d: gru.folded(np.concatenate([vec @ p[f"w{d}"] + p[f"c{d}"], _pad_gates().reshape(1, -1)]).reshape(-1, 3, SIZE), p[f"u{d}"]) for d in "fb"}
+    logits = np.empty(len(starts), np.float32)
+    for k in range(0, len(starts), BATCH):
+        x = padded(number, starts[k : k + BATCH], sizes[k : k + BATCH], len(vec))
+        ahead = np.empty((*x.shape, 2), np.float32)
+        for t, so in gru.scan(*tables["f"], x, p["rf"]):
+            ahead[t] = so
+        for t, so in gru.scan(*tables["b"], x, p["rb"], reverse=True):
+            ahead[t] += so
+        s = np.where(x < len(vec), ahead[..., 0], np.float32(-1e9))
+        w = np.exp(s - s.max(0)) * (x < len(vec))
+        logits[k : k + BATCH] = (w * ahead[..., 1]).sum(0) / np.maximum(w.sum(0), 1e-9) + p["b"]
+    return logits
+
+
 def worst_windows(p: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
     """The largest logit among each text's windows."""
     out = np.empty(len(texts))
@@ -295,42 +302,31 @@ def worst_windows(p: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
         words = split_words(texts.slice(a, b - a))
         number, distinct, grams, begins = features(words) if len(words.hashes) else NOTHING
         starts, sizes, of = windows(words.bounds)
-        vec = embed(p, distinct, grams, begins)
-        tables = {d: gru.folded(np.concatenate([vec @ p[f"w{d}"] + p[f"c{d}"], _pad_gates().reshape(1, -1)]).reshape(-1, 3, SIZE), p[f"u{d}"]) for d in "fb"}
-        logits = np.empty(len(starts), np.float32)
-        for k in range(0, len(starts), BATCH):
-            x = padded(number, starts[k : k + BATCH], sizes[k : k + BATCH], len(vec))
-            ahead = np.empty((*x.shape, 2), np.float32)
-            for t, so in gru.scan(*tables["f"], x, p["rf"]):
-                ahead[t] = so
-            for t, so in gru.scan(*tables["b"], x, p["rb"], reverse=True):
-                ahead[t] += so
-            s = np.where(x < len(vec), ahead[..., 0], np.float32(-1e9))
-            w = np.exp(s - s.max(0)) * (x < len(vec))
-            logits[k : k + BATCH] = (w * ahead[..., 1]).sum(0) / np.maximum(w.sum(0), 1e-9) + p["b"]
-        firsts = np.searchsorted(of, np.arange(b - a))
-        out[a:b] = np.maximum.reduceat(logits, firsts)
+        out[a:b] = np.maximum.reduceat(logits_of(p, number, distinct, grams, begins, starts, sizes), np.searchsorted(of, np.arange(b - a)))
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", steps: int = STEPS) -> dict[str, np.ndarray] | float:
     """The model learned from labelled rows that are not held out; without both kinds of label, the share of toxic ones."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if not counts:
         return 0.0
-    # the labels are sampled first, so that few rows, whatever the data, are broadcast to meet their texts where these are
-    chosen = F.broadcast(chosen_rows(known, "label", counts, SAMPLE_EACH))
-    text = F.col(text_col)
-    sample = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(chosen, "doc_id").filter("text is not null").select(snippet(F.col("text"), SAMPLE_CHARS).alias("text"), "label").limit(2 * SAMPLE_EACH * len(counts))
-    rows = sorted((r[0], r[1]) for r in sample.collect())
     prior = counts.get(1, 0) / sum(counts.values())
-    return train(rows, prior, steps) if len({k for _, k in rows}) == 2 else float(prior == 1.0)
+    if len(counts) < 2:
+        return float(prior == 1.0)
+    # the labels are sampled first, so that few rows, whatever the data, are broadcast to meet their texts where these are
+    chosen = F.broadcast(chosen_rows(known, "label", counts, SAMPLE_EACH, F.col("doc_id")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    sample = texts.join(chosen, "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text"))  # one row an id
+    model = fit_in_task(sample, lambda rows: train(rows, prior, steps) if len({k for _, k in rows}) == 2 else {"constant": np.array(float(prior >= 0.5))}, SAMPLE_CHARS)
+    return 0.0 if model is None else float(model["constant"]) if "constant" in model else model
 
 
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray] | float, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: the tables' rows times DIM
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the sample's vocabulary, which is bounded
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,7 +100,7 @@ def test_toxicity(spark):
     rows += [(900, None), (901, ""), (902, "?!"), (903, "kalo " * 30000), (None, "zorg"), (3, "kalo"), (3, "kalo")]
     df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, score double")
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = toxicity.score_documents(df, toxicity.fit(df, known)).collect()
+    got = toxicity.score_documents(df, toxicity.fit(df, known, steps=120)).collect()
     assert len(got) == len(rows)
     truth = dict(labels)
     right = [r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]
@@ -127,21 +127,26 @@ def test_long_clean_texts_stay_clean():
         if i % 5 == 0:
             ws.insert(rng.randrange(len(ws)), rng.choice(["zorg", "blaft", "quix"]))
         rows.append((" ".join(ws), int(i % 5 == 0)))
-    model = toxicity.train(rows, 0.2)
+    model = toxicity.train(rows, 0.2, steps=200)
     clean = [" ".join("".join(rng.choice(sounds) for _ in range(rng.randrange(2, 6))) for _ in range(6000)) for _ in range(10)]
     bad = [c[:20000] + " blaft " + c[20000:] for c in clean]
     assert (toxicity.scores(model, pa.array(clean)) < 0.5).all()
     assert (toxicity.scores(model, pa.array(bad)) >= 0.5).all()
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
+    """Every stage and ``run`` itself, with rows of every odd kind and columns named like the stages' own."""
     import corpus_pipeline
+    from pyspark.sql import functions as F
 
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    monkeypatch.setattr(toxicity.fit, "__defaults__", ("text", "toxic", "doc_id", 60))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "decontamination", "mixing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "src0", 0), (None, "null id", "en", "src0", 7), (None, "null id", "en", "src0", 7)], docs.schema)
-    docs = docs.unionAll(extra)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    source = docs.unionAll(extra)
+    docs = source.select("*", *[F.lit(1).alias(c) for c in ("key", "row", "id", "own", "digest", "__key", "score", "uid", "size", "count")])
+    for name, stage in corpus_pipeline.STAGES:
         before = docs
         docs = stage(spark, docs, SF)
         if name != "mixing":
@@ -152,13 +157,40 @@ def test_pipeline(spark):
             assert len(texts) == len(set(texts)) == before.select("text").na.fill("").distinct().count()
         docs = docs.cache()
     assert docs.agg({"copies": "max"}).first()[0] <= 2
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, before.limit(0), SF).count() == 0
+    want = sorted(str(tuple(r)) for r in docs.collect())
+    monkeypatch.setattr(corpus_pipeline, "read", lambda spark, sf_dir, table: source if table == "documents" else spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    assert sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, SF).collect()) == want
+    monkeypatch.setattr(corpus_pipeline, "read", lambda spark, sf_dir, table: spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0))
+    assert corpus_pipeline.run(spark, SF).count() == 0
 
 
-def test_all_languages_are_learned(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(language_id, "train", lambda sample, langs, size, steps: seen.update(langs=langs, sample=sample) or {})
+def test_all_languages_are_learned(spark):
+    """Of more languages than have full samples each one can be predicted; the sample is whole rows of each."""
+    from pyspark.sql import functions as F
+
+    from relgraph.llm.sampling import chosen_rows
+
     rows = [(100 * k + j, f"some text {j}", f"l{k:03}") for k in range(130) for j in range(10)]
-    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(seen["langs"]) == 130 and {lang for _, lang in seen["sample"]} == set(seen["langs"])
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, langs = language_id.fit(df, steps=2)
+    assert len(langs) == 130 and len(model["c"]) == 130
+    got = [{tuple(r) for r in chosen_rows(df.repartition(p).select("doc_id", "text", F.col("lang").alias("label")), "label", {f"l{k:03}": 10 for k in range(130)}, 3, F.col("doc_id")).collect()} for p in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 390
+
+
+def test_samples_are_bounded_and_the_same_on_every_run(spark):
+    from pyspark.sql import functions as F
+
+    from relgraph.llm.sampling import chosen_rows, fit_in_task
+
+    rows = [(i, "x" * (i % 50), i % 2) for i in range(4000)] + [(7, "y", 1)] * 4000
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    seen = []
+    for p in (1, 6):
+        sample = chosen_rows(df.repartition(p), "label", {0: 2000, 1: 6000}, 100, F.col("doc_id"))
+        own = fit_in_task(sample, lambda found: {"n": np.array([len(found), *(sum(len(t) for t, k in found if k == j) for j in (0, 1))])}, 1000)
+        seen.append((sorted(tuple(r) for r in sample.collect()), own["n"].tolist()))
+    assert seen[0] == seen[1] and 100 < len(seen[0][0]) <= 200 and all(n <= 1000 for n in seen[0][1][1:])
+    assert fit_in_task(df.limit(0).withColumn("h", F.lit(0)), lambda found: {}, 10) is None
