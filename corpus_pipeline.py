@@ -1,8 +1,9 @@
 """A training-data pipeline: toxicity, exact dedup, near dedup, decontamination, mixing. Each stage works on all that the one
 before it kept, and its result is written to the shared folder and read again as the next one's documents.
 
-Defined results: a filtering stage returns rows of its input unchanged, with all their columns; rows that repeat another one
-entirely go in the exact dedup; an empty table passes through every stage.
+Defined results: a filtering stage returns rows of its input unchanged, with all their columns, whatever these are called;
+rows that repeat another one entirely go in the exact dedup; an empty table passes through every stage. The last stage returns
+one row for each document that is left, with its id, source, size and number of copies, without its text (see ``mixing.mix``).
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from relgraph.llm.session import ensure_checkpoint_dir, read
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text are not named by ``bad`` (``key``, see :func:`_keyed`)."""
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(bad.select(F.col("key").alias("__key")), "__key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id and text are not named by ``bad`` (``key``, see :func:`_keyed`). Rows travel as one struct,
+    so that no column of theirs can clash with the key."""
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return rows.join(bad.select("key"), "key", "left_anti").select("row.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
