@@ -9,17 +9,21 @@ partition is first reduced to a spanning forest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .prep import vertices
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def forest(pairs: pd.DataFrame, parent: dict[int, int]) -> pd.DataFrame:
     """The edges of ``pairs`` that join two trees of ``parent`` (updated): union by smaller root with path halving."""
+    import pandas as pd
 
     def root(v: int) -> int:
         while (p := parent.setdefault(v, v)) != v:
@@ -58,16 +62,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return lower.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether every vertex has one smaller neighbour and none of these has one itself: then that is its component's minimum."""
+    several = state.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    inner = state.select("b").distinct().join(state.select(F.col("a").alias("b")), "b", "left_semi")
+    return several.limit(1).unionAll(inner.limit(1)).isEmpty()
+
+
 def star_edges(e: DataFrame, most: int = 60) -> DataFrame:
     """``v, label`` for every vertex that is not its component's minimum."""
     state = cut(e.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    was = None
     for _ in range(most):
-        state = cut(_small_star(_large_star(state)))
-        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == was:
+        if _settled(state):
             return state.select(F.col("a").alias("v"), F.col("b").alias("label"))
-        was = now
+        state = cut(_small_star(_large_star(state)))
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 

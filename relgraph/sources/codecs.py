@@ -7,13 +7,16 @@ kept in many part files (paths, lists and globs are taken) or, better, in Parque
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 EDGES = "src long, dst long"
 
 
@@ -47,6 +50,8 @@ def read_packed(spark: SparkSession, paths: str | list[str], limit: int | None =
     """Packed adjacency files as edges; ``limit`` edges exactly where given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for f in frames:
             for content in f["content"]:
                 src, dst = decode_packed(content)
@@ -60,6 +65,8 @@ def write_packed(e: DataFrame, path: str) -> None:
     """Packed adjacency of all sources, as rows ``content`` of a Parquet table: each is what one packed file would hold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for f in frames:
             yield pd.DataFrame({"content": [encode_packed(f["src"].to_numpy(), list(f["neighbours"]))]})
 
@@ -71,6 +78,8 @@ def read_packed_rows(spark: SparkSession, path: str) -> DataFrame:
     """What :func:`write_packed` wrote."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for f in frames:
             for content in f["content"]:
                 src, dst = decode_packed(content)
@@ -107,6 +116,8 @@ def read_split(spark: SparkSession, prefixes: list[str], cumulative: bool = Fals
     parts = len(prefixes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for f in frames:
             for prefix, nodes, edges in zip(f["prefix"], f["nodes"], f["edges"], strict=True):
                 src, dst = decode_split(nodes, edges, cumulative, order[prefix], parts)
