@@ -6,7 +6,8 @@ threshold, and classes are shuffled by band hash. A bucket is not expanded into
 one, and the components of these links hold every pair that shares a bucket. Within a component all pairs of classes are
 verified on their full n-gram sets, in blocks of at most ``BLOCK`` classes against ``BLOCK``; a task returns, for each class,
 the number of linked documents and a spanning tree of the links, never the links themselves. So no link between candidates
-is lost, memory is bounded by two blocks, and a large group of near copies spreads over many tasks.
+is lost, memory is bounded by the sets of two blocks, and a large group of near copies spreads over many tasks. Where rows meet
+their bucket, component, class or n-gram set, keys that hold more than one row in 1024 are dealt over many tasks.
 
 Defined results: null texts and texts without words link to nothing; copies (equal n-gram sets) link to each other; repeated
 rows are copies; a null ``doc_id`` is a document whose id is never a class id (its class is null if no other member has an
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import star_edges
-from .session import cut, partitions, read
+from .session import cut, partitions, read, spread_join
 from .words import U, fold, mix, slices, split_words
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES, BLOCK = 5, 0.8, 0.999, 160, 512
@@ -185,14 +186,14 @@ def link_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     classes = cut(classes.select("digest", "size", "least_id", "first.doc_id", "first.t1", "first.t2", "first.bands", F.monotonically_increasing_id().alias("cid")))
 
     buckets = classes.select("cid", F.explode("bands").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    stars = buckets.join(least, "bucket").filter("cid <> least").select(F.col("cid").alias("src"), F.col("least").alias("dst")).distinct()
+    least = cut(buckets.groupBy("bucket").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    stars = spread_join(buckets, least, "bucket", "m", bands * classes.count()).filter("cid <> least").select(F.col("cid").alias("src"), F.col("least").alias("dst")).distinct()
     linked = star_edges(stars)
     comps = cut(linked.select(F.col("v").alias("cid"), F.col("label").alias("comp")).unionAll(linked.select(F.col("label").alias("cid"), F.col("label").alias("comp")).distinct()))
-    blocks = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks = cut(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
 
     # the text of one document of each class that has a candidate, and its n-gram set
-    wanted = classes.join(comps, "cid").join(blocks, "comp").select("cid", "comp", "blocks", "size", F.col("doc_id").alias("own"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
+    wanted = classes.join(spread_join(comps, blocks, "comp", "m", comps.count()), "cid").select("cid", "comp", "blocks", "size", F.col("doc_id").alias("own"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
     found = texts.join(wanted, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("own")))
     sets = found.select("cid", "comp", "blocks", "size", "text").dropDuplicates(["cid"]).mapInArrow(_sets(n), "cid long, comp long, blocks int, size long, grams binary")
 
@@ -208,11 +209,12 @@ def link_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     joined = star_edges(across).select(F.col("v").alias("cid"), F.col("label").alias("joined"))
     grouped = links.join(joined, "cid", "left").select("cid", "links", F.when(F.col("split"), F.coalesce("joined", "cid")).otherwise(F.col("root")).alias("root"))
 
-    resolved = classes.select("cid", "digest", "size", "least_id").join(grouped, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    names = resolved.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    final = resolved.join(names, "root").select(F.col("digest").alias("d"), "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    resolved = cut(classes.select("cid", "digest", "size", "least_id").join(grouped, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    names = resolved.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("m"))
+    named = spread_join(resolved, names, "root", "m", resolved.count())
+    final = cut(named.select("digest", "class_id", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     rows_ = signed.select("doc_id", "digest")
-    with_words = rows_.filter("digest is not null").join(final, F.col("digest") == F.col("d")).select("doc_id", "class_id", "n_links")
+    with_words = spread_join(rows_.filter("digest is not null"), final, "digest", "size", signed.count()).select("doc_id", "class_id", "n_links")
     without = rows_.filter("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionAll(without)
 

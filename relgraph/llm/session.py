@@ -15,6 +15,24 @@ def maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+#: A key with more than one in so many of all rows is dealt over many tasks; so there are fewer such keys than this.
+HEAVY_PARTS = 1024
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and in ``weight`` (dropped) about how many of the
+    ``total`` rows have it. Keys with more than ``1 / HEAVY_PARTS`` of all rows (fewer than ``HEAVY_PARTS`` keys, broadcast)
+    are salted: their rows are dealt over the shuffle's tasks and their row of ``table`` goes to each.
+
+    ``rows`` come from files or a checkpoint by narrow steps only, so that a task that runs again deals them alike."""
+    salts = partitions(rows.sparkSession)
+    light = F.col(weight) <= total / HEAVY_PARTS
+    heavy = F.broadcast(table.filter(~light).select(F.col(key).alias("__key")))
+    dealt = rows.join(heavy, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.when(F.col("__key").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts))).cast("int")).drop("__key")
+    copies = table.withColumn("__salt", F.explode(F.when(light, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop(weight)
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
