@@ -9,7 +9,7 @@ histogram, which one distributed aggregation with map-side combining makes.
 Rates become whole copies by carrying the error in tokens from the largest size down: the ``FOLDED`` largest distinct
 sizes of a source one after another, the smaller ones by rounding cumulated copies. A source's taken tokens are then
 within half of its (FOLDED + 1)-th largest size of what the rates give. Copies of a size level are dealt out by a hash of
-the id, in 32 salted buckets, so a level with a third of all rows is never ranked in one task.
+the id, in salted buckets whose number grows with the rows, so a level with a third of all rows is never ranked in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; sizes of 0 take nothing and
 get one copy; a source without words has target 0; an empty table gives an empty result; columns besides the three named
@@ -22,13 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import cut, read
+from .session import cut, read, spread_join
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 FOLDED = 256
-BUCKETS = 32
+#: Rows that a bucket of a level may hold on average if one level has all rows; least number of buckets.
+BUCKET_ROWS, BUCKETS = 500_000, 32
+#: Sources up to which the dual's variables are broadcast (some 100 bytes each).
+BROADCAST_SOURCES = 50_000
 ROUNDS = 60
 TOLERANCE = 1e-6
 
@@ -67,37 +70,44 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
     return cap / (1.0 + (cap - 1.0) * F.exp(-F.greatest(F.least(lam * x, F.lit(700.0)), F.lit(-700.0))))
 
 
-def solve(hist: DataFrame, wanted: DataFrame, cap: float = CAP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``lam`` for each source: Newton steps on the dual, kept inside a bracket that shrinks with every step. A source whose
-    target is its cap has the rate ``cap`` throughout and takes no part (``lam`` null).
-
-    The dual has one variable a source, so the sources' iterations are independent and run beside each other over the
-    cluster, each over its own levels (as many as it has distinct sizes, however many documents)."""
-    scale = hist.groupBy("skey").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
-    open_ = wanted.filter((F.col("target") < cap * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)).join(scale, "skey")
-    points = hist.filter("size > 0").join(open_, "skey").groupBy("skey").agg(
-        F.first("target").alias("target"), F.collect_list(F.struct((F.col("n") * F.col("size")).cast("double").alias("tokens"), (F.col("size") / F.col("scale")).alias("x"))).alias("points")
-    )
+def _exact(x: Column) -> Column:
+    """A sum that does not depend on the order of its terms, each taken to a billionth of a token."""
+    return F.sum(F.round(x * 1e9).cast("decimal(38,0)")).cast("double") / 1e9
 
-    def total(lam: Column) -> Column:
-        def add(acc: Column, p: Column) -> Column:
-            rate = _rate(lam, p["x"], cap)
-            return F.struct((acc["f"] + p["tokens"] * rate).alias("f"), (acc["slope"] + p["tokens"] * p["x"] * rate * (1 - rate / cap)).alias("slope"))
 
-        return F.aggregate("points", F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("slope")), add)
+def solve(hist: DataFrame, wanted: DataFrame, cap: float = CAP, rounds: int = ROUNDS, tolerance: float = TOLERANCE, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """``lam`` for each source: Newton steps on the dual, kept inside a bracket that shrinks with every step. A source whose
+    target is its cap has the rate ``cap`` throughout and takes no part (``lam`` null).
 
-    def move(s: Column, at: Column) -> Column:
-        g, lam = at["f"] - F.col("target"), s["lam"]
-        lo, hi = F.when(g < 0, lam).otherwise(s["lo"]), F.when(g > 0, lam).otherwise(s["hi"])
-        newton, most = lam - g / at["slope"], 4.0 + F.abs(lam)
-        inside = (at["slope"] > 0) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
+    A round is one distributed aggregation: every (source, size) level adds its share of the gradient and the curvature at its
+    source's ``lam``, combined map-side, and the sums move the dual's variables, one a source. Up to ``broadcast_sources`` the
+    variables are broadcast to the levels; of more, sources with many levels are dealt over many tasks. Sums do not depend on
+    the order of their terms, so reruns agree."""
+    scale = hist.groupBy("skey").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.count(F.lit(1)).alias("m"))
+    open_ = cut(wanted.filter((F.col("target") < cap * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)).join(scale, "skey").select("skey", "target", "scale", "m"))
+    levels, sources = hist.filter("size > 0").select("skey", "size", "n"), open_.count()
+    n_levels = hist.count() if sources > broadcast_sources else 0
+
+    def at_levels(table: DataFrame) -> DataFrame:
+        if sources <= broadcast_sources:
+            return levels.join(F.broadcast(table), "skey")
+        return spread_join(levels, table.join(open_.select("skey", "m"), "skey"), "skey", "m", n_levels)
+
+    state = open_.select("skey", "target", "scale", F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done"))
+    tokens, x = F.col("n") * F.col("size"), F.col("size") / F.col("scale")
+    rate = _rate(F.col("lam"), x, cap)
+    for _ in range(rounds):
+        sums = at_levels(state.filter("not done").select("skey", "scale", "lam")).groupBy("skey").agg(_exact(tokens * rate).alias("f"), _exact(tokens * x * rate * (1 - rate / cap)).alias("slope"))
+        g, lam = F.col("f") - F.col("target"), F.col("lam")
+        now = state.join(sums, "skey", "left").withColumn("lo", F.when(g < 0, lam).otherwise(F.col("lo"))).withColumn("hi", F.when(g > 0, lam).otherwise(F.col("hi")))
+        lo, hi, newton, most = F.col("lo"), F.col("hi"), lam - g / F.when(F.col("slope") > 0, F.col("slope")), 4.0 + F.abs(lam)
+        inside = newton.isNotNull() & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
         step = F.when(inside, F.greatest(F.least(newton, lam + most), lam - most)).when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(hi.isNull(), lam + most).otherwise(lam - most)
-        done = F.abs(g) <= tolerance * F.col("target")
-        return F.struct(F.when(done, lam).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
-
-    begin = F.struct(F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done"))
-    rounds_of = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, _: F.when(s["done"], s).otherwise(F.element_at(F.transform(F.array(total(s["lam"])), lambda at: move(s, at)), 1)), lambda s: s["lam"])
-    return wanted.join(points.select("skey", rounds_of.alias("lam")), "skey", "left")
+        done = F.col("done") | (F.abs(g) <= tolerance * F.col("target"))
+        state = cut(now.select("skey", "target", "scale", F.when(done, lam).otherwise(step).alias("lam"), "lo", "hi", done.alias("done")))
+        if state.filter("not done").isEmpty():
+            break
+    return wanted.join(state.select("skey", "lam"), "skey", "left")
 
 
 def _level_copies(hist: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
@@ -124,11 +134,9 @@ def _level_copies(hist: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` (``size * copies``), one row for each row of ``docs``."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BUCKETS)).cast("int")
-    rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("skey", source_key(F.col("source"))).withColumn("bucket", bucket)
-    )
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("skey", source_key(F.col("source"))))
+    buckets = max(BUCKETS, -(-sized.count() // BUCKET_ROWS))
+    rows = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int"))
     counts = cut(rows.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("m")))
     hist = cut(counts.groupBy("skey", "size").agg(F.sum("m").alias("n")))
     wanted = cut(targets(hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
