@@ -38,9 +38,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """``conv_id, formatted, loss_spans`` (array of ``start, length``; the first code point is 1), one row a conversation."""
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.struct(F.col(turn_col).alias("turn"), escape(F.coalesce(F.col(role_col), F.lit(""))).alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).alias("t"),
+        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )
-    gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    # sorted as they are said, escaped only then: escapes sort otherwise than what they stand for
+    said = F.transform(F.array_sort("ts"), lambda t: F.struct(t["turn"].alias("turn"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    gathered = rows.groupBy("conv_id").agg(F.collect_list("t").alias("ts")).select("conv_id", said.alias("ts"))
     # a turn opens a block where its role differs from the one before, and closes it where the next one's differs
     before = lambda i: F.when(i > 0, F.element_at("ts", i)["role"])
     after = lambda i: F.when(i + 1 < F.size("ts"), F.element_at("ts", i + 2)["role"])
