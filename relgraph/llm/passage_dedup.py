@@ -14,7 +14,8 @@ neighbour's match allows on the right and that the suffix before does not share.
 spot where all suffixes of a gram are at hand, else (a gram at the end of a partition, or of more than ``BLOCK`` suffixes)
 over all partitions. Nothing depends on where a batch or a partition ends.
 
-The sort is by range with ties parted by further words, so no key meets in one task.
+The sort is by range with ties parted by further words, and the rows of a gram that many suffixes begin with (a text that
+repeats one word has it at every place) are dealt over many tasks where they meet their count, so no key meets in one task.
 
 Defined results: null and empty texts have no passage; repeated rows are documents like others, so a text of ``MIN_WORDS``
 words or more that occurs twice is marked whole in both; a passage repeated within one document counts; an empty table gives
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import cut, partitions, read
+from .session import cut, partitions, read, spread_join
 from .words import _BASE, U, fold, mix, slices, split_words
 
 MIN_WORDS, GRAM = 50, 10
@@ -214,8 +215,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM,
     texts = docs.select(F.col(id_col).alias("doc_id"), key.alias("uid"), F.col(text_col).alias("text")).filter("text is not null")
     # repeated rows share a uid: the second one's suffixes stand beside the first one's
     places = cut(texts.select("uid", "text").mapInArrow(_keys(gram, least), "uid long, key long, at int"))
-    repeated = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    wanted = cut(places.join(repeated, "key").select("uid", "at").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("at")).alias("places")))
+    repeated = cut(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    wanted = cut(spread_join(places, repeated, "key", "n", places.count()).select("uid", "at").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("at")).alias("places")))
     contexts = texts.select("uid", "text").join(wanted, "uid").select("uid", "text", "places").mapInArrow(_contexts(gram, least), "uid long, at int, suffix binary, before binary")
     ordered = contexts.repartitionByRange(partitions(spark), "suffix", "before", "uid", "at").sortWithinPartitions("suffix", "before", "uid", "at")
     compared = cut(ordered.mapInArrow(_compare(gram, least, block), "uid long, begin long, end long, window long"))
