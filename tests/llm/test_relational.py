@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relgraph.llm import chat, exact_dedup, line_dedup, mixing, token_counts
+from relgraph.llm import chat, exact_dedup, line_dedup, mixing, token_counts, words
 
 DOCS = "doc_id long, text string, source string, digest string, size long, n long"
 
@@ -79,11 +79,33 @@ def test_drop_lines(spark, bound):
     assert line_dedup.drop_lines(docs(spark, [])).count() == 0
 
 
+def test_drop_lines_with_a_hot_line(spark):
+    """More frequent keys than are broadcast, one of them in every document: hot keys are told and all lines are judged right."""
+    rows = [(k, f"everywhere\nfew {k % 40}\n{' ' * (k % 30)}Pad{' ' * 20}\nown {k}\n" + "é\u3000" * (k % 3)) for k in range(600)]
+    found, hot = line_dedup.frequent_keys(docs(spark, rows), min_docs=10)
+    assert found.count() == 44 and 0 < hot.count() < 4 * line_dedup.HEAVY_PARTS
+    for bound in (5, 1000):
+        got = line_dedup.drop_lines(docs(spark, rows).repartition(5), min_docs=10, broadcast_keys=bound).collect()
+        assert Counter(tuple(r) for r in got) == lines_by_hand(rows, 10)
+
+
+def test_long_runs_hash_alike():
+    """A run hashes alike wherever it lies and however its bytes fall into steps; runs that differ in a byte do not."""
+    rng = np.random.default_rng(0)
+    long = rng.integers(0, 256, 3 * words.STEP + 17).astype(np.uint8)
+    other = long.copy()
+    other[2 * words.STEP] ^= 1
+    parts = [long[:5], long, long[:0], other, long]
+    lengths = np.array([len(x) for x in parts])
+    got = words.hash_runs(np.concatenate(parts), np.cumsum(lengths) - lengths, lengths)
+    assert got[1] == got[4] == words.hash_runs(long, np.array([0]), np.array([len(long)]))[0] and len(set(got.tolist())) == 4
+
+
 def test_line_runs(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     seen, total = set(), Counter()
     for batch in (["a", "b"], ["b", "c"], ["c", "d", "a"], ["e"], ["a"]):
-        keys = spark.createDataFrame([(b,) for b in batch], "k string").select(line_dedup.hashed(F.col("k")).alias("h")).select("h.h1", "h.h2")
+        keys = spark.createDataFrame([(b,) for b in batch], "k string").select(F.xxhash64("k").alias("h1"), F.hash("k").cast("long").alias("h2"), F.lit(1).cast("long").alias("n"))
         assert runs.add_new(keys).count() == len(set(batch) - seen)
         seen |= set(batch)
         total.update(batch)
@@ -100,11 +122,12 @@ def test_chat_round_trip(spark):
     for c, roles in enumerate((["user", "assistant"] * 6, ["assistant"] * 12, ["user>", "</turn>", None] * 4)):
         turns += [(c, k, r, t) for k, (r, t) in enumerate(zip(roles, NASTY, strict=True))]
     turns += [(9, 1, "user", "tie"), (9, 1, "user", "tie"), (None, None, "assistant", "x")]
+    turns += [(10, 1, "assistant", "(a"), (10, 1, "assistant", "<b"), (11, 1, "(r", "x"), (11, 1, "<r", "x")]  # escapes would sort the other way
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")).repartition(3)
     out = chat.format_chats(df)
     back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out.select("conv_id", chat.turns_of(F.col("formatted")).alias("turns")).collect()}
     digests = {r.conv_id: r for r in chat.digest(out).collect()}
-    for c in (0, 1, 2, 9, None):
+    for c in (0, 1, 2, 9, 10, 11, None):
         own = [(r or "", t or "") for i, _, r, t in turns if i == c]
         assert back[c] == own
         loss = "".join(t for r, t in own if r == "assistant")
@@ -157,6 +180,17 @@ def test_mix(spark):
     assert [r.taken for r in mixing.mix(docs(spark, [(1, None)])).collect()] == [0]
 
 
+def test_mix_is_the_same_on_every_run(spark):
+    """Whatever the partitions, and with the dual's variables broadcast or not; a hot source among many."""
+    rows = [(i, "w " * (i * i % 97 + 1), "hot" if i % 3 else f"s{i % 20}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hist = df.select(mixing.source_key(F.col("source")).alias("skey"), mixing.word_count(F.col("text")).alias("size")).groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
+    wanted = mixing.targets(hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    lams = [sorted(tuple(r) for r in mixing.solve(hist.repartition(p), wanted, broadcast_sources=b).select("skey", "lam").collect()) for p, b in ((1, 100), (5, 100), (3, 0))]
+    assert lams[0] == lams[1] == lams[2] and any(x is not None for _, x in lams[0])
+    assert sorted(mixing.mix(df).collect()) == sorted(mixing.mix(df.repartition(7, "text")).collect())
+
+
 def test_token_counts(spark):
     texts = [None, "", "hello world", "hello world", "don't   stop\n\n1234 é漢字", "x" * 20000, "a b c " * 3000]
     df = docs(spark, list(enumerate(texts)))

@@ -1,7 +1,7 @@
 """N-gram join, decontamination and repeated passages against brute force."""
 
 import random
-import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from relgraph.llm import decontamination, ngram_join, passage_dedup
-from relgraph.llm.words import fold, split_words
+from relgraph.llm.words import UNSPACED, fold, split_words
 
 DOCS = "doc_id long, text string, size long, cid long, key string"
 
@@ -19,7 +19,15 @@ def docs(spark, rows):
 
 
 def words_of(text):
-    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    out, own = [], ""
+    for c in (text or "").lower() + " ":
+        alone = any(x <= ord(c) <= y for x, y in UNSPACED) and unicodedata.category(c)[0] in "LMN"
+        if unicodedata.category(c)[0] in "LMN" and not alone:
+            own += c
+            continue
+        out += [own] * bool(own) + [c] * alone
+        own = ""
+    return out
 
 
 def sentence(rng, n, vocabulary=4000):
@@ -34,7 +42,7 @@ def changed(rng, text, edits):
 
 
 def test_words():
-    texts = ["Ab, cÉ-d\n1", None, "", "x", "  ", "été"]
+    texts = ["Ab, cÉ-d\n1", None, "", "x", "  ", "été", "你好，世界。ok今天x", "“Zitat” — x…y", "e\u0301 a😀b 𠀀𠀁", "ก็"]
     got = split_words(pa.array(texts))
     assert got.counts().tolist() == [len(words_of(t)) for t in texts]
     by = defaultdict(set)
