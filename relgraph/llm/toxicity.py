@@ -36,7 +36,8 @@ from .words import U, Words, mix, slices, split_words
 SIZE, DIM = 16, 16
 WINDOW, STRIDE = 48, 36
 GRAMS = (3, 4, 6)
-BATCH = 2048
+#: Windows, and words, worked on at once.
+BATCH, BLOCK = 2048, 4096
 #: Labelled rows of a kind in the training sample, and their characters together.
 SAMPLE_EACH, SAMPLE_CHARS = 1500, 12_000_000
 #: Documents of the sample that a word or an n-gram must be in to have an embedding.
@@ -121,8 +122,14 @@ def embed(p: dict, words: np.ndarray, grams: np.ndarray, begins: np.ndarray) ->
     """Input vectors of distinct words, given by their hashes and those of their n-grams."""
     if not len(words):
         return np.zeros((0, DIM), np.float32)
-    root = np.sqrt(np.diff(np.append(begins, len(grams))))[:, None].astype(np.float32)
-    return p["word"][row_of(p["words"], words)] + np.add.reduceat(p["gram"][row_of(p["grams"], grams)], begins) / root
+    ends = np.append(begins[1:], len(grams))
+    out = p["word"][row_of(p["words"], words)].astype(np.float32)
+    for a in range(0, len(words), BLOCK):  # a block's n-grams have their vectors at a time
+        own = slice(a, a + BLOCK)
+        lo, hi = int(begins[a]), int(ends[own][-1])
+        vectors = p["gram"][row_of(p["grams"], grams[lo:hi])].astype(np.float32, copy=False)
+        out[own] += np.add.reduceat(vectors, begins[own] - lo) / np.sqrt(ends[own] - begins[own])[:, None].astype(np.float32)
+    return out
 
 
 def joined(texts: pa.Array) -> Words:
@@ -255,7 +262,7 @@ def _network(texts: pa.Array, y: np.ndarray, steps: int, rng: np.random.Generato
         _descend(tables["word"], squares["word"], rows, dvec, rate)
         _descend(tables["gram"], squares["gram"], gram_row[gi], np.repeat(dvec / root, counts, axis=0), rate)
         tables["word"][-1] = tables["gram"][-1] = 0
-    return p | tables | keys
+    return p | {k: v.astype(np.float16) for k, v in tables.items()} | keys
 
 
 def calibrated(logits: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
