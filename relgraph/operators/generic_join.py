@@ -22,23 +22,28 @@ MAX_WIDTH = 1 << 20
 
 @dataclass
 class Index:
-    """``key, vs, n``: each key's sorted distinct values and their number. ``rows`` are the distinct ``key, value`` pairs."""
+    """``key, vs, n``: each key's sorted distinct values and their number. ``rows`` are the distinct ``key, value`` pairs, and
+    ``sizes`` (``key, n``) is counted from them, so asking for the widest list builds none."""
 
     rows: DataFrame
     lists: DataFrame
     sizes: DataFrame
+    width: int | None = None
 
     def widest(self) -> int:
-        return self.sizes.agg(F.max("n")).first()[0] or 0
+        if self.width is None:
+            self.width = self.sizes.agg(F.max("n")).first()[0] or 0
+        return self.width
 
 
 def build_index(df: DataFrame, key: str, value: str, persist: bool = True) -> Index:
     """An index of ``df`` on ``key``. Any orderable types do; duplicate pairs count once."""
     rows = df.select(F.col(key).alias("key"), F.col(value).alias("value")).filter("key is not null and value is not null")
-    lists = rows.groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("vs")).withColumn("n", F.size("vs").cast("long"))
+    pairs = hold(rows.distinct()) if persist else rows.distinct()
+    lists = pairs.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("vs")).withColumn("n", F.size("vs").cast("long"))
     if persist:
         lists = hold(lists)
-    return Index(rows.distinct(), lists, lists.select("key", "n"))
+    return Index(pairs, lists, pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Subgraph queries by the generic join, over a set of edges (see ``prep.normalize``)."""
+"""Subgraph queries by the generic join, over a set of edges (see ``prep.normalize``). ``form`` is that of ``generic_join.extend``:
+by default lists are intersected unless one would be too wide for a row."""
 
 from __future__ import annotations
 
@@ -14,46 +15,46 @@ def _pairs(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def triangles(e: DataFrame, index: Index | None = None, expand: bool = False, form: str = "arrays") -> DataFrame:
+def triangles(e: DataFrame, index: Index | None = None, expand: bool = False, form: str = "auto") -> DataFrame:
     """``a, b, c``: edges (a, b) with c among the successors of both; factorised unless ``expand``."""
     index = index or build_index(e, "src", "dst")
     return extend(_pairs(e), [Atom(index, "a"), Atom(index, "b")], "c", expand=expand, form=form)
 
 
-def triangle_count(e: DataFrame, form: str = "arrays") -> DataFrame:
+def triangle_count(e: DataFrame, form: str = "auto") -> DataFrame:
     """Counted without expanding: the sum of the factorised lists' lengths."""
     return triangles(e, form=form).agg(F.coalesce(F.sum(F.size("c").cast("long")), F.lit(0)).alias("triangles"))
 
 
-def rectangles(e: DataFrame, expand: bool = False) -> DataFrame:
+def rectangles(e: DataFrame, expand: bool = False, form: str = "auto") -> DataFrame:
     """``a, b, c, d``: b and c distinct successors of a, d a common successor of both other than a. On edges with the smaller
     id first these are the 4-cycles whose largest vertex is opposite their smallest, each twice; on a symmetric graph every
     4-cycle eight times."""
     index = build_index(e, "src", "dst")
-    wedges = extend(_pairs(e), [Atom(index, "a")], "c", form="arrays").filter("b <> c")
-    found = extend(wedges, [Atom(index, "b"), Atom(index, "c")], "d", expand=False, form="arrays")
+    wedges = extend(_pairs(e), [Atom(index, "a")], "c", form=form).filter("b <> c")
+    found = extend(wedges, [Atom(index, "b"), Atom(index, "c")], "d", expand=False, form=form)
     found = found.withColumn("d", F.array_remove(found["d"], F.col("a"))).filter(F.size("d") > 0)
     return found.select("a", "b", "c", F.explode("d").alias("d")) if expand else found
 
 
-def flags(e: DataFrame, expand: bool = False) -> DataFrame:
+def flags(e: DataFrame, expand: bool = False, form: str = "auto") -> DataFrame:
     """``a, b, c, d``: a triangle and one more common successor d of b and c, d other than a."""
     index = build_index(e, "src", "dst")
-    found = extend(triangles(e, index, expand=True), [Atom(index, "b"), Atom(index, "c")], "d", expand=False, form="arrays")
+    found = extend(triangles(e, index, expand=True, form=form), [Atom(index, "b"), Atom(index, "c")], "d", expand=False, form=form)
     found = found.withColumn("d", F.array_remove(found["d"], F.col("a"))).filter(F.size("d") > 0)
     return found.select("a", "b", "c", F.explode("d").alias("d")) if expand else found
 
 
-def next_order_cliques(cliques: DataFrame, index: Index, expand: bool = True) -> DataFrame:
+def next_order_cliques(cliques: DataFrame, index: Index, expand: bool = True, form: str = "auto") -> DataFrame:
     """Cliques of k vertices to those of k + 1: the new vertex is a successor of every member."""
     members = cliques.columns
-    return extend(cliques, [Atom(index, c) for c in members], NAMES[len(members)], expand=expand, form="arrays")
+    return extend(cliques, [Atom(index, c) for c in members], NAMES[len(members)], expand=expand, form=form)
 
 
-def cliques(e: DataFrame, k: int, expand: bool = True) -> DataFrame:
+def cliques(e: DataFrame, k: int, expand: bool = True, form: str = "auto") -> DataFrame:
     index, found = build_index(e, "src", "dst"), _pairs(e)
     for size in range(2, k):
-        found = next_order_cliques(found, index, expand=expand or size + 1 < k)
+        found = next_order_cliques(found, index, expand or size + 1 < k, form)
     return found
 
 

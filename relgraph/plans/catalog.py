@@ -488,6 +488,13 @@ def hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_blocks(graphs.ps(spark, sf_dir), 8)
 
 
+@_register(f"with {PS}, t as (select src as v, 'out' as side from ps union all select dst, 'in' from ps) select v, side, count(*) as degree from t group by v, side")
+def degrees_after_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In- and out-degrees of the edges decoded from a Hilbert layout."""
+    laid = hilbert.hilbert_layout(graphs.ps(spark, sf_dir), 8).select(hilbert.hilbert_cell("hilbert_key").alias("c")).select(F.col("c.x").alias("src"), F.col("c.y").alias("dst"))
+    return prep.out_degree(laid).withColumn("side", F.lit("out")).unionAll(prep.in_degree(laid).withColumn("side", F.lit("in")))
+
+
 @_register(f"with {PS} select count(*) filter (src < 0) as unconserved from ps")
 def edge_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees before and after a trip through the Hilbert layout: no vertex may differ."""
@@ -506,6 +513,20 @@ def packed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.read_packed_rows(spark, to)
 
 
+@_register(f"with {PS} select src, dst from ps")
+def packed_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through packed adjacency files."""
+    to = f"{shared_dir(spark)}/packed-files-{uuid.uuid4().hex}"
+    return codecs.read_packed(spark, codecs.write_binary(graphs.ps(spark, sf_dir), to, 4))
+
+
+@_register(f"with {PS} select src, dst from ps")
+def split_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through node and edge files."""
+    to = f"{shared_dir(spark)}/split-files-{uuid.uuid4().hex}"
+    return codecs.read_split(spark, codecs.write_binary(graphs.ps(spark, sf_dir), to, 4, split=True))
+
+
 @_register(f"with {PS} select src, dst from ps")
 def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the session names one; only where it is unset, a fresh temporary folder."""
+    """``spark.checkpoint.dir`` where the session names one; where it is unset, the folder set on the context, or in local mode
+    a fresh temporary one. A cluster must name a folder that all its machines share."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
     return named or sc.getCheckpointDir()
 

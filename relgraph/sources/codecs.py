@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +37,18 @@ def decode_packed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(words[heads], words[heads + 1]).astype(np.int64), words[keep].astype(np.int64)
 
 
+def _ids(values: np.ndarray | list) -> np.ndarray:
+    """Ids as the formats' int32; ids beyond that raise."""
+    wide = np.asarray(values, np.int64)
+    if len(wide) and (int(wide.min()) < -(1 << 31) or int(wide.max()) >= 1 << 31):
+        raise ValueError("ids of binary graph files are 32 bits wide; rename vertices first (see prep.dense_names)")
+    return wide.astype("<i4")
+
+
 def encode_packed(src: np.ndarray, lists: list[np.ndarray]) -> bytes:
     parts = []
     for v, targets in zip(src, lists, strict=True):
-        parts += [np.array([v, len(targets)], "<i4"), np.asarray(targets, "<i4")]
+        parts += [_ids([v, len(targets)]), _ids(targets)]
     return np.concatenate(parts).tobytes() if parts else b""
 
 
@@ -88,6 +98,46 @@ def read_packed_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).mapInPandas(run, EDGES)
 
 
+def write_binary(e: DataFrame, uri: str, parts: int, split: bool = False) -> list[str]:
+    """``e`` as ``parts`` binary files, vertex v in part ``v % parts``, sorted: ``part-I`` in the packed form, or with ``split``
+    ``part-I-nodes`` and ``part-I-edges``. Returns the paths, with ``split`` the prefixes, as the readers take them.
+
+    ``uri`` is a folder that all executors can write to by ``pyarrow.fs`` (a shared ``file:`` folder, HDFS, an object store). A
+    task writes to names of its own and the driver renames those of the attempt that was counted, so a lost executor leaves
+    only files that nothing names."""
+    import uuid as ids
+
+    from pyarrow import fs
+
+    lists = e.select("src", "dst").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        out, root = fs.FileSystem.from_uri(uri)
+        got = [f for f in frames if len(f)]
+        if not got:
+            return
+        f = pd.concat(got)
+        for part, own in f.groupby("part"):
+            own, name = own.sort_values("src"), f"{root}/.{ids.uuid4().hex}"
+            src, targets = own["src"].to_numpy(), list(own["neighbours"])
+            for kind, data in zip(("-nodes", "-edges"), encode_split(src, targets), strict=True) if split else [("", encode_packed(src, targets))]:
+                with out.open_output_stream(name + kind) as stream:
+                    stream.write(data)
+            yield pd.DataFrame({"part": [part], "name": [name]})
+
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root)
+    placed = lists.withColumn("part", F.pmod("src", F.lit(parts)).cast("long")).repartition(parts, "part")
+    paths = []
+    for r in placed.mapInPandas(run, "part long, name string").collect():  # a row a file
+        for kind in ("-nodes", "-edges") if split else ("",):
+            store.move(f"{r.name}{kind}", f"{root}/part-{r.part}{kind}")
+        paths.append(f"{uri}/part-{r.part}")
+    return sorted(paths)
+
+
 def decode_split(nodes: bytes, targets: bytes, cumulative: bool = False, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Split files to two columns. ``nodes`` holds ``vertex, degree`` pairs, or with ``cumulative`` each vertex's end offset,
     the i-th vertex being ``part + i * parts``."""
@@ -102,25 +152,36 @@ def decode_split(nodes: bytes, targets: bytes, cumulative: bool = False, part: i
 
 
 def encode_split(src: np.ndarray, lists: list[np.ndarray]) -> tuple[bytes, bytes]:
-    heads = np.array([[v, len(x)] for v, x in zip(src, lists, strict=True)], "<i4").reshape(-1)
-    return heads.tobytes(), (np.concatenate(lists) if lists else np.array([])).astype("<i4").tobytes()
+    heads = _ids([x for v, own in zip(src, lists, strict=True) for x in (v, len(own))])
+    return heads.tobytes(), _ids(np.concatenate(lists) if lists else []).tobytes()
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file sources name it, with scheme and host, and as the one without an authority where it has none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def read_split(spark: SparkSession, prefixes: list[str], cumulative: bool = False) -> DataFrame:
     """Graphs kept as ``PREFIX-nodes`` and ``PREFIX-edges``; with ``cumulative`` the prefixes are parts 0, 1, ... of the graph."""
-    order = {p: i for i, p in enumerate(prefixes)}
+    order = {_qualified(spark, p): i for i, p in enumerate(prefixes)}
     files = _binary(spark, [f"{p}-{kind}" for p in prefixes for kind in ("nodes", "edges")])
-    name = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    pairs = files.select(F.regexp_replace(name, "-(nodes|edges)$", "").alias("prefix"), F.regexp_extract("path", "-(nodes|edges)$", 1).alias("kind"), "content")
+    pairs = files.select(F.regexp_replace("path", "-(nodes|edges)$", "").alias("prefix"), F.regexp_extract("path", "-(nodes|edges)$", 1).alias("kind"), "content")
     both = pairs.groupBy("prefix").agg(F.max(F.when(F.col("kind") == "nodes", F.col("content"))).alias("nodes"), F.max(F.when(F.col("kind") == "edges", F.col("content"))).alias("edges"))
     parts = len(prefixes)
+    same = lambda p: re.sub("^file:/+", "file:/", p)  # noqa: E731  (written with one slash or three)
+    found = {same(p): i for p, i in order.items()}
+
+    def place(prefix: str) -> int:
+        return found[same(prefix)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
         for f in frames:
             for prefix, nodes, edges in zip(f["prefix"], f["nodes"], f["edges"], strict=True):
-                src, dst = decode_split(nodes, edges, cumulative, order[prefix], parts)
+                src, dst = decode_split(nodes, edges, cumulative, place(prefix), parts)
                 yield pd.DataFrame({"src": src, "dst": dst})
 
     return both.mapInPandas(run, EDGES)

@@ -53,6 +53,55 @@ def test_generic_join_forms_agree(spark):
     assert rows(motifs.cliques(e, 4), *"abcd") == [c for c in itertools.combinations(range(40), 4) if all(p in have for p in itertools.combinations(c, 2))]
 
 
+def test_hub_wider_than_a_row(spark, monkeypatch):
+    """Where a list is too wide for a row no motif builds it, and all come out the same."""
+    e = prep.normalize(graphs.local_edges(spark, [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(1, 59)] + [(k, k + 2) for k in range(1, 50)])).cache()
+    found = lambda: [rows(motifs.triangles(e, expand=True), *"abc"), rows(motifs.rectangles(e, expand=True), *"abcd"), rows(motifs.flags(e, expand=True), *"abcd"), rows(motifs.cliques(e, 4), *"abcd")]
+    want = found()
+    monkeypatch.setattr(generic_join.extend, "__defaults__", (True, "auto", 50))
+    built = []
+    monkeypatch.setattr(generic_join, "_intersected", lambda n: built.append(n))
+    assert found() == want and not built and all(want)
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("plain", [0, 6])
+def test_independent_set_of_a_long_path(spark, plain):
+    n, rng = 10_000, random.Random(5)
+    path = graphs.local_edges(spark, [(k, k + 1) for k in range(n - 1)])
+    assert rows(maximal_independent_set(path, plain=plain), "v") == [(k,) for k in range(0, n, 2)]
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(700)]
+    near = {v: set() for p in pairs for v in p}
+    for s, t in pairs:
+        if s != t:
+            near[s].add(t)
+            near[t].add(s)
+    taken = set()
+    for v in sorted(near):
+        if not near[v] & taken:
+            taken.add(v)
+    assert rows(maximal_independent_set(graphs.local_edges(spark, pairs), plain=plain), "v") == [(v,) for v in sorted(taken)]
+
+
+def test_binary_files(spark, tmp_path):
+    """Written, read back by the readers, under paths with and without a scheme; ids that do not fit raise."""
+    rng = random.Random(6)
+    e = graphs.local_edges(spark, sorted({(rng.randrange(50), rng.randrange(50)) for _ in range(300)}))
+    want = rows(e, "src", "dst")
+    for k, uri in enumerate((f"{tmp_path}/a", f"file://{tmp_path}/b")):
+        packed, split = codecs.write_binary(e, uri, 3), codecs.write_binary(e, f"{uri}-split", 3, split=True)
+        assert len(packed) == len(split) == 3 and packed[1] == f"{uri}/part-1"
+        assert rows(codecs.read_packed(spark, packed), "src", "dst") == rows(codecs.read_split(spark, split), "src", "dst") == want
+        assert [src for src, _ in want if src % 3 == k] == sorted(codecs.decode_packed(Path(tmp_path, "ab"[k], f"part-{k}").read_bytes())[0].tolist())
+    assert codecs.write_binary(e.limit(0), f"{tmp_path}/none", 3) == []
+    for big in (1 << 31, (1 << 40) + 7):
+        for encode in (codecs.encode_packed, codecs.encode_split):
+            with pytest.raises(ValueError, match="32 bits"):
+                encode(np.array([1]), [np.array([big])])
+            with pytest.raises(ValueError, match="32 bits"):
+                encode(np.array([big]), [np.array([1])])
+
+
 def test_unkeyed_atom(spark):
     """Proposes all its values, validates others' values, and proposes only where it has fewest; empty, it allows none."""
     e = graphs.local_edges(spark, [(1, k) for k in range(2, 9)] + [(2, 3), (3, 4), (4, 9)])
