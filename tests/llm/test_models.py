@@ -1,6 +1,8 @@
 """The recurrent networks: gradients, inference, held-out accuracy, odd inputs; and the pipeline."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from relgraph.llm import gru, language_id, toxicity
-from relgraph.llm.words import split_words
+from relgraph.llm.words import mix, split_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,6 +136,82 @@ def test_long_clean_texts_stay_clean():
     assert (toxicity.scores(model, pa.array(bad)) >= 0.5).all()
 
 
+def slow_states(gates, u):
+    """States of one direction over a list of input gates ``[3, H]``, one step and one unit at a time, in float64."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    size, h, out = u.shape[1], [0.0] * u.shape[1], []
+    for g in gates:
+        a = [[sum(h[i] * float(u[k][i][j]) for i in range(size)) for j in range(size)] for k in range(3)]
+        r, z = ([sig(float(g[k][j]) + a[k][j]) for j in range(size)] for k in (0, 1))
+        n = [math.tanh(float(g[2][j]) + r[j] * a[2][j]) for j in range(size)]
+        h = [z[j] * h[j] + (1 - z[j]) * n[j] for j in range(size)]
+        out.append(np.array(h))
+    return out
+
+
+def slow_both(m, gates):
+    """States of both directions at each step."""
+    return slow_states(gates["f"], m["uf"]), slow_states(gates["b"][::-1], m["ub"])[::-1]
+
+
+def slow_language(m, text):
+    data, total = text.encode(), 0.0
+    for a in range(0, len(data), language_id.SEGMENT):
+        part = data[a : a + language_id.SEGMENT]
+        ahead, back = slow_both(m, {d: [m[f"w{d}"][c] for c in part] for d in "fb"})
+        for x, y in zip(ahead, back, strict=True):
+            e = np.exp(x @ m["vf"] + y @ m["vb"] + m["c"])
+            total = total + e / e.sum()
+    return total / len(data)
+
+
+def slow_toxicity(m, text):
+    words = text_words(text)
+    of_word, of_gram = (dict(zip(m[k].tolist(), range(len(m[k])), strict=True)) for k in ("words", "grams"))
+    vectors = {}
+    for w in set(words):
+        v = m["word"][of_word.get(int(split_words(pa.array([w])).hashes[0]), -1)].astype(float)
+        marked = b"^" + w.encode() + b"$"
+        grams = [marked[i : i + n] for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+        for g in grams:
+            h = len(g)
+            for c in g:
+                h = (h * 257 + c) % 2**64
+            v = v + m["gram"][of_gram.get(int(mix(np.array([h], np.uint64))[0]), -1)].astype(float) / math.sqrt(len(grams))
+        vectors[w] = v
+    best = -math.inf
+    for a in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE):
+        own = words[a : a + toxicity.WINDOW]
+        ahead, back = slow_both(m, {d: [(vectors[w] @ m[f"w{d}"] + m[f"c{d}"]).reshape(3, -1) for w in own] for d in "fb"})
+        outs = [x @ m["rf"] + y @ m["rb"] for x, y in zip(ahead, back, strict=True)]
+        weights = [math.exp(o[0]) for o in outs]
+        best = max(best, sum(w * o[1] for w, o in zip(weights, outs, strict=True)) / sum(weights) + float(m["b"][0]) if own else float(m["b"][0]))
+    return 1 / (1 + math.exp(-(m["scale"][0] * best + m["scale"][1])))
+
+
+def text_words(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def test_queries_equal_a_slow_forward_pass(spark, monkeypatch):
+    """Both queries whole, with the model each has fitted, against plain loops over units, positions and windows."""
+    fitted = {}
+    for module, steps in ((toxicity, 40), (language_id, 20)):
+        own = module.fit
+        monkeypatch.setattr(module, "fit", lambda *a, own=own, module=module, steps=steps: fitted.setdefault(module, own(*a, steps=steps)))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    short = sorted((i for i in texts if all(c.isascii() or c.isalpha() for c in texts[i])), key=lambda i: len(texts[i]))
+    toxic, lang = ({r.doc_id: r for r in module.query(spark, SF).collect()} for module in (toxicity, language_id))
+    assert toxic.keys() == lang.keys() == texts.keys()
+    for i in [k for k in short if texts[k].strip()][:12] + short[-1:]:
+        if len(texts[i]) < 4000:
+            assert toxic[i].score == pytest.approx(slow_toxicity(fitted[toxicity], texts[i]), abs=2e-3)
+            model, langs = fitted[language_id]
+            want = slow_language(model, texts[i])
+            assert lang[i].score == pytest.approx(want.max(), abs=2e-3)
+            assert lang[i].lang_pred == langs[int(want.argmax())] or np.sort(want)[-1] - np.sort(want)[-2] < 4e-3
+
+
 def test_pipeline(spark, monkeypatch):
     """Every stage and ``run`` itself, with rows of every odd kind and columns named like the stages' own."""
     import corpus_pipeline
