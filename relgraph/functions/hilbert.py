@@ -1,7 +1,14 @@
-"""The Hilbert curve as Spark expressions: a fold over the bits, inside whole-stage code."""
+"""The Hilbert curve as Spark expressions, in two forms that agree.
+
+:func:`hilbert_key` and :func:`hilbert_cell` fold over the bits by a higher-order function, which Spark interprets row by row.
+:func:`with_key` and :func:`with_cell` take four bits of both coordinates at a time by a table of the curve's four
+orientations: eight look-ups in a row of projections, inside whole-stage code.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +42,62 @@ def hilbert_cell(d: str, levels: int = LEVELS) -> Column:
             'y', if({ry} = 0, if({rx} = 1, {side} - s.x, s.x), s.y) + shiftleft(cast({ry} as bigint), i)))""")
 
 
+@lru_cache(maxsize=2)
+def _table(decode: bool) -> str:
+    """An array as SQL, indexed by orientation and eight bits: of both coordinates, four each, or with ``decode`` of the key.
+    Entries hold the other eight bits and, in the two lowest ones, the orientation that follows. An orientation says whether
+    coordinates are swapped (1) and turned round (2)."""
+    out = [0] * 1024
+    for state in range(4):
+        for bits in range(256):
+            s, key = state, 0
+            for level in (3, 2, 1, 0):
+                a, b = bits >> 4 + level & 1, bits >> level & 1
+                x, y = ((b, a) if s & 1 else (a, b)) if not s & 2 else ((1 - b, 1 - a) if s & 1 else (1 - a, 1 - b))
+                key = key << 2 | 3 * x ^ y
+                if y == 0:
+                    s ^= 1 | x << 1
+            out[state << 8 | (key if decode else bits)] = (bits if decode else key) << 2 | s
+    return f"array({', '.join(map(str, out))})"
+
+
+def _looked_up(df: DataFrame, decode: bool, levels: int, byte) -> tuple[DataFrame, list[str]]:
+    """``df`` with eight columns more, the table's entries for ``byte(0)`` to ``byte(7)``, each by the orientation that the one
+    before left; and their names. One projection each: an entry is used twice, so Spark keeps them apart."""
+    table, before = F.expr(_table(decode)), F.lit(levels % 2)  # of 32 levels, two without bits change nothing
+    names = [f"__hilbert_{t}" for t in range(8)]
+    for t, name in enumerate(names):
+        df = df.withColumn(name, table[before.bitwiseAND(3) * 256 + byte(t)])
+        before = F.col(name)
+    return df, names
+
+
+def with_key(df: DataFrame, x: str = "src", y: str = "dst", out: str = "hilbert_key", levels: int = LEVELS) -> DataFrame:
+    """``df`` with the position of the cell (x, y) on a curve of up to 32 levels; ids that :func:`hilbert_key` rejects raise."""
+    fits = (F.col(x) >= 0) & (F.col(y) >= 0) & (F.col(x) < 1 << 31) & (F.col(y) < 1 << 31)
+    checked = df.withColumn("__hilbert_x", F.when(fits, F.col(x)).otherwise(F.raise_error(F.lit("ids must be from 0 to 2^31 - 1"))).cast("long"))
+    four = lambda c, t: F.shiftright(c, 28 - 4 * t).bitwiseAND(15)
+    rows, names = _looked_up(checked, False, levels, lambda t: (four(F.col("__hilbert_x"), t) * 16 + four(F.col(y).cast("long"), t)).cast("int"))
+    key = F.lit(0).cast("long")
+    for t, name in enumerate(names):
+        key = key.bitwiseOR(F.shiftleft(F.shiftright(name, 2).cast("long"), 56 - 8 * t))
+    return rows.withColumn(out, key).drop(*names, "__hilbert_x")
+
+
+def with_cell(df: DataFrame, key: str = "hilbert_key", x: str = "x", y: str = "y", levels: int = LEVELS) -> DataFrame:
+    """``df`` with the cell at a position: the inverse of :func:`with_key`."""
+    rows, names = _looked_up(df, True, levels, lambda t: F.shiftrightunsigned(key, 56 - 8 * t).bitwiseAND(255).cast("int"))
+    cell = {}
+    for c, low in ((x, 6), (y, 2)):
+        cell[c] = F.lit(0).cast("long")
+        for t, name in enumerate(names):
+            cell[c] = cell[c].bitwiseOR(F.shiftleft(F.shiftright(name, low).bitwiseAND(15).cast("long"), 28 - 4 * t))
+    return rows.withColumns(cell).drop(*names)
+
+
 def hilbert_layout(e: DataFrame, parts: int) -> DataFrame:
     """Edges with their key, range-partitioned and sorted by it, so that Parquet's min/max skip by either endpoint."""
-    keyed = e.withColumn("hilbert_key", hilbert_key("src", "dst"))
+    keyed = with_key(e)
     return keyed.repartitionByRange(parts, "hilbert_key").sortWithinPartitions("hilbert_key")
 
 

@@ -474,13 +474,19 @@ h as (
 
 @_register(f"{_HILBERT} select src, dst, d as hilbert_key from h where i = -1")
 def hilbert_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.ps(spark, sf_dir).withColumn("hilbert_key", hilbert.hilbert_key("src", "dst"))
+    return hilbert.with_key(graphs.ps(spark, sf_dir))
 
 
 @_register(f"with {PS} select src, dst, src as x, dst as y from ps")
 def hilbert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = graphs.ps(spark, sf_dir).withColumn("k", hilbert.hilbert_key("src", "dst"))
-    return keyed.withColumn("c", hilbert.hilbert_cell("k")).select("src", "dst", "c.x", "c.y")
+    return hilbert.with_cell(hilbert.with_key(graphs.ps(spark, sf_dir))).select("src", "dst", "x", "y")
+
+
+@_register(f"{_HILBERT} select src, dst, d as hilbert_key, src as x, dst as y from h where i = -1")
+def hilbert_bitwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There and back by the form that folds over bits."""
+    keyed = graphs.ps(spark, sf_dir).withColumn("hilbert_key", hilbert.hilbert_key("src", "dst"))
+    return keyed.withColumn("c", hilbert.hilbert_cell("hilbert_key")).select("src", "dst", "hilbert_key", "c.x", "c.y")
 
 
 @_register(f"with {PS} select src >> 8 as x_block, dst >> 8 as y_block, count(*) as n from ps group by 1, 2")
@@ -491,7 +497,7 @@ def hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"with {PS}, t as (select src as v, 'out' as side from ps union all select dst, 'in' from ps) select v, side, count(*) as degree from t group by v, side")
 def degrees_after_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In- and out-degrees of the edges decoded from a Hilbert layout."""
-    laid = hilbert.hilbert_layout(graphs.ps(spark, sf_dir), 8).select(hilbert.hilbert_cell("hilbert_key").alias("c")).select(F.col("c.x").alias("src"), F.col("c.y").alias("dst"))
+    laid = hilbert.with_cell(hilbert.hilbert_layout(graphs.ps(spark, sf_dir), 8)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     return prep.out_degree(laid).withColumn("side", F.lit("out")).unionAll(prep.in_degree(laid).withColumn("side", F.lit("in")))
 
 
@@ -499,7 +505,7 @@ def degrees_after_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees before and after a trip through the Hilbert layout: no vertex may differ."""
     e = hold(graphs.ps(spark, sf_dir))
-    laid = hilbert.hilbert_layout(e, 8).select(hilbert.hilbert_cell("hilbert_key").alias("c")).select(F.col("c.x").alias("src"), F.col("c.y").alias("dst"))
+    laid = hilbert.with_cell(hilbert.hilbert_layout(e, 8)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     return prep.unconserved(e, laid).agg(F.count(F.lit(1)).alias("unconserved"))
 
 

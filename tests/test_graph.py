@@ -83,6 +83,18 @@ def test_independent_set_of_a_long_path(spark, plain):
     assert rows(maximal_independent_set(graphs.local_edges(spark, pairs), plain=plain), "v") == [(v,) for v in sorted(taken)]
 
 
+@pytest.mark.parametrize("levels", [32, 31, 6, 5])
+def test_hilbert_forms_agree(spark, levels):
+    rng, top = random.Random(levels), 1 << min(31, levels)
+    pairs = [(rng.randrange(top), rng.randrange(top)) for _ in range(300)] + [(0, 0), (top - 1, 0), (0, top - 1), (top - 1, top - 1)]
+    e = graphs.local_edges(spark, pairs)
+    keyed = hilbert.with_key(e, levels=levels).withColumn("bitwise", hilbert.hilbert_key("src", "dst", levels))
+    got = hilbert.with_cell(keyed, levels=levels).collect()
+    assert all(r.hilbert_key == r.bitwise and (r.src, r.dst) == (r.x, r.y) for r in got) and len(got) == len(pairs)
+    with pytest.raises(Exception, match="2\\^31"):
+        hilbert.with_key(graphs.local_edges(spark, [(-1, 5)])).collect()
+
+
 def test_binary_files(spark, tmp_path):
     """Written, read back by the readers, under paths with and without a scheme; ids that do not fit raise."""
     rng = random.Random(6)
