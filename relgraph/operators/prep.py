@@ -95,6 +95,14 @@ def number(ids: DataFrame, *order: Column | str, out: str = "new") -> DataFrame:
     return placed.join(F.broadcast(starts.drop("__n")), "__p").withColumn(out, F.col("__k") - F.col("__first") + F.col("__start")).drop("__p", "__k", "__first", "__start")
 
 
+def following(rows: DataFrame, value: str, *order: str, out: str = "next") -> DataFrame:
+    """Each row with the next row's ``value`` in a total order, null in the last: numbers joined to numbers less one, so no
+    task sorts all rows."""
+    at = number(rows, *order, out="__at")
+    after = at.select((F.col("__at") - 1).alias("__at"), F.col(value).alias(out))
+    return at.join(after, "__at", "left").drop("__at")
+
+
 def rename(e: DataFrame, names: DataFrame) -> DataFrame:
     """Both endpoints replaced by way of a dictionary ``v, new``; a multigraph stays one."""
     a = names.select(F.col("v").alias("src"), F.col("new").alias("__s"))
@@ -138,12 +146,14 @@ def place(e: DataFrame, part: Column, parts: int) -> DataFrame:
 
 
 def adjacency(e: DataFrame, chunk: int | None = None) -> DataFrame:
-    """``src, degree, neighbours`` (sorted); with ``chunk``, long lists as several rows of at most so many."""
-    rows = e.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours")).withColumn("degree", F.size("neighbours").cast("long"))
+    """``src, degree, neighbours`` (sorted); with ``chunk``, long lists as several rows of at most so many. Chunks come from the
+    edges' numbers in order of source and target, so no task gathers or sorts a hub's whole list."""
     if chunk is None:
-        return rows.select("src", "degree", "neighbours")
-    starts = F.sequence(F.lit(1), F.size("neighbours"), F.lit(chunk))
-    return rows.select("src", "degree", F.posexplode(F.transform(starts, lambda i: F.slice("neighbours", i, chunk))).alias("chunk", "neighbours"))
+        rows = e.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+        return rows.select("src", F.size("neighbours").cast("long").alias("degree"), "neighbours")
+    numbered = number(e.select("src", "dst"), "src", "dst", out="at").join(offsets(e), "src")
+    rows = numbered.withColumn("chunk", F.floor((F.col("at") - F.col("first")) / chunk).cast("int"))
+    return rows.groupBy("src", "degree", "chunk").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
 
 
 def offsets(e: DataFrame) -> DataFrame:

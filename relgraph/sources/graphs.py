@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..operators.prep import following
 
 EDGE_SCHEMA = T.StructType([T.StructField("src", T.LongType(), False), T.StructField("dst", T.LongType(), False)])
 
@@ -44,10 +45,9 @@ def copart_r(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's user to the next event's. The order is total over the table, so the window has one partition; ``lead``
-    needs only the neighbour, and the input is three columns of a bounded event log."""
-    after = F.lead("user_id").over(Window.orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), after.alias("dst")).filter("dst is not null and src <> dst").distinct()
+    """Each event's user to the next event's, in the order of time and id over the whole table."""
+    pairs = following(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", out="dst")
+    return pairs.select(F.col("user_id").alias("src"), "dst").filter("dst is not null and src <> dst").distinct()
 
 
 def ps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,22 @@ def test_tie_rules(spark):
     assert rows(prep.orient_by_value(e, values), "src", "dst") == [(1, 2)]
 
 
+def test_chunks_of_a_hub(spark):
+    pairs = [(7, k * 3 % 1000) for k in range(1000)] + [(9, 1), (9, 1), (3, 5)]
+    got = {(r.src, r.chunk): r for r in prep.adjacency(graphs.local_edges(spark, pairs), chunk=64).collect()}
+    assert sorted(got) == [(3, 0)] + [(7, k) for k in range(16)] + [(9, 0)]
+    assert [v for k in range(16) for v in got[7, k].neighbours] == list(range(1000))
+    assert got[9, 0].neighbours == [1, 1] and got[9, 0].degree == 2 and got[7, 15].degree == 1000
+    assert prep.adjacency(graphs.local_edges(spark, []), chunk=64).isEmpty()
+
+
+def test_following_row(spark):
+    values = random.Random(5).sample(range(10_000), 500)
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v long").repartition(7)
+    got = {r.k: r.next for r in prep.following(rows, "v", "k").collect()}
+    assert got == dict(enumerate([*values[1:], None]))
+
+
 def test_number_is_dense(spark):
     ids = spark.range(0, 1000, 7).select(F.col("id").alias("v"))
     assert rows(prep.number(ids, "v"), "v", "new") == [(7 * k, k) for k in range(143)]
