@@ -3,8 +3,8 @@
 ``dataflow``: mass starts at the sources only and every round passes on ``damping / degree`` of the last delta; ranks are the
 sum of all deltas. ``disk``: all vertices start at ``reset``; sources send and fall back to ``reset``, a vertex that never
 sends keeps what it has. ``memory``: as ``disk`` without any fall-back, so mass decays. ``step``: one textbook round from a
-given vector. ``blocks``: rounds of that step from zero. Weights ``1 / degree`` are joined to the edges once, the edges are
-dealt by source once and held, and each round shuffles only ranks and partial sums.
+given vector. ``blocks``: rounds of that step from zero. Weights ``1 / degree`` are joined to the edges once and held;
+how they are dealt is left to the planner, which can split a source with very many edges.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .prep import out_degree, vertices
 
 
 def weighted(e: DataFrame) -> DataFrame:
-    """``src, dst, w`` with ``w = 1 / out-degree``, dealt by source and held."""
+    """``src, dst, w`` with ``w = 1 / out-degree``, held."""
     deg = out_degree(e).select(F.col("v").alias("src"), (1.0 / F.col("degree")).alias("w"))
     return hold(e.join(deg, "src"))
 
