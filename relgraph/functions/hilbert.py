@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = 32
@@ -30,6 +30,18 @@ def hilbert_key(x: str, y: str, levels: int = LEVELS) -> Column:
     return F.expr(f"if({fits}, {fold}, raise_error('ids must be from 0 to 2^31 - 1'))")
 
 
+def hilbert_key_carried(x: str, y: str, levels: int = LEVELS) -> Column:
+    """:func:`hilbert_key` with coordinates left as they are: the fold carries the orientation in place of turning them, as in
+    the table (swapped 1, turned round 2). For ids below 2**31."""
+    a, b = f"(shiftright(cast({x} as bigint), i) & 1)", f"(shiftright(cast({y} as bigint), i) & 1)"
+    px, py = f"(if((c.s & 1) = 1, {b}, {a}) ^ shiftright(c.s, 1))", f"(if((c.s & 1) = 1, {a}, {b}) ^ shiftright(c.s, 1))"
+    return F.expr(f"""aggregate(
+        sequence({levels - 1}, 0, -1),
+        named_struct('d', 0L, 's', 0L),
+        (c, i) -> named_struct('d', shiftleft(c.d, 2) | ((3 * {px}) ^ {py}), 's', if({py} = 0, c.s ^ (1 | shiftleft({px}, 1)), c.s)),
+        c -> c.d)""")
+
+
 def hilbert_cell(d: str, levels: int = LEVELS) -> Column:
     """``struct(x, y)`` of a position: the inverse of :func:`hilbert_key`."""
     rx, ry = f"(shiftright({d}, 2 * i + 1) & 1)", f"((shiftright({d}, 2 * i) & 1) ^ (shiftright({d}, 2 * i + 1) & 1))"
@@ -101,6 +113,39 @@ def hilbert_layout(e: DataFrame, parts: int) -> DataFrame:
     return keyed.repartitionByRange(parts, "hilbert_key").sortWithinPartitions("hilbert_key")
 
 
+def write_layout(e: DataFrame, path: str, parts: int) -> None:
+    """The layout as Parquet: ``src, dst, hilbert_key``, in files that follow one another along the curve."""
+    hilbert_layout(e.select("src", "dst"), parts).write.parquet(path)
+
+
+def scan_layout(spark: SparkSession, path: str, src: tuple[int, int] | None = None, dst: tuple[int, int] | None = None) -> DataFrame:
+    """Edges of a written layout, all or with either endpoint in a range, both ends included: Parquet skips what lies outside."""
+    e = spark.read.parquet(path).select("src", "dst")
+    for end, within in (("src", src), ("dst", dst)):
+        if within is not None:
+            e = e.filter(F.col(end).between(*within))
+    return e
+
+
+#: The four groups of bits that the prefix encoding keeps together, from the highest: lowest bit and number of bits, by name.
+PREFIXES = {"high32": (16, 16), "next16": (8, 8), "next08": (4, 4), "last08": (0, 4)}
+
+
+def with_prefixes(df: DataFrame, x: str = "src", y: str = "dst") -> DataFrame:
+    """``df`` with the cell's bits by groups, those of x above those of y in each (see ``PREFIXES``)."""
+    part = lambda c, low, bits: F.shiftright(F.col(c).cast("long"), low).bitwiseAND((1 << bits) - 1)
+    return df.withColumns({n: F.shiftleft(part(x, low, bits), bits).bitwiseOR(part(y, low, bits)) for n, (low, bits) in PREFIXES.items()})
+
+
+def without_prefixes(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """The cell put together again from the columns that :func:`with_prefixes` made, which go."""
+    cell = {x: F.lit(0).cast("long"), y: F.lit(0).cast("long")}
+    for n, (low, bits) in PREFIXES.items():
+        cell[x] = cell[x].bitwiseOR(F.shiftleft(F.shiftright(n, bits), low))
+        cell[y] = cell[y].bitwiseOR(F.shiftleft(F.col(n).bitwiseAND((1 << bits) - 1), low))
+    return df.withColumns(cell).drop(*PREFIXES)
+
+
 def hilbert_blocks(e: DataFrame, bits: int = 16) -> DataFrame:
     """Edges in each square block of side ``2 ** bits``."""
     return e.groupBy(F.shiftright("src", bits).alias("x_block"), F.shiftright("dst", bits).alias("y_block")).agg(F.count(F.lit(1)).alias("n"))

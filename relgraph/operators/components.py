@@ -50,6 +50,17 @@ def local_forests(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").mapInPandas(run, "src long, dst long")
 
 
+def merged_forests(e: DataFrame, levels: int = 2, fan: int = 4) -> DataFrame:
+    """:func:`local_forests`, and ``levels`` times those of about ``fan`` partitions made one forest. Each level leaves at most
+    its partitions times the vertices; a task holds the vertices of its own edges, so levels stop at two partitions and the
+    star steps do the rest."""
+    e, parts = local_forests(e), int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(levels):
+        parts = max(parts // fan, 2)
+        e = local_forests(e.repartition(parts, "src", "dst"))
+    return e
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -46,6 +46,13 @@ def build_index(df: DataFrame, key: str, value: str, persist: bool = True) -> In
     return Index(pairs, lists, pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
 
 
+def index_of_lists(lists: DataFrame) -> Index:
+    """An index of ``key, vs`` whose lists are sorted and distinct, each key once, as part files keep them (see
+    ``codecs.read_packed_lists``): nothing is grouped."""
+    lists = hold(lists.select("key", "vs", F.size("vs").cast("long").alias("n")).filter("n > 0"))
+    return Index(lists.select("key", F.explode("vs").alias("value")), lists, lists.select("key", "n"))
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """The un-keyed index: the column's distinct values ``v``."""
     return df.select(F.col(column).alias("v")).distinct()

@@ -559,3 +559,100 @@ def _folder(spark: SparkSession, path: str) -> str:
     """A streamed file source reads a folder: ``path`` itself if it is one, else a glob that matches just the file."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory() else path.replace("events.parquet", "events.parquet*")
+
+
+# --- formats and layouts, more of them ---------------------------------------------------------------------------------
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_register(f"with {PS} select src, dst from ps")
+def text_to_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of edges converted to packed adjacency files, and these read."""
+    text = _new_folder(spark, "text")
+    codecs.write_text(graphs.ps(spark, sf_dir), text)
+    return codecs.read_packed(spark, codecs.convert_text(spark, text, _new_folder(spark, "converted"), 4))
+
+
+@_register("select o_orderkey as src, cast(0 as bigint) as dst from orders")
+def text_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose second word is no number: it reads as 0."""
+    to = _new_folder(spark, "lenient")
+    graphs.table(spark, sf_dir, "orders").select(F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("value")).write.text(to)
+    return codecs.read_text(spark, to, strict=False)
+
+
+@_register(f"with {PS} select src as v, count(*) as degree from ps group by src")
+def split_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees from the node files of a split graph."""
+    return codecs.read_split_degrees(spark, codecs.write_binary(graphs.ps(spark, sf_dir), _new_folder(spark, "split-degrees"), 4, split=True))
+
+
+@_register(ORACLES["adjacency_index_stats"])
+def index_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index straight from packed files."""
+    files = codecs.write_binary(graphs.copart(spark, sf_dir), _new_folder(spark, "index"), 4)
+    lists = generic_join.index_of_lists(codecs.read_packed_lists(spark, files)).lists
+    return lists.select("key", "n", F.element_at("vs", 1).alias("least"), F.element_at("vs", -1).alias("most"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@_register(f"with {COPART}, {DEG}, e as ({_WHOLE_ENDS}) select distinct case when da < db then src else dst end as src, case when da < db then dst else src end as dst from e")
+def degree_oriented_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges oriented by degree (ties swapped) and kept as packed files, each once."""
+    e = hold(graphs.copart(spark, sf_dir))
+    oriented = prep.orient_by_value(e, prep.degree(e).withColumnRenamed("degree", "value")).distinct()
+    return codecs.read_packed(spark, codecs.write_binary(oriented, _new_folder(spark, "oriented"), 4))
+
+
+@_register("""with p as (select distinct o_orderstatus as a, o_custkey as b from orders),
+s as (select distinct o_orderstatus as k, o_orderpriority as c from orders), u as (select distinct o_custkey as k, o_orderpriority as c from orders)
+select a, b, s.c as c from p join s on s.k = a join u on u.k = b and u.c = s.c""")
+def typed_index_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of status and customer extended by the priorities that both have: keys of two types, values of a third column."""
+    o = graphs.table(spark, sf_dir, "orders")
+    atoms = [generic_join.Atom(generic_join.build_index(o, "o_orderstatus", "o_orderpriority"), "a"), generic_join.Atom(generic_join.build_index(o, "o_custkey", "o_orderpriority"), "b")]
+    return generic_join.extend(o.select(F.col("o_orderstatus").alias("a"), F.col("o_custkey").alias("b")).distinct(), atoms, "c")
+
+
+@_register(f"""with recursive {TRANS}, sym as materialized (select src, dst from trans union select dst, src from trans),
+reach as (select src as v, src as label from sym union select sym.dst as v, r.label from reach r join sym on sym.src = r.v where r.label < sym.dst)
+select count(*) as forest_edges from (select v, min(label) as label from reach group by v) where v <> label""")
+def cc_forest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest edges of a graph whose partitions were first reduced to forests and these merged twice."""
+    return components.forest_size(components.merged_forests(graphs.trans(spark, sf_dir)), pre_reduce=False)
+
+
+@_register(f"{_HILBERT} select src, dst, d as hilbert_key from h where i = -1")
+def hilbert_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key by the form that carries an orientation."""
+    return graphs.ps(spark, sf_dir).withColumn("hilbert_key", hilbert.hilbert_key_carried("src", "dst"))
+
+
+@_register(f"""with {PS} select src, dst, (src >> 16 << 16) | (dst >> 16) as high32, (src >> 8 & 255) << 8 | (dst >> 8 & 255) as next16,
+(src >> 4 & 15) << 4 | (dst >> 4 & 15) as next08, (src & 15) << 4 | (dst & 15) as last08, src as x, dst as y from ps""")
+def hilbert_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of bits of the prefix encoding, and the cell put together from them."""
+    coded = hilbert.with_prefixes(graphs.ps(spark, sf_dir))
+    return hilbert.without_prefixes(coded.withColumns({f"own_{c}": F.col(c) for c in hilbert.PREFIXES})).withColumnsRenamed({f"own_{c}": c for c in hilbert.PREFIXES})
+
+
+@_register(f"with {PS} select src, dst from ps")
+def hilbert_layout_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written layout scanned by its keys alone."""
+    to = _new_folder(spark, "layout")
+    hilbert.write_layout(graphs.ps(spark, sf_dir), to, 8)
+    return hilbert.with_cell(spark.read.parquet(to).select("hilbert_key"), x="src", y="dst").select("src", "dst")
+
+
+@_register("""with e as (select event_id as pos, user_id as src, event_id % 1000 as dst from events),
+t as (select v, min(p) as p from (select src as v, 2 * pos as p from e union all select dst, 2 * pos + 1 from e) group by v),
+names as (select v, row_number() over (order by p) - 1 as new from t)
+select a.new as src, b.new as dst from e join names a on a.v = e.src join names b on b.v = e.dst""")
+def hilbert_layout_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices named in the order of first appearance, then edges laid out along the curve and scanned."""
+    e = graphs.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("src"), (F.col("event_id") % 1000).alias("dst"))
+    to = _new_folder(spark, "layout-renamed")
+    hilbert.write_layout(prep.rename(e, prep.first_touch_names(e, "pos")), to, 8)
+    return hilbert.scan_layout(spark, to)

@@ -6,7 +6,7 @@ kept in many part files (paths, lists and globs are taken) or, better, in Parque
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import re
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -22,8 +23,8 @@ if TYPE_CHECKING:
 EDGES = "src long, dst long"
 
 
-def decode_packed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Little-endian int32 records ``vertex, degree, degree x target`` to two columns."""
+def _records(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Little-endian int32 records ``vertex, degree, degree x target`` as vertices, degrees and all targets."""
     words = np.frombuffer(data, "<i4")
     starts, at = [], 0
     while at < len(words):
@@ -34,7 +35,13 @@ def decode_packed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     heads = np.array(starts, np.int64)
     keep = np.ones(len(words), bool)
     keep[heads] = keep[heads + 1] = False
-    return np.repeat(words[heads], words[heads + 1]).astype(np.int64), words[keep].astype(np.int64)
+    return words[heads].astype(np.int64), words[heads + 1].astype(np.int64), words[keep].astype(np.int64)
+
+
+def decode_packed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Packed records (see :func:`_records`) to two columns."""
+    ids, degrees, targets = _records(data)
+    return np.repeat(ids, degrees), targets
 
 
 def _ids(values: np.ndarray | list) -> np.ndarray:
@@ -71,6 +78,19 @@ def read_packed(spark: SparkSession, paths: str | list[str], limit: int | None =
     return e if limit is None else e.limit(limit)
 
 
+def read_packed_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Packed adjacency files as ``key, vs``, a row a record: the lists are taken as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                ids, degrees, targets = _records(content)
+                ends = np.concatenate([[0], np.cumsum(degrees)]).astype(np.int32)
+                yield pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(targets))], names=["key", "vs"])
+
+    return _binary(spark, paths).select("content").mapInArrow(run, "key long, vs array<long>")
+
+
 def write_packed(e: DataFrame, path: str) -> None:
     """Packed adjacency of all sources, as rows ``content`` of a Parquet table: each is what one packed file would hold."""
 
@@ -138,14 +158,19 @@ def write_binary(e: DataFrame, uri: str, parts: int, split: bool = False) -> lis
     return sorted(paths)
 
 
+def decode_nodes(nodes: bytes, cumulative: bool = False, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and degrees of a node file, in either form (see :func:`decode_split`)."""
+    head = np.frombuffer(nodes, "<i4").astype(np.int64)
+    if cumulative:
+        return part + parts * np.arange(len(head), dtype=np.int64), np.diff(head, prepend=0)
+    return head[0::2], head[1::2]
+
+
 def decode_split(nodes: bytes, targets: bytes, cumulative: bool = False, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Split files to two columns. ``nodes`` holds ``vertex, degree`` pairs, or with ``cumulative`` each vertex's end offset,
     the i-th vertex being ``part + i * parts``."""
-    head, dst = np.frombuffer(nodes, "<i4").astype(np.int64), np.frombuffer(targets, "<i4").astype(np.int64)
-    if cumulative:
-        ids, degrees = part + parts * np.arange(len(head), dtype=np.int64), np.diff(head, prepend=0)
-    else:
-        ids, degrees = head[0::2], head[1::2]
+    dst = np.frombuffer(targets, "<i4").astype(np.int64)
+    ids, degrees = decode_nodes(nodes, cumulative, part, parts)
     if degrees.sum() != len(dst):
         raise ValueError(f"{degrees.sum()} edges named, {len(dst)} found")
     return np.repeat(ids, degrees), dst
@@ -163,18 +188,35 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def _places(spark: SparkSession, prefixes: list[str]) -> Callable[[str], int]:
+    """The place in ``prefixes`` of a prefix as Spark names it."""
+    same = lambda p: re.sub("^file:/+", "file:/", p)  # noqa: E731  (written with one slash or three)
+    found = {same(_qualified(spark, p)): i for i, p in enumerate(prefixes)}
+    return lambda prefix: found[same(prefix)]
+
+
+def read_split_degrees(spark: SparkSession, prefixes: list[str], cumulative: bool = False) -> DataFrame:
+    """``v, degree`` of a split graph (see :func:`read_split`) from its node files alone."""
+    place, parts = _places(spark, prefixes), len(prefixes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for f in frames:
+            for prefix, nodes in zip(f["prefix"], f["content"], strict=True):
+                ids, degrees = decode_nodes(nodes, cumulative, place(prefix), parts)
+                yield pd.DataFrame({"v": ids, "degree": degrees})
+
+    files = _binary(spark, [f"{p}-nodes" for p in prefixes])
+    return files.select(F.regexp_replace("path", "-nodes$", "").alias("prefix"), "content").mapInPandas(run, "v long, degree long")
+
+
 def read_split(spark: SparkSession, prefixes: list[str], cumulative: bool = False) -> DataFrame:
     """Graphs kept as ``PREFIX-nodes`` and ``PREFIX-edges``; with ``cumulative`` the prefixes are parts 0, 1, ... of the graph."""
-    order = {_qualified(spark, p): i for i, p in enumerate(prefixes)}
     files = _binary(spark, [f"{p}-{kind}" for p in prefixes for kind in ("nodes", "edges")])
     pairs = files.select(F.regexp_replace("path", "-(nodes|edges)$", "").alias("prefix"), F.regexp_extract("path", "-(nodes|edges)$", 1).alias("kind"), "content")
     both = pairs.groupBy("prefix").agg(F.max(F.when(F.col("kind") == "nodes", F.col("content"))).alias("nodes"), F.max(F.when(F.col("kind") == "edges", F.col("content"))).alias("edges"))
-    parts = len(prefixes)
-    same = lambda p: re.sub("^file:/+", "file:/", p)  # noqa: E731  (written with one slash or three)
-    found = {same(p): i for p, i in order.items()}
-
-    def place(prefix: str) -> int:
-        return found[same(prefix)]
+    place, parts = _places(spark, prefixes), len(prefixes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
@@ -219,12 +261,46 @@ def write_text(e: DataFrame, path: str) -> None:
     e.select(F.concat_ws("\t", "src", "dst").alias("value")).write.text(path)
 
 
-def read_neighbour_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Line 1: ``nodes edges``; line i after it: the neighbours of vertex i, blank for none. Line numbers need the file's
-    order, so a file is read as one row."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\n")).alias("src", "line")).filter("src > 0")
-    return rows.select(F.col("src").cast("long").alias("src"), F.explode(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).alias("dst")).select("src", F.col("dst").cast("long").alias("dst"))
+def convert_text(spark: SparkSession, paths: str | list[str], uri: str, parts: int, split: bool = False, skip_first: bool = False) -> list[str]:
+    """Text edges (see :func:`read_text`) as binary adjacency files (see :func:`write_binary`), a source's edges together
+    wherever they stand in the text. Returns the files' paths."""
+    return write_binary(read_text(spark, paths, skip_first=skip_first), uri, parts, split)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines ``value, path, start`` with ``k``, their number in the file's block; a task reads a block's lines together, in
+    order."""
+    last, seen = None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        path, start = batch.column(1).dictionary_encode(), batch.column(2).to_numpy()
+        code = path.indices.to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (start[1:] != start[:-1])]))
+        k = np.arange(len(batch)) - np.repeat(heads, np.diff(np.append(heads, len(batch))))
+        block = lambda i: (path.dictionary[int(code[i])].as_py(), int(start[i]))  # noqa: B023, E731
+        if block(0) == last:
+            k[: heads[1] if len(heads) > 1 else len(batch)] += seen
+        last, seen = block(-1), int(k[-1]) + 1
+        yield pa.record_batch([*batch.columns, pa.array(k)], names=["value", "path", "start", "k"])
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``value, path, line``: lines with their number in the file, from 0, by counts of each of its blocks; so a file is read
+    by as many tasks as it has blocks."""
+    read = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    lines = read.mapInArrow(_numbered, "value string, path string, start long, k long")
+    blocks = lines.groupBy("path", "start").agg((F.max("k") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("path", "start", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(starts, ["path", "start"]).select("value", "path", (F.col("before") + F.col("k")).alias("line"))
+
+
+def read_neighbour_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Line 1: ``nodes edges``; line i after it: the neighbours of vertex i, blank for none."""
+    rows = numbered_lines(spark, paths).filter("line > 0")
+    words = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    return rows.select(F.col("line").alias("src"), F.explode(words).alias("dst")).select("src", F.col("dst").cast("long").alias("dst"))
 
 
 def write_partitioned(e: DataFrame, path: str, part: Column) -> None:

@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 
-def run_epochs(spark: SparkSession, source: DataFrame, deliver: Callable[[DataFrame, int], None]) -> None:
-    """Feed all that ``source`` (a streaming frame) has now to ``deliver``, one call a completed micro-batch."""
+def run_epochs(spark: SparkSession, source: DataFrame, deliver: Callable[[DataFrame, int], None], progress: Callable[[int], None] | None = None) -> None:
+    """Feed all that ``source`` (a streaming frame) has now to ``deliver``, one call a completed micro-batch; ``progress`` is
+    told of each epoch when it has been delivered."""
     at = f"{shared_dir(spark)}/epochs-{uuid.uuid4().hex}"
-    query = source.writeStream.foreachBatch(deliver).option("checkpointLocation", at).trigger(availableNow=True).start()
+
+    def run(df: DataFrame, epoch: int) -> None:
+        deliver(df, epoch)
+        if progress is not None:
+            progress(epoch)
+
+    query = source.writeStream.foreachBatch(run).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from relgraph.functions import hilbert
 from relgraph.operators import components, generic_join, motifs, pagerank, prep
-from relgraph.operators.iterate import iterate
+from relgraph.operators.iterate import iterate, until
 from relgraph.operators.mis import maximal_independent_set
 from relgraph.plans import catalog
 from relgraph.sources import codecs, graphs
@@ -263,6 +263,60 @@ def test_placements_and_conservation(spark):
     assert rows(prep.rename(e, prep.random_names(e)), "src", "dst") == rows(e, "src", "dst")
 
 
+def test_numbered_lines(spark, tmp_path):
+    """Numbers do not depend on where a file is split."""
+    (tmp_path / "n.txt").write_text("5 6\n2 3\n\n1\n4 5 \n3\n")
+    (tmp_path / "m.txt").write_text("1 1\n2\n")
+    want = [(1, 2), (1, 2), (1, 3), (3, 1), (4, 4), (4, 5), (5, 3)]
+    for size in ("128m", "1", "5"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert rows(codecs.read_neighbour_lists(spark, [str(tmp_path / "n.txt"), str(tmp_path / "m.txt")]), "src", "dst") == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    many = "".join(f"line {i}\n" for i in range(25000))
+    (tmp_path / "long.txt").write_text(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+    try:
+        got = codecs.numbered_lines(spark, str(tmp_path / "long.txt"))
+        assert got.filter(F.concat(F.lit("line "), F.col("line")) == F.col("value")).count() == 25000 == got.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_progress_is_told(spark):
+    told = []
+    iterate(spark.range(3), lambda d: d.select((F.col("id") + 1).alias("id")), 5, every=2, progress=told.append)
+    assert told == [2, 4]
+    told = []
+    least = lambda d: d.select(F.least(F.col("id") + 1, F.lit(4)).cast("long").alias("id"))
+    until(spark.range(4), least, lambda d: d.agg(F.sum("id")).first()[0], progress=lambda k, v: told.append((k, v)))
+    assert told == [(1, 10), (2, 13), (3, 15), (4, 16), (5, 16)]
+
+
+@pytest.mark.parametrize("levels", [5, 32])
+def test_carried_orientation_agrees(spark, levels):
+    rng = random.Random(levels)
+    e = graphs.local_edges(spark, [(rng.randrange(1 << min(levels, 31)), rng.randrange(1 << min(levels, 31))) for _ in range(300)])
+    both = e.withColumn("a", hilbert.hilbert_key("src", "dst", levels)).withColumn("b", hilbert.hilbert_key_carried("src", "dst", levels))
+    assert both.filter("a <> b").isEmpty()
+    assert hilbert.without_prefixes(hilbert.with_prefixes(e)).filter("src <> x or dst <> y").isEmpty()
+
+
+def test_layout_is_scanned_by_either_end(spark, tmp_path):
+    pairs = [(a, b) for a in range(40) for b in range(40)]
+    hilbert.write_layout(graphs.local_edges(spark, pairs), str(tmp_path / "h"), 4)
+    assert rows(hilbert.scan_layout(spark, str(tmp_path / "h"), src=(3, 5)), "src", "dst") == [p for p in pairs if 3 <= p[0] <= 5]
+    assert rows(hilbert.scan_layout(spark, str(tmp_path / "h"), dst=(7, 7)), "src", "dst") == [p for p in pairs if p[1] == 7]
+
+
+def test_merged_forests_keep_components(spark):
+    e = graphs.local_edges(spark, [(i, i + 3) for i in range(60)] + [(i, i + 6) for i in range(57)] + [(100, 101), (100, 100)])
+    merged = components.merged_forests(e, levels=2, fan=2)
+    assert one(components.forest_size(merged, pre_reduce=False)) == one(components.forest_size(e)) == 63 - 3 + 1
+    assert components.merged_forests(e.limit(0)).isEmpty()
+
+
 def _tables(sf):
     c = duckdb.connect()
     c.sql("set TimeZone='UTC'")
