@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, passage_dedup, token_counts, toxicity
+from . import chat, decontamination, exact_dedup, hard_negatives, language_id, licenses, line_dedup, merkle, mixing, ngram_join, passage_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_chat_formatting": chat.query,
     "op10_language_id": language_id.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_license_scans": licenses.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 SQL = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_chat_formatting": chat.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_license_scans": licenses.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
