@@ -1,56 +1,105 @@
 """A worst-case-optimal multiway join, one variable at a time.
 
 A prefix of bound variables is extended by one more. Each relation that holds the new variable says how many values it
-would propose for the prefix; the one with the fewest proposes, the others intersect. In array form the relations are
-indices ``key -> sorted distinct values``, looked up by equi-joins, and the lists are intersected starting from the
-shortest. Where a key's list would be too wide for a row, the row form proposes by a join with the chosen relation's rows
-and validates by left semi-joins on (key, value). Results stay factorised, ``prefix, values[]``, until expanded.
+would propose for the prefix; the one with the fewest proposes, the others validate. Any :class:`Relation` will do that can
+count, propose and validate; :class:`Index` is the one made from a table.
+
+An index keeps each key's sorted distinct values in one row, unless they are more than ``MAX_WIDTH``: such heavy keys, of which
+there are few, keep rows ``key, value``. Prefixes whose keys are all light are extended by intersecting lists, one relation
+after the other, so that only what is left of a list travels on. Prefixes with a heavy key are extended by rows: proposals by a
+join with the chosen relation, validation by semi-joins on (key, value). Both kinds come out alike, decided a prefix.
+Results stay factorised, ``prefix, values[]``, until expanded.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import hold
+from ..session import cut, hold
 
-#: Values in one index row beyond which the row form is used: 8 MB of ids.
+#: Values in one index row beyond which a key is heavy: 8 MB of ids.
 MAX_WIDTH = 1 << 20
 
 
-@dataclass
-class Index:
-    """``key, vs, n``: each key's sorted distinct values and their number. ``rows`` are the distinct ``key, value`` pairs, and
-    ``sizes`` (``key, n``) is counted from them, so asking for the widest list builds none."""
+class Relation(Protocol):
+    """What can extend prefixes. Columns whose names begin with two underscores are the join's own."""
 
-    rows: DataFrame
-    lists: DataFrame
-    sizes: DataFrame
-    width: int | None = None
+    def count(self, prefixes: DataFrame, key: str | None, out: str) -> DataFrame:
+        """``prefixes`` with ``out``, how many values it would propose; prefixes without any may go."""
+
+    def propose(self, prefixes: DataFrame, key: str | None, new: str) -> DataFrame:
+        """A row for each prefix and value, the value as column ``new``."""
+
+    def validate(self, found: DataFrame, key: str | None, new: str) -> DataFrame:
+        """The rows whose value ``new`` it allows."""
 
-    def widest(self) -> int:
-        if self.width is None:
-            self.width = self.sizes.agg(F.max("n")).first()[0] or 0
-        return self.width
 
+@dataclass
+class Index:
+    """``lists``: ``key, vs, n``, each light key's sorted distinct values and their number. ``heavy``: the distinct ``key, value``
+    rows of the others, None if there are none."""
 
-def build_index(df: DataFrame, key: str, value: str, persist: bool = True) -> Index:
-    """An index of ``df`` on ``key``. Any orderable types do; duplicate pairs count once."""
+    lists: DataFrame
+    heavy: DataFrame | None = None
+    heavy_sizes: DataFrame | None = None
+
+    @property
+    def sizes(self) -> DataFrame:
+        """``key, n``."""
+        own = self.lists.select("key", "n")
+        return own if self.heavy is None else own.unionAll(self.heavy_sizes)
+
+    @property
+    def rows(self) -> DataFrame:
+        """The distinct ``key, value`` pairs."""
+        own = self.lists.select("key", F.explode("vs").alias("value"))
+        return own if self.heavy is None else own.unionAll(self.heavy)
+
+    def count(self, prefixes: DataFrame, key: str, out: str) -> DataFrame:
+        own = self.sizes.select(F.col("key").alias("__k"), F.col("n").alias(out))
+        return prefixes.join(own, F.col(key) == F.col("__k")).drop("__k")
+
+    def propose(self, prefixes: DataFrame, key: str, new: str) -> DataFrame:
+        own = self.lists.select(F.col("key").alias("__k"), F.col("vs").alias("__vs"))
+        found = prefixes.join(own, F.col(key) == F.col("__k")).select(*prefixes.columns, F.explode("__vs").alias(new))
+        if self.heavy is None:
+            return found
+        rows = self.heavy.select(F.col("key").alias("__k"), F.col("value").alias(new))
+        return found.unionByName(prefixes.join(rows, F.col(key) == F.col("__k")).drop("__k"))
+
+    def validate(self, found: DataFrame, key: str, new: str) -> DataFrame:
+        rows = self.rows.select(F.col("key").alias("__k"), F.col("value").alias("__v"))
+        return found.join(rows, (F.col(key) == F.col("__k")) & (F.col(new) == F.col("__v")), "left_semi")
+
+
+def build_index(df: DataFrame, key: str, value: str, persist: bool = True, unique: bool = False, max_width: int | None = None) -> Index:
+    """An index of ``df`` on ``key``. Any orderable types do; duplicate pairs count once, and with ``unique`` there are none.
+
+    Rows are counted by key first, with partial counts, so a key of more than ``max_width`` rows (at most one for so many rows
+    of the table; their names are broadcast) never has them gathered. All others need one exchange."""
+    width = MAX_WIDTH if max_width is None else max_width
     rows = df.select(F.col(key).alias("key"), F.col(value).alias("value")).filter("key is not null and value is not null")
-    pairs = hold(rows.distinct()) if persist else rows.distinct()
-    lists = pairs.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("vs")).withColumn("n", F.size("vs").cast("long"))
-    if persist:
-        lists = hold(lists)
-    return Index(pairs, lists, pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    wide = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > width).select("key"))
+    some = not wide.isEmpty()
+    light = rows.join(F.broadcast(wide), "key", "left_anti") if some else rows
+    gather = F.collect_list if unique else F.collect_set
+    lists = light.groupBy("key").agg(F.array_sort(gather("value")).alias("vs")).withColumn("n", F.size("vs").cast("long"))
+    lists = hold(lists) if persist else lists
+    if not some:
+        return Index(lists)
+    heavy = rows.join(F.broadcast(wide), "key", "left_semi")
+    heavy = cut(heavy if unique else heavy.distinct())
+    return Index(lists, heavy, cut(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
 
 
 def index_of_lists(lists: DataFrame) -> Index:
     """An index of ``key, vs`` whose lists are sorted and distinct, each key once, as part files keep them (see
     ``codecs.read_packed_lists``): nothing is grouped."""
-    lists = hold(lists.select("key", "vs", F.size("vs").cast("long").alias("n")).filter("n > 0"))
-    return Index(lists.select("key", F.explode("vs").alias("value")), lists, lists.select("key", "n"))
+    return Index(hold(lists.select("key", "vs", F.size("vs").cast("long").alias("n")).filter("n > 0")))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -58,39 +107,83 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("v")).distinct()
 
 
-def build_unkeyed(df: DataFrame, column: str) -> Index:
-    """The un-keyed index for ``Atom(index, None)``: it proposes all values of the column for every prefix, so their number is
-    one constant, and allows those only. Its rows are the values; they are never gathered into a list."""
-    values = hold(distinct_values(df, column).filter("v is not null").withColumnRenamed("v", "value"))
-    return Index(values, values.limit(0), values.agg(F.count(F.lit(1)).alias("n")))
+@dataclass
+class Unkeyed:
+    """A relation without a key: it proposes all its ``values`` (``value``) for every prefix, so their number is one constant,
+    and allows those only. They are never gathered into a list. A prefix meets all of them only where it has no relation
+    that proposes fewer."""
+
+    values: DataFrame
+
+    def count(self, prefixes: DataFrame, key: None, out: str) -> DataFrame:
+        n = self.values.count()
+        return prefixes.withColumn(out, F.lit(n).cast("long")) if n else prefixes.limit(0).withColumn(out, F.lit(0).cast("long"))
+
+    def propose(self, prefixes: DataFrame, key: None, new: str) -> DataFrame:
+        return prefixes.crossJoin(self.values.select(F.col("value").alias(new)))
+
+    def validate(self, found: DataFrame, key: None, new: str) -> DataFrame:
+        return found.join(self.values.select(F.col("value").alias("__v")), F.col(new) == F.col("__v"), "left_semi")
+
+
+def build_unkeyed(df: DataFrame, column: str) -> Unkeyed:
+    return Unkeyed(hold(distinct_values(df, column).filter("v is not null").withColumnRenamed("v", "value")))
+
+
+@dataclass
+class Between:
+    """A computed relation: from a prefix's column it allows the integers from ``low(column)`` to ``high(column)``, both
+    included. Nothing is stored or joined."""
+
+    low: object
+    high: object
+
+    def _ends(self, key: str) -> tuple[Column, Column]:
+        return self.low(F.col(key)).cast("long"), self.high(F.col(key)).cast("long")
+
+    def count(self, prefixes: DataFrame, key: str, out: str) -> DataFrame:
+        low, high = self._ends(key)
+        return prefixes.withColumn(out, F.greatest(high - low + 1, F.lit(0).cast("long"))).filter(F.col(out) > 0)
+
+    def propose(self, prefixes: DataFrame, key: str, new: str) -> DataFrame:
+        low, high = self._ends(key)
+        return prefixes.filter(low <= high).withColumn(new, F.explode(F.sequence(low, high)))
+
+    def validate(self, found: DataFrame, key: str, new: str) -> DataFrame:
+        low, high = self._ends(key)
+        return found.filter(F.col(new).between(low, high))
+
+
+@dataclass
+class Congruent:
+    """A computed relation that only narrows: values of the same remainder by ``modulus`` as a prefix's column. It has no
+    values of its own to propose, so another relation must."""
+
+    modulus: int
+
+    def count(self, prefixes: DataFrame, key: str, out: str) -> DataFrame:
+        return prefixes.withColumn(out, F.lit((1 << 63) - 1).cast("long"))
+
+    def propose(self, prefixes: DataFrame, key: str, new: str) -> DataFrame:
+        return prefixes.limit(0).withColumn(new, F.lit(None).cast("long"))
+
+    def validate(self, found: DataFrame, key: str, new: str) -> DataFrame:
+        return found.filter(F.pmod(F.col(new), F.lit(self.modulus)) == F.pmod(F.col(key), F.lit(self.modulus)))
 
 
 def index_join(probe: DataFrame, index: Index, key: str) -> DataFrame:
-    """Each probe row with the list of its key; rows whose key the index lacks go."""
+    """Each probe row with the list of its key, of light keys; rows whose key the index lacks go."""
     return probe.join(index.lists.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key")).drop("__key")
 
 
 @dataclass
 class Atom:
-    """A relation that constrains the new variable: its index, and the prefix column that is its key; None if un-keyed."""
+    """A relation that constrains the new variable, and the prefix column that is its key; None if un-keyed."""
 
-    index: Index
+    index: Relation
     key: str | None
 
 
-def _looked_up(prefixes: DataFrame, atoms: list[Atom], lists: bool) -> DataFrame:
-    out = prefixes
-    for i, atom in enumerate(atoms):
-        if atom.key is None:  # one row
-            out = out.crossJoin(F.broadcast(atom.index.sizes.select(F.col("n").alias(f"__n{i}")).filter(F.col(f"__n{i}") > 0)))
-            continue
-        own = (atom.index.lists if lists else atom.index.sizes).withColumnRenamed("key", f"__k{i}").withColumnRenamed("n", f"__n{i}")
-        if lists:
-            own = own.withColumnRenamed("vs", f"__v{i}")
-        out = out.join(own, F.col(atom.key) == F.col(f"__k{i}")).drop(f"__k{i}")
-    return out
-
-
 def cheapest(counts: list[Column]) -> Column:
     """``struct(n, rel)`` of the fewest proposals; of equal counts the first relation's."""
     return F.array_min(F.array(*[F.struct(c.alias("n"), F.lit(i).alias("rel")) for i, c in enumerate(counts)]))
@@ -98,52 +191,87 @@ def cheapest(counts: list[Column]) -> Column:
 
 def propose(prefixes: DataFrame, atoms: list[Atom]) -> DataFrame:
     """Each prefix with ``rel`` and ``n``, the relation that proposes fewest values and how many."""
-    best = _looked_up(prefixes, atoms, lists=False).withColumn("__best", cheapest([F.col(f"__n{i}") for i in range(len(atoms))]))
+    counted = prefixes
+    for i, atom in enumerate(atoms):
+        counted = atom.index.count(counted, atom.key, f"__n{i}")
+    best = counted.withColumn("__best", cheapest([F.col(f"__n{i}") for i in range(len(atoms))]))
     return best.select(*prefixes.columns, F.col("__best.rel").alias("rel"), F.col("__best.n").alias("n"))
 
 
-def _intersected(atoms: int) -> Column:
-    if atoms == 1:
-        return F.col("__v0")
-    if atoms == 2:
-        first = F.col("__n0") <= F.col("__n1")
-        return F.array_intersect(F.when(first, F.col("__v0")).otherwise(F.col("__v1")), F.when(first, F.col("__v1")).otherwise(F.col("__v0")))
-    ordered = F.array_sort(F.array(*[F.struct(F.col(f"__n{i}").alias("n"), F.lit(i).alias("rel"), F.col(f"__v{i}").alias("vs")) for i in range(atoms)]))
-    return F.aggregate(F.slice(ordered, 2, atoms - 1), F.element_at(ordered, 1)["vs"], lambda acc, x: F.array_intersect(acc, x["vs"]))
+def intersect_lists(rows: DataFrame, held: str, index: Index, key: str) -> DataFrame:
+    """``rows`` whose list ``held`` is narrowed to the values that ``index`` has for ``key``; rows left without any go."""
+    own = index.lists.select(F.col("key").alias("__k"), F.col("vs").alias("__vs"), F.col("n").alias("__n"))
+    joined = rows.join(own, F.col(key) == F.col("__k"))
+    shorter = F.size(held) <= F.col("__n")  # the shorter list goes first, as its order stays
+    both = F.array_intersect(F.when(shorter, F.col(held)).otherwise(F.col("__vs")), F.when(shorter, F.col("__vs")).otherwise(F.col(held)))
+    return joined.withColumn(held, both).filter(F.size(held) > 0).drop("__k", "__vs", "__n")
+
+
+def _extend_lists(prefixes: DataFrame, atoms: list[Atom], new: str) -> DataFrame:
+    """By lists: prefixes with a key that has none, heavy ones too, go."""
+    first = atoms[0].index.lists.select(F.col("key").alias("__k"), F.col("vs").alias(new))
+    found = prefixes.join(first, F.col(atoms[0].key) == F.col("__k")).drop("__k")
+    for atom in atoms[1:]:
+        found = intersect_lists(found, new, atom.index, atom.key)
+    return found
 
 
 def _extend_rows(prefixes: DataFrame, atoms: list[Atom], new: str) -> DataFrame:
-    chosen = propose(prefixes, atoms).drop("n")
+    """By rows, for any relations: what each prefix's cheapest one proposes and all others allow. The choice is made once and
+    cut from its lineage, so a relation's branch holds its own join only."""
+    chosen = cut(propose(prefixes, atoms).drop("n"))
     out = None
     for i, atom in enumerate(atoms):
-        mine = chosen.filter(F.col("rel") == i).drop("rel")
-        if atom.key is None:
-            found = mine.crossJoin(atom.index.rows.select(F.col("value").alias(new)))
-        else:
-            rows = atom.index.rows.select(F.col("key").alias("__key"), F.col("value").alias(new))
-            found = mine.join(rows, F.col(atom.key) == F.col("__key")).drop("__key")
-        for j, other in enumerate(atoms):
-            if j != i and other.key is None:
-                found = found.join(other.index.rows.select(F.col("value").alias("__value")), F.col(new) == F.col("__value"), "left_semi")
-            elif j != i:
-                has = other.index.rows.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
-                found = found.join(has, (F.col(other.key) == F.col("__key")) & (F.col(new) == F.col("__value")), "left_semi")
+        found = atom.index.propose(chosen.filter(F.col("rel") == i), atom.key, new)
         out = found if out is None else out.unionByName(found)
-    return out
+    for i, atom in enumerate(atoms):
+        if len(atoms) > 1:
+            out = atom.index.validate(out, atom.key, new)
+    return out.drop("rel")
+
+
+def _with_heavy_key(prefixes: DataFrame, atoms: list[Atom]) -> DataFrame:
+    """The prefixes of which a key is heavy; such keys are few."""
+    flagged, flags = prefixes, []
+    for i, atom in enumerate(atoms):
+        if atom.index.heavy is not None:
+            keys = atom.index.heavy_sizes.select(F.col("key").alias(f"__h{i}"))
+            flagged = flagged.join(F.broadcast(keys), F.col(atom.key) == F.col(f"__h{i}"), "left")
+            flags.append(f"__h{i}")
+    return flagged.filter(F.coalesce(*flags).isNotNull() if len({a.index.heavy_sizes.schema["key"].dataType for a in atoms if a.index.heavy is not None}) == 1 else F.greatest(*[F.col(f).isNotNull() for f in flags], F.lit(False))).drop(*flags)
 
 
-def extend(prefixes: DataFrame, atoms: list[Atom], new: str, expand: bool = True, form: str = "auto", max_width: int = MAX_WIDTH) -> DataFrame:
+def extend(prefixes: DataFrame, atoms: list[Atom], new: str, expand: bool = True, form: str = "auto") -> DataFrame:
     """``prefixes`` with one more variable ``new`` that every atom allows. ``expand=False`` leaves it factorised: an array
-    column ``new``, never empty. ``form``: ``arrays``, ``rows``, or by the widest index row; with an un-keyed atom ``rows``."""
-    if any(a.key is None for a in atoms):
-        form = "rows"
-    if form == "auto":
-        form = "arrays" if all(a.index.widest() <= max_width for a in atoms) else "rows"
-    if form == "rows":
-        out = _extend_rows(prefixes, atoms, new)
-        return out if expand else out.groupBy(*prefixes.columns).agg(F.collect_list(new).alias(new))
-    out = _looked_up(prefixes, atoms, lists=True).select(*prefixes.columns, _intersected(len(atoms)).alias(new)).filter(F.size(new) > 0)
-    return expand_values(out, new) if expand else out
+    column ``new``, never empty, a prefix in one row unless one of its keys is heavy. ``form``: ``rows`` for all prefixes, or
+    by lists where every key of a prefix is light (``auto``); relations that aren't indices are used by rows."""
+    by_rows = form == "rows" or not all(isinstance(a.index, Index) for a in atoms)
+    heavy = not by_rows and any(a.index.heavy is not None for a in atoms)
+    if heavy:
+        prefixes = cut(prefixes)  # read by both branches
+    if by_rows or heavy:
+        wide = _extend_rows(prefixes if by_rows else _with_heavy_key(prefixes, atoms), atoms, new)
+        if not expand:
+            wide = _chunked(wide, prefixes.columns, new)
+        if by_rows:
+            return wide
+    found = _extend_lists(prefixes, atoms, new)
+    found = expand_values(found, new) if expand else found.select(*prefixes.columns, new)
+    return found.unionByName(wide) if heavy else found
+
+
+def _chunked(rows: DataFrame, columns: list[str], new: str) -> DataFrame:
+    """Values as lists of bounded width: those of a prefix by remainders of a hash, as many as keep lists under ``MAX_WIDTH``."""
+    sized = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    if sized.filter(F.col("__n") > MAX_WIDTH).isEmpty():
+        return rows.groupBy(*columns).agg(F.collect_list(new).alias(new))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+    counts = sized.select(*[F.col(c).alias(f"__{c}") for c in columns], F.ceil(F.col("__n") * 2 / MAX_WIDTH).alias("__parts"))
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    dealt = rows.join(counts, condition).withColumn("__part", F.pmod(F.xxhash64(new), F.col("__parts")))
+    return dealt.groupBy(*columns, "__part").agg(F.collect_list(new).alias(new)).drop("__part")
 
 
 def expand_values(df: DataFrame, column: str) -> DataFrame:

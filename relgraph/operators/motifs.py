@@ -1,12 +1,13 @@
-"""Subgraph queries by the generic join, over a set of edges (see ``prep.normalize``). ``form`` is that of ``generic_join.extend``:
-by default lists are intersected unless one would be too wide for a row."""
+"""Subgraph queries by the generic join, over a set of edges (see ``prep.normalize``): each edge once. ``form`` is that of
+``generic_join.extend``: by default lists are intersected for all prefixes without a key whose list is too wide for a row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .generic_join import Atom, Index, build_index, extend
+from ..session import hold
+from .generic_join import Atom, Index, build_index, expand_values, extend, intersect_lists
 
 NAMES = "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,7 +18,7 @@ def _pairs(e: DataFrame) -> DataFrame:
 
 def triangles(e: DataFrame, index: Index | None = None, expand: bool = False, form: str = "auto") -> DataFrame:
     """``a, b, c``: edges (a, b) with c among the successors of both; factorised unless ``expand``."""
-    index = index or build_index(e, "src", "dst")
+    index = index or build_index(e, "src", "dst", unique=True)
     return extend(_pairs(e), [Atom(index, "a"), Atom(index, "b")], "c", expand=expand, form=form)
 
 
@@ -29,17 +30,36 @@ def triangle_count(e: DataFrame, form: str = "auto") -> DataFrame:
 def rectangles(e: DataFrame, expand: bool = False, form: str = "auto") -> DataFrame:
     """``a, b, c, d``: b and c distinct successors of a, d a common successor of both other than a. On edges with the smaller
     id first these are the 4-cycles whose largest vertex is opposite their smallest, each twice; on a symmetric graph every
-    4-cycle eight times."""
-    index = build_index(e, "src", "dst")
+    4-cycle eight times. For their number alone see :func:`rectangle_count`."""
+    index = build_index(e, "src", "dst", unique=True)
     wedges = extend(_pairs(e), [Atom(index, "a")], "c", form=form).filter("b <> c")
     found = extend(wedges, [Atom(index, "b"), Atom(index, "c")], "d", expand=False, form=form)
     found = found.withColumn("d", F.array_remove(found["d"], F.col("a"))).filter(F.size("d") > 0)
     return found.select("a", "b", "c", F.explode("d").alias("d")) if expand else found
 
 
+#: log2 of the targets that paths of one source are counted for in one group.
+PATH_BLOCK = 12
+
+
+def two_paths(e: DataFrame) -> DataFrame:
+    """``a, d, paths``: how many b there are with edges (a, b) and (b, d), d other than a. Lists of successors travel by blocks
+    of their values, to a group for each (source, block), where they are counted: no other exchange, and a hub's paths are
+    spread over its blocks."""
+    blocks = hold(e.groupBy(F.col("src").alias("b"), F.shiftright("dst", PATH_BLOCK).alias("block")).agg(F.collect_list("dst").alias("ds")))
+    met = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(blocks, "b").select("a", "block", "ds").repartition("a", "block")
+    return met.select("a", "block", F.explode("ds").alias("d")).filter("d <> a").groupBy("a", "block", "d").agg(F.count(F.lit(1)).alias("paths")).drop("block")
+
+
+def rectangle_count(e: DataFrame, out: str = "rectangles") -> DataFrame:
+    """The number of :func:`rectangles`, none of them made: a and d with p paths of two edges between them are opposite in
+    p * (p - 1) of them."""
+    return two_paths(e).agg(F.coalesce(F.sum(F.col("paths") * (F.col("paths") - 1)), F.lit(0)).alias(out))
+
+
 def flags(e: DataFrame, expand: bool = False, form: str = "auto") -> DataFrame:
     """``a, b, c, d``: a triangle and one more common successor d of b and c, d other than a."""
-    index = build_index(e, "src", "dst")
+    index = build_index(e, "src", "dst", unique=True)
     found = extend(triangles(e, index, expand=True, form=form), [Atom(index, "b"), Atom(index, "c")], "d", expand=False, form=form)
     found = found.withColumn("d", F.array_remove(found["d"], F.col("a"))).filter(F.size("d") > 0)
     return found.select("a", "b", "c", F.explode("d").alias("d")) if expand else found
@@ -52,10 +72,20 @@ def next_order_cliques(cliques: DataFrame, index: Index, expand: bool = True, fo
 
 
 def cliques(e: DataFrame, k: int, expand: bool = True, form: str = "auto") -> DataFrame:
-    index, found = build_index(e, "src", "dst"), _pairs(e)
-    for size in range(2, k):
-        found = next_order_cliques(found, index, expand or size + 1 < k, form)
-    return found
+    """Cliques of k vertices. A clique of m has the common successors of its members as a list; a new member narrows the list
+    of the clique it came from by its own, so each size takes one join. Where some key is heavy, or by ``form="rows"``, each
+    size is an extension by all members instead."""
+    index, found = build_index(e, "src", "dst", unique=True), _pairs(e)
+    if form == "rows" or index.heavy is not None or k < 3:
+        for size in range(2, k):
+            found = next_order_cliques(found, index, expand or size + 1 < k, form)
+        return found
+    found = triangles(e, index)
+    for size in range(3, k):
+        last, new = NAMES[size - 1], NAMES[size]
+        grown = found.select(*NAMES[: size - 1], F.col(last).alias(new), F.explode(last).alias(last))
+        found = intersect_lists(grown, new, index, last).select(*NAMES[:size], new)
+    return expand_values(found, NAMES[k - 1]) if expand else found
 
 
 def factor_count(found: DataFrame, column: str, out: str) -> DataFrame:

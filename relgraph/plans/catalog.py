@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hilbert
-from ..operators import components, generic_join, motifs, pagerank, prep
+from ..operators import bitmaps, components, generic_join, motifs, pagerank, prep
 from ..operators.mis import maximal_independent_set
 from ..session import hold, shared_dir
 from ..sources import codecs, graphs
@@ -270,12 +270,12 @@ _RECT = "select count(*) as rectangles from {0} x join {0} y on y.src = x.src an
 
 @_register(f"with {COPART} {_RECT.format('copart')}")
 def rectangles_oriented_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.factor_count(motifs.rectangles(hold(graphs.copart(spark, sf_dir))), "d", "rectangles")
+    return motifs.rectangle_count(hold(graphs.copart(spark, sf_dir)))
 
 
 @_register(f"with {COPART_S}, {SYM_S} {_RECT.format('sym')}")
 def rectangles_symmetric_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.factor_count(motifs.rectangles(hold(prep.symmetrize(graphs.copart_s(spark, sf_dir)))), "d", "rectangles")
+    return motifs.rectangle_count(hold(prep.symmetrize(graphs.copart_s(spark, sf_dir))))
 
 
 @_register(f"with {TRANS}, {NORM}, t as ({_TRI.format('norm')}) select count(*) as flags from t join norm p on p.src = t.b join norm q on q.src = t.c and q.dst = p.dst where p.dst <> t.a")
@@ -283,29 +283,39 @@ def flags_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.factor_count(motifs.flags(hold(prep.normalize(graphs.trans(spark, sf_dir)))), "d", "flags")
 
 
-def _clique_sql(graph: str, k: int, out: str) -> str:
-    names = motifs.NAMES[:k]
-    joins = " ".join(
-        f"join {graph} e{j}_{n} on " + " and ".join(f"e{j}_{n}.src = {f'e0_{names[j]}.dst' if j else 'e0_b.src'} and e{j}_{n}.dst = e0_{n}.dst" if j else f"e0_{n}.src = e0_b.src" for _ in (0,))
-        for i, n in enumerate(names) if i >= 2 for j in range(i)
-    )
-    return f"select {out} from {graph} e0_b {joins}"
+def _clique_ctes(graph: str, k: int) -> str:
+    """Cliques of 3 to k vertices as ``k3`` ... in SQL, each from the one before by equi-joins."""
+    out = [f"k3 as materialized ({_TRI.format(graph)})"]
+    for size in range(4, k + 1):
+        members, new = motifs.NAMES[: size - 1], motifs.NAMES[size - 1]
+        last = f"join {graph} n on n.src = t.{members[-1]} "
+        out.append(f"k{size} as materialized (select t.*, n.dst as {new} from k{size - 1} t {last}" + " ".join(f"join {graph} e{m} on e{m}.src = t.{m} and e{m}.dst = n.dst" for m in members[:-1]) + ")")
+    return ", ".join(out)
 
 
-_FOUR = "e0_b.src as a, e0_b.dst as b, e0_c.dst as c, e0_d.dst as d"
-
-
-@_register(f"with {COPART_S} {_clique_sql('copart_s', 4, _FOUR)}")
+@_register(f"with {COPART_S}, {_clique_ctes('copart_s', 4)} select a, b, c, d from k4")
 def clique4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.cliques(hold(graphs.copart_s(spark, sf_dir)), 4)
 
 
 def _clique_count(k: int, graph, ctes: str, table: str, name: str | None = None) -> None:
+    # by lists in SQL too: joins of pairs take DuckDB minutes on the denser graphs
+    sql = f"with {ctes}, adj as materialized (select src, list(dst) as ds from {table} group by src), l3 as materialized (select list_intersect(x.ds, y.ds) as ds from {table} e join adj x on x.src = e.src join adj y on y.src = e.dst)"
+    for size in range(4, k + 1):
+        sql += f", l{size} as materialized (select list_intersect(t.ds, y.ds) as ds from (select unnest(ds) as v, ds from l{size - 1}) t join adj y on y.src = t.v)"
+    sql += f" select {_sum('len(ds)')} as cliques from l{k}"
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = motifs.cliques(hold(prep.normalize(graph(spark, sf_dir))), k, expand=False)
         return motifs.factor_count(found, motifs.NAMES[k - 1], "cliques")
 
-    _register(f"with {ctes} {_clique_sql(table, k, 'count(*) as cliques')}", name or f"clique{k}_count")(query)
+    def by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return bitmaps.clique_count(hold(prep.normalize(graph(spark, sf_dir))), k)
+
+    name = name or f"clique{k}_count"
+    _register(sql, name)(query)
+    if table != "copart_r":
+        _register(sql, f"{name}_bitmaps")(by_bits)
 
 
 _clique_count(4, graphs.trans, f"{TRANS}, {NORM}", "norm")
@@ -349,15 +359,25 @@ def index_join_lookup_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"with {COPART}, {SYM} {_RECT.format('sym')}")
 def rectangles_symmetric_count_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.factor_count(motifs.rectangles(hold(prep.symmetrize(graphs.copart(spark, sf_dir)))), "d", "rectangles")
+    return motifs.rectangle_count(hold(prep.symmetrize(graphs.copart(spark, sf_dir))))
 
 
-@_register(f"with {COPART} {_clique_sql('copart', 4, _FOUR)}")
+@_register(f"with {COPART}, {_clique_ctes('copart', 4)} select a, b, c, d from k4")
 def clique4_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.cliques(hold(graphs.copart(spark, sf_dir)), 4)
 
 
-for _k in (5, 6):  # on the whole event graph: on copart DuckDB takes too long at sf0.001 already
+@_register(ORACLES["clique4_copart"])
+def clique4_copart_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmaps.cliques(hold(graphs.copart(spark, sf_dir)), 4)
+
+
+@_register(ORACLES["triangle_count"])
+def triangle_count_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmaps.clique_count(hold(graphs.copart(spark, sf_dir)), 3, "triangles")
+
+
+for _k in (5, 6):
     _clique_count(_k, graphs.trans, f"{TRANS}, {NORM}", "norm", f"clique{_k}_count_trans")
 
 

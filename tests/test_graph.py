@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph.functions import hilbert
-from relgraph.operators import components, generic_join, motifs, pagerank, prep
+from relgraph.operators import bitmaps, components, generic_join, motifs, pagerank, prep
 from relgraph.operators.iterate import iterate, until
 from relgraph.operators.mis import maximal_independent_set
 from relgraph.plans import catalog
@@ -44,24 +44,79 @@ def test_motif_goldens(spark, pairs, triangles, rect, rect_sym, flags, cliques,
 def test_generic_join_forms_agree(spark):
     rng = random.Random(3)
     e = prep.normalize(graphs.local_edges(spark, [(rng.randrange(40), rng.randrange(40)) for _ in range(300)]))
-    index = generic_join.build_index(e, "src", "dst")
     pre = e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    atoms = [generic_join.Atom(index, "a"), generic_join.Atom(index, "b")]
-    forms = [rows(generic_join.extend(pre, atoms, "c", form=f, max_width=w), "a", "b", "c") for f, w in (("arrays", 1), ("rows", 1), ("auto", 1), ("auto", 1 << 20))]
-    assert forms[0] == forms[1] == forms[2] == forms[3]
+    found = []
+    for form, width in (("auto", 1 << 20), ("rows", 1 << 20), ("auto", 0), ("auto", 6)):
+        index = generic_join.build_index(e, "src", "dst", max_width=width)
+        found.append(rows(generic_join.extend(pre, [generic_join.Atom(index, "a"), generic_join.Atom(index, "b")], "c", form=form), "a", "b", "c"))
+        assert (index.heavy is None) == (width > 40) and index.lists.filter(F.col("n") > width).isEmpty() and rows(index.sizes, "key", "n") == rows(e.groupBy("src").count(), "src", "count")
+    assert found[0] == found[1] == found[2] == found[3]
     have = set(rows(e, "src", "dst"))
-    assert rows(motifs.cliques(e, 4), *"abcd") == [c for c in itertools.combinations(range(40), 4) if all(p in have for p in itertools.combinations(c, 2))]
+    want = [c for c in itertools.combinations(range(40), 4) if all(p in have for p in itertools.combinations(c, 2))]
+    assert rows(motifs.cliques(e, 4), *"abcd") == rows(motifs.cliques(e, 4, form="rows"), *"abcd") == rows(bitmaps.cliques(e, 4), *"abcd") == want
 
 
-def test_hub_wider_than_a_row(spark, monkeypatch):
-    """Where a list is too wide for a row no motif builds it, and all come out the same."""
+def test_hub_wider_than_a_row(spark, monkeypatch, width=50):
+    """Keys wider than a row are extended by rows and all others by lists, and all come out the same."""
     e = prep.normalize(graphs.local_edges(spark, [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(1, 59)] + [(k, k + 2) for k in range(1, 50)])).cache()
-    found = lambda: [rows(motifs.triangles(e, expand=True), *"abc"), rows(motifs.rectangles(e, expand=True), *"abcd"), rows(motifs.flags(e, expand=True), *"abcd"), rows(motifs.cliques(e, 4), *"abcd")]
+    found = lambda: [rows(motifs.triangles(e, expand=True), *"abc"), rows(motifs.rectangles(e, expand=True), *"abcd"), rows(motifs.flags(e, expand=True), *"abcd"), rows(motifs.cliques(e, 4), *"abcd"), one(motifs.triangle_count(e))]
     want = found()
-    monkeypatch.setattr(generic_join.extend, "__defaults__", (True, "auto", 50))
-    built = []
-    monkeypatch.setattr(generic_join, "_intersected", lambda n: built.append(n))
-    assert found() == want and not built and all(want)
+    monkeypatch.setattr(generic_join, "MAX_WIDTH", width)
+    got = generic_join.build_index(e, "src", "dst")
+    assert got.lists.filter(F.col("n") > width).isEmpty() and got.heavy_sizes.count() == 1
+    assert found() == want and all(want)
+    spark.catalog.clearCache()
+
+
+def test_heavy_plans_are_linear(spark, monkeypatch):
+    """A hub among the keys, by rows and lists: a further level adds to the plan what the one before did."""
+    e = prep.normalize(graphs.local_edges(spark, [(0, k) for k in range(1, 30)] + list(itertools.combinations(range(1, 8), 2)))).cache()
+    want = list(itertools.combinations(range(8), 5))
+    monkeypatch.setattr(generic_join, "MAX_WIDTH", 20)
+    lines = []
+    for k in (3, 4, 5):
+        found = motifs.cliques(e, k)
+        lines.append(len(found._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert rows(found, *"abcde") == want and lines[2] - lines[1] < 1.5 * (lines[1] - lines[0])
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("top", [40, 3000])
+def test_bitmaps(spark, top):
+    """One block, and many; negative values, duplicates and nulls; the same as by lists."""
+    rng = random.Random(top)
+    pairs = [(rng.randrange(40), rng.randrange(40) * (top // 40) - 7) for _ in range(400)]
+    index = bitmaps.build_bitmaps(spark.createDataFrame([*pairs, pairs[0], (1, None), (None, 1)], "k long, v long"), "k", "v")
+    assert rows(bitmaps.expand_bits(index, "v"), "key", "v") == sorted(set(pairs))
+    assert one(index.agg(F.sum(bitmaps.counted()))) == len(set(pairs))
+    e = prep.normalize(graphs.local_edges(spark, [tuple(rng.choices(range(0, top, top // 40), k=2)) for _ in range(600)])).cache()
+    for k in (3, 4, 5):
+        assert one(bitmaps.clique_count(e, k)) == motifs.cliques(e, k).count() > 0
+    assert rows(bitmaps.cliques(e, 5), *"abcde") == rows(motifs.cliques(e, 5), *"abcde")
+    assert one(bitmaps.clique_count(e.limit(0), 4)) == 0
+    spark.catalog.clearCache()
+
+
+def test_computed_relations(spark):
+    """A range and a congruence beside an index: whichever proposes, the same values come out."""
+    e = graphs.local_edges(spark, [(a, b) for a in range(6) for b in range(0, 60, 1 + a)])
+    pre = e.filter("dst % 7 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    index = generic_join.build_index(e, "src", "dst")
+    have = rows(e, "src", "dst")
+    for width in (1, 40):
+        near = generic_join.Between(lambda b, w=width: b - w, lambda b, w=width: b + w)
+        atoms = [generic_join.Atom(index, "a"), generic_join.Atom(near, "b"), generic_join.Atom(generic_join.Congruent(3), "b")]
+        want = sorted((a, b, c) for a, b in have if b % 7 == 0 for x, c in have if x == a and abs(c - b) <= width and (c - b) % 3 == 0)
+        assert rows(generic_join.extend(pre, atoms, "c"), "a", "b", "c") == want == rows(generic_join.extend(pre, atoms[::-1], "c"), "a", "b", "c")
+    assert {r.rel for r in generic_join.propose(pre, atoms).collect()} == {0} and {r.rel for r in generic_join.propose(pre, [atoms[0], generic_join.Atom(generic_join.Between(lambda b: b, lambda b: b + 1), "b")]).collect()} == {1}
+
+
+def test_rectangle_count(spark):
+    """Counted by paths of two edges: as many as are listed, on oriented, directed and symmetric edges."""
+    rng = random.Random(9)
+    e = graphs.local_edges(spark, sorted({p for _ in range(250) if (p := (rng.randrange(25) * 700, rng.randrange(25) * 700))[0] != p[1]})).cache()
+    for graph in (e, prep.normalize(e), prep.symmetrize(e)):
+        assert one(motifs.rectangle_count(graph)) == motifs.rectangles(graph, expand=True).count() > 0
     spark.catalog.clearCache()
 
 
