@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read
+from .session import document_key, read
 from .words import U, fold, mix, slices, split_words
 
 MAX_EDIT = 0.2
@@ -277,7 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
+    key = document_key(id_col, text_col).alias("key")
     bad = leaks(docs.select(key, F.col(text_col).alias("text")), benchmark, max_edit, "key", "text").select(F.col("doc_id").alias("key")).distinct()
     # rows travel as one struct, so that no column of theirs can clash with the key
     return docs.select(F.struct("*").alias("row"), key).join(bad, "key", "left_anti").select("row.*")

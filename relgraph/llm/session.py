@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir  # noqa: F401
@@ -33,6 +33,18 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
     return dealt.join(copies, [key, "__salt"]).drop("__salt")
 
 
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits of a row's id and text, by which rows with one id, or without, are told apart by what they say. Null and empty
+    texts of one id are alike."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,8 +4,8 @@ Each document is encoded whole by a public byte-level BPE vocabulary and only it
 map-side into (length, documents). Sums over the histogram's suffixes then answer, for every context limit at once, the
 totals: how many documents are longer, their tokens, and the tokens left when every document is cut at the limit.
 
-Encoding is exact and cached by piece: the vocabulary's pattern splits a text into pieces, pieces are merged independently
-of each other, so a text's length is the sum over its pieces, and frequent pieces are merged once for each worker.
+Encoding is exact: the vocabulary's pattern splits a text into pieces, each piece is merged on its own, and a text's length is
+the number of tokens of all its pieces. A worker builds the encoder once.
 
 Defined results: null and empty texts have 0 tokens; very long texts are encoded whole; repeated rows count each; an empty
 table gives an empty histogram; other columns are ignored.
