@@ -14,20 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.llm import decontamination, exact_dedup, mixing, ngram_join, toxicity
-from relgraph.llm.session import ensure_checkpoint_dir, read
+from relgraph.llm.session import delete, document_key, ensure_checkpoint_dir, read
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text are not named by ``bad`` (``key``, see :func:`_keyed`). Rows travel as one struct,
     so that no column of theirs can clash with the key."""
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), document_key().alias("key"))
     return rows.join(bad.select("key"), "key", "left_anti").select("row.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The narrow input of an operator: a key of id and text in place of the id, so that rows with one id, or without, are
+    """The narrow input of an operator: a key of id and text, 128 bits, in place of the id, so that rows with one id, or without, are
     judged each by its own text."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    return docs.select(document_key().alias("doc_id"), "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = read(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``. A stage's table goes when the next one is written; the last one stays, as the result reads it."""
+    docs, base, before = read(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            docs.write.parquet(to := f"{base}/{k}-{name}")
+            docs = spark.read.parquet(to)
+            if before is not None:
+                delete(spark, before)
+            before = to
     return docs
