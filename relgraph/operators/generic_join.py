@@ -96,6 +96,24 @@ def build_index(df: DataFrame, key: str, value: str, persist: bool = True, uniqu
     return Index(lists, heavy, cut(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
 
 
+def keep_bucketed(index: Index, name: str, path: str, buckets: int) -> Index:
+    """The index with its lists written once as the table ``name`` at ``path``, bucketed and sorted by key: whatever joins it by key
+    later moves only its own rows. The sizes are a narrow table beside it. Heavy keys keep their rows."""
+    spark = index.lists.sparkSession
+    for table, rows in ((name, index.lists), (f"{name}_sizes", index.lists.select("key", "n"))):
+        rows.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{path}/{table}").saveAsTable(table)
+    return BucketedIndex(spark.table(name), index.heavy, index.heavy_sizes, spark.table(f"{name}_sizes"))
+
+
+@dataclass
+class BucketedIndex(Index):
+    widths: DataFrame | None = None
+
+    @property
+    def sizes(self) -> DataFrame:
+        return self.widths if self.heavy is None else self.widths.unionAll(self.heavy_sizes)
+
+
 def index_of_lists(lists: DataFrame) -> Index:
     """An index of ``key, vs`` whose lists are sorted and distinct, each key once, as part files keep them (see
     ``codecs.read_packed_lists``): nothing is grouped."""

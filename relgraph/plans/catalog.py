@@ -11,7 +11,7 @@ from ..functions import hilbert
 from ..operators import bitmaps, components, generic_join, motifs, pagerank, prep
 from ..operators.mis import maximal_independent_set
 from ..session import hold, shared_dir
-from ..sources import codecs, graphs
+from ..sources import codecs, graph_files, graphs
 from ..streaming import epochs
 
 QUERIES: dict = {}
@@ -367,6 +367,26 @@ def clique4_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.cliques(hold(graphs.copart(spark, sf_dir)), 4)
 
 
+@_register(f"{_WORK.replace(COPART_S, COPART).replace(DEG_S, DEG).replace(_ENDS, _WHOLE_ENDS)} select cast(max(work) as bigint) as max_work from w")
+def assess_work_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.assess_work(hold(graphs.copart(spark, sf_dir)))
+
+
+@_register(f"with {COPART} {_TRI.format('copart')}")
+def triangles_listed_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.triangles(hold(graphs.copart(spark, sf_dir)), expand=True)
+
+
+@_register(f"with {COPART}, t as ({_TRI.format('copart')}) select a, b, count(*) as n_c, cast(sum(c) as bigint) as sum_c from t group by a, b")
+def bucketed_index_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles from an index that is kept bucketed and sorted by key: only prefixes move."""
+    e = hold(graphs.copart(spark, sf_dir))
+    name = f"copart_{uuid.uuid4().hex}"
+    index = generic_join.keep_bucketed(generic_join.build_index(e, "src", "dst", unique=True), name, _new_folder(spark, "bucketed"), 8)
+    found = motifs.triangles(e, index)
+    return found.select("a", "b", F.size("c").cast("long").alias("n_c"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_c"))
+
+
 @_register(ORACLES["clique4_copart"])
 def clique4_copart_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmaps.cliques(hold(graphs.copart(spark, sf_dir)), 4)
@@ -451,6 +471,26 @@ def cc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.labels(hold(graphs.copart_s(spark, sf_dir)))
 
 
+_CC_T = f"""with recursive {TRANS}, sym as materialized (select src, dst from trans union select dst, src from trans),
+reach as (select src as v, src as label from sym union select sym.dst as v, r.label from reach r join sym on sym.src = r.v where r.label < sym.dst),
+cc as (select v, min(label) as label from reach group by v)"""
+
+
+@_register(f"{_CC_T} select v, label from cc")
+def cc_labels_trans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.labels(hold(graphs.trans(spark, sf_dir)))
+
+
+@_register(f"{_CC_T} select v, label from cc")
+def cc_propagated_trans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.propagate(hold(graphs.trans(spark, sf_dir)))
+
+
+@_register(f"{_CC_T} select label, count(*) as n from cc group by label")
+def cc_sizes_trans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.sizes(hold(graphs.trans(spark, sf_dir)))
+
+
 @_register(f"{_CC} select v, label from cc")
 def cc_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.propagate(hold(graphs.copart_s(spark, sf_dir)))
@@ -466,19 +506,27 @@ def cc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.sizes(hold(graphs.copart_s(spark, sf_dir)))
 
 
-@_register(f"""with recursive {COPART_S}, {SYM_S},
+_MIS = """with recursive {graph},
 r as (
   select 0 as it, v, 0 as state from (select distinct src as v from sym)
   union all
   select it + 1, v, state from (
-    with now as (select it, v, state from r where it < 30),
+    with now as (select it, v, state from r where it < {rounds}),
     won as (select n.v from now n where n.state = 0 and not exists (select 1 from sym join now m on m.v = sym.dst where sym.src = n.v and m.state = 0 and m.v < n.v))
     select it, v, case when state <> 0 then state when v in (select v from won) then 1 when v in (select sym.dst from sym join won on won.v = sym.src) then 2 else 0 end as state from now))
-select v from r where it = 30 and state = 1""")
+select v from r where it = {rounds} and state = 1"""
+
+
+@_register(_MIS.format(graph=f"{COPART_S}, {SYM_S}", rounds=30))
 def mis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_independent_set(graphs.copart_s(spark, sf_dir))
 
 
+@_register(_MIS.format(graph=f"{TRANS}, sym as materialized (select src, dst from trans union select dst, src from trans)", rounds=150))
+def mis_trans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_independent_set(graphs.trans(spark, sf_dir))
+
+
 # --- Hilbert order -----------------------------------------------------------------------------------------------------
 
 _HILBERT = f"""with recursive {PS},
@@ -521,12 +569,13 @@ def degrees_after_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.out_degree(laid).withColumn("side", F.lit("out")).unionAll(prep.in_degree(laid).withColumn("side", F.lit("in")))
 
 
-@_register(f"with {PS} select count(*) filter (src < 0) as unconserved from ps")
+@_register(f"with {PS}, t as (select src as v, 'out' as side from ps union all select dst, 'in' from ps), d as (select v, side, count(*) as degree from t group by v, side) select side, degree, count(*) as vertices, cast(0 as bigint) as unconserved from d group by side, degree")
 def edge_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees before and after a trip through the Hilbert layout: no vertex may differ."""
+    """The histogram of degrees of the edges decoded from a Hilbert layout, with the vertices whose degree differs from before."""
     e = hold(graphs.ps(spark, sf_dir))
-    laid = hilbert.with_cell(hilbert.hilbert_layout(e, 8)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    return prep.unconserved(e, laid).agg(F.count(F.lit(1)).alias("unconserved"))
+    laid = hold(hilbert.with_cell(hilbert.hilbert_layout(e, 8)).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    degrees = prep.out_degree(laid).withColumn("side", F.lit("out")).unionAll(prep.in_degree(laid).withColumn("side", F.lit("in")))
+    return degrees.groupBy("side", "degree").agg(F.count(F.lit(1)).alias("vertices")).withColumn("unconserved", F.lit(prep.unconserved(e, laid).count()))
 
 
 # --- sources, sinks, epochs --------------------------------------------------------------------------------------------
@@ -676,3 +725,65 @@ def hilbert_layout_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = _new_folder(spark, "layout-renamed")
     hilbert.write_layout(prep.rename(e, prep.first_touch_names(e, "pos")), to, 8)
     return hilbert.scan_layout(spark, to)
+
+
+# --- binary graphs as a data source ------------------------------------------------------------------------------------
+
+
+@_register(f"with {PS} select src, dst from ps")
+def split_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node and edge files by the data source, each read by several tasks."""
+    files = codecs.write_binary(graphs.ps(spark, sf_dir), _new_folder(spark, "split-source"), 4, split=True)
+    return graph_files.read_edges(spark, files, "split", edges=1000)
+
+
+@_register(f"with {PS} select src, count(*) as n, cast(sum(dst) as bigint) as total from ps where src >= 100 and src < 150 group by src")
+def split_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of sources: ranges of the files without any are not read."""
+    files = codecs.write_binary(graphs.ps(spark, sf_dir), _new_folder(spark, "split-filtered"), 4, split=True)
+    e = graph_files.read_edges(spark, files, "split", edges=1000, src=(100, 149))
+    return e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("total"))
+
+
+_WIDE = "select src * 977 as src, dst * 1013 as dst from ps"
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph with its ids spread out, so that it has many blocks of 2^16 by 2^16 cells."""
+    return graphs.ps(spark, sf_dir).select((F.col("src") * 977).alias("src"), (F.col("dst") * 1013).alias("dst"))
+
+
+@_register(f"with {PS} {_WIDE}")
+def hilbert_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level Hilbert files written and scanned."""
+    files = graph_files.write_hilbert(_wide(spark, sf_dir), _new_folder(spark, "hilbert-files"), 4)
+    return graph_files.read_edges(spark, files, "hilbert", edges=1000)
+
+
+@_register(f"with {PS} select * from ({_WIDE}) where src >= 65536 and dst <= 40000")
+def hilbert_files_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of a two-level layout that a range of both ends touches."""
+    files = graph_files.write_hilbert(_wide(spark, sf_dir), _new_folder(spark, "hilbert-range"), 4)
+    return graph_files.read_edges(spark, files, "hilbert", edges=500, src=(65536, (1 << 31) - 1), dst=(0, 40000))
+
+
+@_register(f"with {PS} {_WIDE}")
+def prefix_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-level prefix files written and scanned."""
+    return graph_files.read_edges(spark, graph_files.write_prefixes(_wide(spark, sf_dir), _new_folder(spark, "prefix-files"), 4), "prefix")
+
+
+@_register(f"""with {PS}, w as ({_WIDE}) select 'high32' as level, count(distinct (src >> 16, dst >> 16)) as records from w
+union all select 'next16', count(distinct (src >> 8, dst >> 8)) from w union all select 'next08', count(distinct (src >> 4, dst >> 4)) from w union all select 'last08', count(*) from w""")
+def prefix_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each level, which are the distinct prefixes of the cells' bits, in one file."""
+    return graph_files.prefix_records(spark, graph_files.write_prefixes(_wide(spark, sf_dir), _new_folder(spark, "prefix-records"), 1))
+
+
+@_register(f"with {COPART} select e.src as a, e.dst as b, y.dst as c from copart e join copart y on y.src = e.src and y.dst >= e.dst - 3 and y.dst <= e.dst + 3 and y.dst % 2 = e.dst % 2")
+def computed_relation_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges extended by a successor of a that is near b and of b's parity: an index, a range and a congruence."""
+    e = hold(graphs.copart(spark, sf_dir))
+    near, parity = generic_join.Between(lambda b: b - 3, lambda b: b + 3), generic_join.Congruent(2)
+    atoms = [generic_join.Atom(generic_join.build_index(e, "src", "dst", unique=True), "a"), generic_join.Atom(near, "b"), generic_join.Atom(parity, "b")]
+    return generic_join.extend(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), atoms, "c")
