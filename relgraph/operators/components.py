@@ -61,6 +61,17 @@ def merged_forests(e: DataFrame, levels: int = 2, fan: int = 4) -> DataFrame:
     return e
 
 
+def placed_forests(e: DataFrame, kind: str = "hhp", **grid: int) -> DataFrame:
+    """Forests of a two-dimensional placement's parts (see ``prep.placement_levels``), and level by level one forest of all parts
+    that a group unites. A part has its edges' vertices only: with n x n groups about 2 / n of all of them. The last level's
+    forests are left for the star steps to unite."""
+    from .prep import placement_levels
+
+    for part, parts in placement_levels(kind, **grid):
+        e = local_forests(e.repartition(parts, part))
+    return e
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -125,9 +125,10 @@ def first_touch_names(e: DataFrame, pos: str) -> DataFrame:
     return number(touched.select("x.v", "x.at").groupBy("v").agg(F.min("at").alias("__at")), "__at").drop("__at")
 
 
-def partition_expr(kind: str, p: int = 2, q: int = 2, threads: int = 2, groups: int = 2) -> Column:
-    """The part of an edge in four two-dimensional placements: ``sp`` (p x q parts), ``pp`` (blocks of ``threads``), ``op`` (one
-    part in every ``threads``), ``hp`` (groups x groups, then local x local)."""
+def partition_expr(kind: str, p: int = 2, q: int = 2, threads: int = 2, groups: int = 2, another: int = 2) -> Column:
+    """The part of an edge in five two-dimensional placements: ``sp`` (p x q parts), ``pp`` (blocks of ``threads``), ``op`` (one
+    part in every ``threads``), ``hp`` (groups x groups, then local x local), ``hhp`` (the same with ``another`` times the groups,
+    which :func:`placement_levels` joins again in two steps)."""
     s, t = F.col("src"), F.col("dst")
     if kind == "sp":
         return (s % p) + p * (t % q)
@@ -137,9 +138,22 @@ def partition_expr(kind: str, p: int = 2, q: int = 2, threads: int = 2, groups:
         return threads * ((s % p) + p * (t % q))
     if kind == "hp":
         return ((s % groups) + groups * (t % groups)) * threads + (F.floor(s / groups) % p) + p * (F.floor(t / groups) % q)
+    if kind == "hhp":
+        return partition_expr("hp", p, q, threads, groups * another)
     raise ValueError(f"unknown placement: {kind}")
 
 
+def placement_levels(kind: str, p: int = 2, q: int = 2, groups: int = 2, another: int = 2) -> list[tuple[Column, int]]:
+    """The placement's parts and, level by level, the groups that unite them, each with their number: an edge's group follows
+    from its part. ``hp``: parts, then groups; ``hhp``: parts, groups x another, then another; all others: parts only."""
+    grid = lambda n: ((F.col("src") % n) + n * (F.col("dst") % n), n * n)
+    if kind == "hp":
+        return [(partition_expr("hp", p, q, p * q, groups), groups * groups * p * q), grid(groups)]
+    if kind == "hhp":
+        return [(partition_expr("hhp", p, q, p * q, groups, another), (groups * another) ** 2 * p * q), grid(groups * another), grid(another)]
+    return [(partition_expr(kind, p, q), p * q)]
+
+
 def place(e: DataFrame, part: Column, parts: int) -> DataFrame:
     """Edges dealt to ``parts`` partitions by ``part`` and sorted by source within each."""
     return e.withColumn("part", part.cast("long")).repartition(parts, "part").sortWithinPartitions("part", "src", "dst")

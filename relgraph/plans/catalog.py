@@ -158,7 +158,7 @@ def _placed(kind: str, sql: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return graphs.ps(spark, sf_dir).groupBy(prep.partition_expr(kind).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
-    name = {"sp": "partition2d_counts", "pp": "partition_blocks_counts", "op": "partition_spread_counts", "hp": "partition_hier_counts"}[kind]
+    name = {"sp": "partition2d_counts", "pp": "partition_blocks_counts", "op": "partition_spread_counts", "hp": "partition_hier_counts", "hhp": "partition_hier2_counts"}[kind]
     _register(f"with {PS} select {sql} as part, count(*) as n from ps group by 1", name)(query)
 
 
@@ -166,6 +166,7 @@ _placed("sp", "(src % 2) + 2 * (dst % 2)")
 _placed("pp", "(src % 2) + 2 * (dst % 2)")
 _placed("op", "2 * ((src % 2) + 2 * (dst % 2))")
 _placed("hp", "((src % 2) + 2 * (dst % 2)) * 2 + ((src // 2) % 2) + 2 * ((dst // 2) % 2)")
+_placed("hhp", "((src % 4) + 4 * (dst % 4)) * 2 + ((src // 4) % 2) + 2 * ((dst // 4) % 2)")
 
 
 @_register(f"with {PS} select src, dst, (src % 2) + 2 * (dst % 2) as part, row_number() over (partition by (src % 2) + 2 * (dst % 2) order by src, dst) - 1 as pos from ps")
@@ -734,14 +735,14 @@ def hilbert_layout_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node and edge files by the data source, each read by several tasks."""
     files = codecs.write_binary(graphs.ps(spark, sf_dir), _new_folder(spark, "split-source"), 4, split=True)
-    return graph_files.read_edges(spark, files, "split", edges=1000)
+    return graph_files.read_edges(spark, files, "split", edges=5000)
 
 
 @_register(f"with {PS} select src, count(*) as n, cast(sum(dst) as bigint) as total from ps where src >= 100 and src < 150 group by src")
 def split_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of sources: ranges of the files without any are not read."""
     files = codecs.write_binary(graphs.ps(spark, sf_dir), _new_folder(spark, "split-filtered"), 4, split=True)
-    e = graph_files.read_edges(spark, files, "split", edges=1000, src=(100, 149))
+    e = graph_files.read_edges(spark, files, "split", edges=5000, src=(100, 149))
     return e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("total"))
 
 
@@ -757,14 +758,14 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hilbert_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level Hilbert files written and scanned."""
     files = graph_files.write_hilbert(_wide(spark, sf_dir), _new_folder(spark, "hilbert-files"), 4)
-    return graph_files.read_edges(spark, files, "hilbert", edges=1000)
+    return graph_files.read_edges(spark, files, "hilbert", edges=5000)
 
 
 @_register(f"with {PS} select * from ({_WIDE}) where src >= 65536 and dst <= 40000")
 def hilbert_files_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks of a two-level layout that a range of both ends touches."""
     files = graph_files.write_hilbert(_wide(spark, sf_dir), _new_folder(spark, "hilbert-range"), 4)
-    return graph_files.read_edges(spark, files, "hilbert", edges=500, src=(65536, (1 << 31) - 1), dst=(0, 40000))
+    return graph_files.read_edges(spark, files, "hilbert", edges=5000, src=(65536, (1 << 31) - 1), dst=(0, 40000))
 
 
 @_register(f"with {PS} {_WIDE}")
@@ -787,3 +788,21 @@ def computed_relation_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, parity = generic_join.Between(lambda b: b - 3, lambda b: b + 3), generic_join.Congruent(2)
     atoms = [generic_join.Atom(generic_join.build_index(e, "src", "dst", unique=True), "a"), generic_join.Atom(near, "b"), generic_join.Atom(parity, "b")]
     return generic_join.extend(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), atoms, "c")
+
+
+@_register(f"with {PS} select src % 3 + 3 * (dst % 2) as part, src as v, count(*) as degree, cast(sum(dst) as bigint) as total from ps group by 1, 2")
+def split_parts_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node and edge files of each part of a placement: a vertex has its degree in the part."""
+    files = graph_files.write_split_parts(graphs.ps(spark, sf_dir), _new_folder(spark, "split-parts"), F.col("src") % 3 + 3 * (F.col("dst") % 2), 4)
+    out = None
+    for part, path in files.items():
+        own = codecs.read_split_degrees(spark, [path]).join(graph_files.read_edges(spark, [path], "split").groupBy(F.col("src").alias("v")).agg(F.sum("dst").alias("total")), "v")
+        own = own.select(F.lit(part).cast("long").alias("part"), "v", "degree", "total")
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+@_register(ORACLES["cc_forest_merged"])
+def cc_forest_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest edges of a graph whose placement's parts were reduced to forests, and these united level by level."""
+    return components.forest_size(components.placed_forests(graphs.trans(spark, sf_dir), "hhp"), pre_reduce=False)

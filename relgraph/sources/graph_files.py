@@ -18,11 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import hilbert
+from .codecs import _ids
 
 EDGES = "src long, dst long"
 #: Edges that a partition of a file has, and that are held at a time.
@@ -222,6 +223,52 @@ def write_hilbert(e: DataFrame, uri: str, parts: int) -> list[str]:
     return _written(hilbert.hilbert_layout(e.select("src", "dst"), parts), uri, write, ("-upper", "-lower"))
 
 
+def write_split_parts(e: DataFrame, uri: str, part: Column, tasks: int) -> dict[int, str]:
+    """Node and edge files for each value of ``part`` (an expression over ``src`` and ``dst``): each part's own degrees beside its
+    targets, sorted by source, in one pass. Returns the parts' prefixes, as the readers take them; parts without edges have
+    none. A task writes its parts one after the other and holds a batch of edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, root = fs.FileSystem.from_uri(uri)
+        names: dict[int, str] = {}
+        streams: dict = {}
+        now, degree = (None, None), 0
+
+        def close() -> None:
+            if streams:
+                streams["-nodes"].write(_ids([now[1], degree]).tobytes())
+                for stream in streams.values():
+                    stream.close()
+
+        for batch in batches:
+            p, src, dst = (batch.column(k).to_numpy() for k in range(3))
+            if not len(p):
+                continue
+            first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (src[1:] != src[:-1])))
+            for k, n in zip(first.tolist(), np.diff(np.append(first, len(p))).tolist(), strict=True):
+                here = int(p[k]), int(src[k])
+                if here[0] != now[0]:
+                    close()
+                    names[here[0]] = f"{root}/.{uuid.uuid4().hex}"
+                    streams = {kind: out.open_output_stream(names[here[0]] + kind) for kind in ("-nodes", "-edges")}
+                elif here != now:
+                    streams["-nodes"].write(_ids([now[1], degree]).tobytes())
+                degree, now = (degree if here == now else 0) + n, here
+                streams["-edges"].write(_ids(dst[k : k + n]).tobytes())
+        close()
+        yield pa.record_batch([pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())], names=["part", "name"])
+
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root)
+    placed = e.select(part.cast("long").alias("part"), "src", "dst").repartition(tasks, "part").sortWithinPartitions("part", "src", "dst")
+    paths = {}
+    for r in placed.mapInArrow(run, "part long, name string").collect():  # a row a file
+        for kind in ("-nodes", "-edges"):
+            store.move(f"{r.name}{kind}", f"{root}/part-{r.part}{kind}")
+        paths[r.part] = f"{uri}/part-{r.part}"
+    return paths
+
+
 LEVELS = {"-high32": "<u4", "-next16": "<u2", "-next08": "u1", "-last08": "u1"}
 
 

@@ -131,3 +131,16 @@ def test_independent_set_blocks(spark):
     work = spark.createDataFrame([(10**12, 1), (5, 2), (5, None), (6, None)], "v long, u long")
     ends = [_block_end(work, k) for k in (1, 2, 3, 10)]
     assert ends[:2] == [None, 5] and 6 <= ends[2] < 10**12 <= ends[3]
+
+
+def test_split_parts(spark, tmp_path):
+    """Each part's files have its own degrees; a vertex's edges may reach over batches."""
+    e = graphs.local_edges(spark, [(a, b) for a in (1, 2, 3) for b in range(30)] + [(9, 4)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        files = graph_files.write_split_parts(e, f"{tmp_path}/a", (F.col("dst") % 3 - 1) * 5, 2)
+        assert sorted(files) == [-5, 0, 5] and rows(codecs.read_split(spark, list(files.values())), "src", "dst") == rows(e, "src", "dst")
+        assert rows(codecs.read_split_degrees(spark, [files[0]]), "v", "degree") == [(1, 10), (2, 10), (3, 10), (9, 1)]
+        assert graph_files.write_split_parts(e.limit(0), f"{tmp_path}/b", F.col("dst"), 2) == {}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
