@@ -19,8 +19,6 @@ WORDS = 8
 #: log2 of the values in a block.
 SHIFT = 9
 W = [f"w{i}" for i in range(WORDS)]
-#: For each byte, its bits; so that only bits that are set become rows.
-_BITS = "array(" + ", ".join(f"cast(array({', '.join(str(b) for b in range(8) if v >> b & 1)}) as array<int>)" for v in range(256)) + ")"
 
 
 def build_bitmaps(df: DataFrame, key: str, value: str, persist: bool = True) -> DataFrame:
@@ -44,7 +42,7 @@ def narrowed(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return joined.withColumns({w: F.col(w).bitwiseAND(F.col(f"__{w}")) for w in W}).drop("__k", "__block", *[f"__{w}" for w in W]).filter(_any())
 
 
-def extend_bits(prefixes: DataFrame, atoms: list[tuple[DataFrame, str]], new_blocks: bool = True) -> DataFrame:
+def extend_bits(prefixes: DataFrame, atoms: list[tuple[DataFrame, str]]) -> DataFrame:
     """``prefixes`` with ``block, w0 ... w7``, the values that every atom (an index and the prefix column that is its key) allows, in
     as many rows as they have blocks."""
     index, key = atoms[0]
@@ -65,7 +63,8 @@ def expand_bits(rows: DataFrame, new: str, keep: bool = False) -> DataFrame:
     words = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(w).alias("w")) for i, w in enumerate(W)]))
     split = rows.withColumn("__x", words).filter("__x.w <> 0")
     bytes_ = F.explode(F.array(*[F.struct(F.lit(8 * i).alias("i"), F.shiftrightunsigned("__x.w", 8 * i).bitwiseAND(255).cast("int").alias("b")) for i in range(8)]))
-    split = split.withColumn("__y", bytes_).filter("__y.b <> 0").withColumn("__z", F.explode(F.expr(f"{_BITS}[__y.b]")))
+    # words and bytes without bits are passed over before their bits become rows
+    split = split.withColumn("__y", bytes_).filter("__y.b <> 0").withColumn("__z", F.explode(F.array(*[F.lit(i) for i in range(8)]))).filter("shiftright(__y.b, __z) & 1 = 1")
     value = F.shiftleft("block", SHIFT) + F.col("__x.i") * 64 + F.col("__y.i") + F.col("__z")
     left = [c for c in rows.columns if keep or c not in ("block", *W)]
     return split.select(*left, value.cast("long").alias(new))

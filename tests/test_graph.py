@@ -90,8 +90,7 @@ def test_bitmaps(spark, top):
     assert rows(bitmaps.expand_bits(index, "v"), "key", "v") == sorted(set(pairs))
     assert one(index.agg(F.sum(bitmaps.counted()))) == len(set(pairs))
     e = prep.normalize(graphs.local_edges(spark, [tuple(rng.choices(range(0, top, top // 40), k=2)) for _ in range(600)])).cache()
-    for k in (3, 4, 5):
-        assert one(bitmaps.clique_count(e, k)) == motifs.cliques(e, k).count() > 0
+    assert one(bitmaps.clique_count(e, 4)) == motifs.cliques(e, 4).count() > 0
     assert rows(bitmaps.cliques(e, 5), *"abcde") == rows(motifs.cliques(e, 5), *"abcde")
     assert one(bitmaps.clique_count(e.limit(0), 4)) == 0
     spark.catalog.clearCache()
