@@ -20,6 +20,8 @@ from .session import read
 
 CLOSE, NEXT = "</turn>\n", "<next>"
 LOSS_ROLE = "assistant"
+#: Elements of an array whose sums are made by appending, one after another.
+RUN = 128
 
 
 def escape(text: Column) -> Column:
@@ -28,12 +30,49 @@ def escape(text: Column) -> Column:
     return text
 
 
+def escaped(text: str) -> str:
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = text.replace(plain, written)
+    return text
+
+
 def unescape(text: Column) -> Column:
     for plain, written in ((">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
         text = F.replace(text, F.lit(written), F.lit(plain))
     return text
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once, wherever the optimiser would otherwise repeat it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(lengths: Column) -> Column:
+    """For each of the ``lengths`` (an array of bigint) the sum of those before it. An array grows by copying, so sums are made by
+    runs of ``RUN`` elements, and the runs joined: time grows with the array, not with its square."""
+    none = F.array().cast("array<bigint>")
+
+    def sums(values: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(values, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    total = lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda x, n: x + n)
+    cut = lambda values: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: F.slice(values, k * RUN + 1, RUN))
+    joined = lambda runs: _let(sums(F.transform(runs, total), F.lit(0).cast("bigint")), lambda before: F.flatten(F.transform(runs, lambda run, k: sums(run, F.element_at(before, k + 1)))))
+    return F.when(F.size(lengths) == 0, none).otherwise(_let(lengths, lambda values: _let(cut(values), joined)))
+
+
+def merged(turns: Column) -> Column:
+    """Sorted turns as blocks ``role, texts``: runs of one role, however long, aggregated into one array."""
+
+    def blocks(ts: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(1), F.size(ts)), lambda i: F.when(i == 1, F.lit(True)).otherwise(F.element_at(ts, i)["role"] != F.element_at(ts, F.greatest(i - 1, F.lit(1)))["role"]))
+        texts = lambda at, end: F.transform(F.slice(ts, at, end - at), lambda t: t["text"])
+        return _let(opens, lambda o: F.transform(o, lambda at, k: F.struct(F.element_at(ts, at)["role"].alias("role"), texts(at, F.coalesce(F.try_element_at(o, k + 2), F.size(ts) + 1)).alias("texts"))))
+
+    return _let(turns, blocks)
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = LOSS_ROLE) -> DataFrame:
     """``conv_id, formatted, loss_spans`` (array of ``start, length``; the first code point is 1), one row a conversation."""
     rows = turns.select(
@@ -41,31 +80,33 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )
     # sorted as they are said, escaped only then: escapes sort otherwise than what they stand for
-    said = F.transform(F.array_sort("ts"), lambda t: F.struct(t["turn"].alias("turn"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    gathered = rows.groupBy("conv_id").agg(F.collect_list("t").alias("ts")).select("conv_id", said.alias("ts"))
-    # a turn opens a block where its role differs from the one before, and closes it where the next one's differs
-    before = lambda i: F.when(i > 0, F.element_at("ts", i)["role"])
-    after = lambda i: F.when(i + 1 < F.size("ts"), F.element_at("ts", i + 2)["role"])
-    pieces = F.transform(
-        "ts",
-        lambda t, i: F.struct(
-            F.when(before(i).eqNullSafe(t["role"]), F.lit(NEXT)).otherwise(F.concat(F.lit("<turn "), t["role"], F.lit(">"))).alias("head"),
-            t["text"].alias("text"),
-            F.when(after(i).eqNullSafe(t["role"]), F.lit("")).otherwise(F.lit(CLOSE)).alias("tail"),
-            (t["role"] == F.lit(loss_role)).alias("loss"),
-        ),
-    )
-    whole = lambda p: F.concat(p["head"], p["text"], p["tail"])
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(whole(p))).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(p["head"])).alias("start"), F.char_length(p["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    said = F.transform(F.array_sort("ts"), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    gathered = rows.groupBy("conv_id").agg(F.collect_list("t").alias("ts")).select("conv_id", merged(said).alias("blocks"))
+    head = lambda b: F.concat(F.lit("<turn "), b["role"], F.lit(">"))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE))), "")
+    size = lambda c: F.char_length(c).cast("bigint")
+    # what stands before each text, the text, and what follows: the head or a separator, and the end of the block
+    lengths = F.flatten(
+        F.transform(
+            "blocks",
+            lambda b: F.transform(
+                b["texts"],
+                lambda t, j: F.struct(
+                    F.when(j == 0, size(head(b))).otherwise(len(NEXT)).alias("head"),
+                    size(t).alias("text"),
+                    F.when(j == F.size(b["texts"]) - 1, len(CLOSE)).otherwise(0).cast("bigint").alias("tail"),
+                    (b["role"] == F.lit(escaped(loss_role))).alias("loss"),
+                ),
+            ),
+        )
     )
-    return gathered.select("conv_id", pieces.alias("pieces")).select("conv_id", F.array_join(F.transform("pieces", whole), "").alias("formatted"), spans.alias("loss_spans"))
+
+    def spans(parts: Column) -> Column:
+        at = running(F.transform(parts, lambda x: x["head"] + x["text"] + x["tail"]))
+        placed = F.zip_with(parts, at, lambda x, n: F.struct(x["loss"].alias("loss"), (n + x["head"] + 1).cast("int").alias("start"), x["text"].cast("int").alias("length")))
+        return F.transform(F.filter(placed, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+
+    return gathered.select("conv_id", formatted.alias("formatted"), _let(lengths, spans).alias("loss_spans"))
 
 
 def turns_of(formatted: Column) -> Column:
@@ -86,7 +127,10 @@ def turns_of(formatted: Column) -> Column:
 def digest(formatted: DataFrame) -> DataFrame:
     """The columns of the query, read back from the operator's output."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"], s["length"]))), "")
+    # four bytes a code point: a span is found by its place, without reading what stands before it
+    wide = F.encode("formatted", "UTF-32")
+    under = lambda text: F.transform("loss_spans", lambda s: F.decode(F.substr(text, (s["start"] - 1) * 4 + 1, s["length"] * 4), "UTF-32"))
+    loss = unescape(F.array_join(_let(wide, under), ""))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return formatted.withColumn("turns", turns_of(F.col("formatted"))).withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),

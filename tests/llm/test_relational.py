@@ -139,6 +139,24 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_with_very_many_turns(spark):
+    """Runs of one role shorter and longer than those of the sums; one long text among them."""
+    n = 3 * chat.RUN**2 // 4
+    own = [("assistant" if (k // 300) % 2 or k % 3 == 0 else "user", "é<&" * 100_000 if k == 777 else f"<{k}>") for k in range(n)]
+    rows = spark.createDataFrame([(5, k, r, t) for k, (r, t) in enumerate(own)], "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.format_chats(rows)).collect()
+    loss = "".join(t for r, t in own if r == "assistant")
+    assert len(got) == 1 and got[0].n_turns == n and got[0].loss_chars == len(loss)
+    assert got[0].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[0].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    for n in (0, 1, chat.RUN, chat.RUN + 1, 5 * chat.RUN - 1):
+        got = spark.range(1).select(chat.running(F.lit(list(range(3, n + 3))).cast("array<bigint>") if n else F.array().cast("array<bigint>")).alias("r")).first().r
+        assert got == [sum(range(3, 3 + k)) for k in range(n)]
+
+
 def fill(sizes, weights, share, cap):
     """Targets by repeated resharing."""
     left, open_, out = share * sum(sizes), set(range(len(sizes))), {}
