@@ -3,11 +3,14 @@
 The network reads UTF-8 bytes, in segments of ``SEGMENT`` bytes that begin with a fresh state, and gives every byte position
 a distribution over the languages; a document's distribution is the mean over all its positions. It is trained in numpy by
 backpropagation through time, in one task on an executor, on a bounded sample of rows outside the held-out fifth: whole texts,
-segments of which are drawn at random in each step.
+segments of which are drawn at random in each step. Of more than ``CLASSES`` languages a step draws that many and tells these
+apart: the softmax over them is the model's distribution given that one of them is meant, so no correction is needed. Thousands
+of languages want a larger ``size`` and more ``steps``; memory follows the languages, not languages times positions.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; any other text gets a learned language, and
 the score is its pooled probability; repeated rows are scored each; a null ``doc_id`` is not held out; without any labelled
-row everything is ``und``; an empty table gives an empty result; other columns are ignored. Whole texts are read.
+row everything is ``und``; an empty table gives an empty result; other columns are ignored. Whole texts are read. More than
+``MOST_LANGS`` distinct languages raise a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ BATCH = 2048
 #: languages, all are learned, from fewer rows and characters each.
 SAMPLE_EACH, SAMPLE_CHARS, FULL_LANGS = 600, 3_000_000, 100
 STEPS, RATE, TRAIN_BATCH = 260, 0.01, 192
+#: Languages told apart in one training step; numbers held at once while scoring; languages beyond which fitting raises, as the
+#: driver holds their names and counts.
+CLASSES, CELLS, MOST_LANGS = 128, 1 << 24, 1 << 16
 PAD = 256
 
 
@@ -50,32 +56,38 @@ def train(rows: list[tuple[str, str]], langs: list[str], size: int = SIZE, steps
     data, offsets = text_bytes(pa.array([t for t, _ in rows], pa.string()))
     x, of = segments(data, offsets)
     y = np.array([place[k] for _, k in rows], np.int64)[of]
-    by_label = [np.flatnonzero(y == k) for k in range(len(langs))]
-    by_label = [b for b in by_label if len(b)]
+    order = np.argsort(y, kind="stable")
+    learned, firsts = np.unique(y[order], return_index=True)
+    by_label = dict(zip(learned.tolist(), np.split(order, firsts[1:]), strict=True))
     unit = lambda *shape: rng.normal(0, 1 / np.sqrt(size), shape).astype(np.float32)
     p = {f"w{d}": rng.normal(0, 0.3, (PAD + 1, 3, size)).astype(np.float32) for d in "fb"} | {f"u{d}": unit(3, size, size) for d in "fb"}
     p |= {f"v{d}": unit(size, len(langs)) for d in "fb"} | {"c": np.zeros(len(langs), np.float32)}
     adam = gru.Adam(p, RATE)
     for step in range(steps):
         adam.rate = RATE * (1 - step / steps)
-        pick = np.concatenate([rng.choice(b, TRAIN_BATCH // len(by_label) + 1) for b in by_label])
-        xs, ys = x[pick].T.astype(np.int64), y[pick]
+        # the labels of the step: all of them (with those no row is of), or as many as are told apart at once
+        told = np.arange(len(langs)) if len(learned) <= CLASSES else np.sort(rng.choice(learned, CLASSES, replace=False))
+        drawn = learned if len(learned) <= CLASSES else told
+        pick = np.concatenate([rng.choice(by_label[k], TRAIN_BATCH // len(drawn) + 1) for k in drawn.tolist()])
+        xs, ys = x[pick].T.astype(np.int64), np.searchsorted(told, y[pick])
         real = (xs != PAD).astype(np.float32)[..., None]
         g = {d: p[f"w{d}"][xs] for d in "fb"}
         h, kept = {}, {}
         for d in "fb":
             g[d][xs == PAD] = _PAD_GATES(size)
             h[d], kept[d] = gru.forward(g[d], p[f"u{d}"], d == "b")
-        logits = h["f"] @ p["vf"] + h["b"] @ p["vb"] + p["c"]
+        v = {d: p[f"v{d}"][:, told] for d in "fb"}
+        logits = h["f"] @ v["f"] + h["b"] @ v["b"] + p["c"][told]
         logits -= logits.max(-1, keepdims=True)
         prob = np.exp(logits)
         prob /= prob.sum(-1, keepdims=True)
         prob[:, np.arange(len(ys)), ys] -= 1
         dl = (prob * real / real.sum()).astype(np.float32)
-        grads = {"c": dl.sum((0, 1))}
+        grads = {k: np.zeros_like(p[k]) for k in ("c", "vf", "vb")}
+        grads["c"][told] = dl.sum((0, 1))
         for d in "fb":
-            grads[f"v{d}"] = np.einsum("tbh,tbc->hc", h[d], dl)
-            dg, grads[f"u{d}"] = gru.backward(dl @ p[f"v{d}"].T, kept[d], p[f"u{d}"], d == "b")
+            grads[f"v{d}"][:, told] = np.einsum("tbh,tbc->hc", h[d], dl)
+            dg, grads[f"u{d}"] = gru.backward(dl @ v[d].T, kept[d], p[f"u{d}"], d == "b")
             dw = np.zeros_like(p[f"w{d}"])
             order = np.argsort(xs, axis=None, kind="stable")
             flat, keys = dg.reshape(-1, 3 * size)[order], xs.reshape(-1)[order]
@@ -100,45 +112,58 @@ def probabilities(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
     langs = len(model["c"])
     out = np.zeros((len(texts), langs))
     tables = {d: gru.folded(model[f"w{d}"], model[f"u{d}"]) for d in "fb"}
+    each = max(1, min(BATCH, CELLS // (SEGMENT * langs)))
     for a, b in slices(texts):
         data, offsets = text_bytes(texts.slice(a, b - a))
         x, of = segments(data, offsets)
-        sums = np.zeros((len(x), langs), np.float32)
-        for k in range(0, len(x), BATCH):
-            xs = np.ascontiguousarray(x[k : k + BATCH].T)
+        for k in range(0, len(x), each):
+            xs = np.ascontiguousarray(x[k : k + each].T)
             ahead = np.empty((*xs.shape, langs), np.float32)
             for t, y in gru.scan(*tables["f"], xs, model["vf"]):
                 ahead[t] = y
             ahead += model["c"]
-            got = sums[k : k + BATCH]
+            got = np.zeros((xs.shape[1], langs), np.float32)
             for t, y in gru.scan(*tables["b"], xs, model["vb"], reverse=True):
                 y += ahead[t]
                 y -= y.max(1, keepdims=True)
                 np.exp(y, out=y)
                 y *= ((xs[t] != PAD) / y.sum(1))[:, None]
                 got += y
-        lengths = np.diff(offsets)
-        if len(x):
-            firsts = np.flatnonzero(np.diff(of, prepend=-1))
-            out[a + of[firsts]] = np.add.reduceat(sums.astype(np.float64), firsts) / lengths[of[firsts], None]
+            own = of[k : k + each]
+            firsts = np.flatnonzero(np.diff(own, prepend=-1))
+            out[a + own[firsts]] += np.add.reduceat(got.astype(np.float64), firsts)
+        out[a:b] /= np.maximum(np.diff(offsets), 1)[:, None]
     return out
 
 
+def likeliest(model: dict[str, np.ndarray], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's likeliest language, by number, and its probability."""
+    best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    each = max(1, CELLS // len(model["c"]))
+    for a in range(0, len(texts), each):
+        p = probabilities(model, texts.slice(a, each))
+        best[a : a + each], score[a : a + each] = p.argmax(1), p.max(1)
+    return best, score
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", size: int = SIZE, steps: int = STEPS) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """The model and its languages, learned from rows with text and language that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label")).filter("text is not null and label is not null").filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    langs = sorted(counts)
+    counts = rows.groupBy("label").count().limit(MOST_LANGS + 1).toArrow()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} distinct values of {lang_col}")
+    langs = sorted(counts["label"].to_pylist())
     if not langs:
         return None, langs
     share = max(1.0, len(langs) / FULL_LANGS)
-    sample = chosen_rows(rows.select("text", "label", F.xxhash64("doc_id", "text").alias("uid")), "label", counts, max(20, int(SAMPLE_EACH / share)), F.col("uid"))
+    known = F.broadcast(docs.sparkSession.createDataFrame(counts).withColumnRenamed("count", "n"))  # MOST_LANGS rows at most
+    sample = chosen_rows(rows.select("text", "label", F.xxhash64("doc_id", "text").alias("uid")).join(known, "label"), "label", "n", max(20, int(SAMPLE_EACH / share)), F.col("uid"))
     return fit_in_task(sample, lambda found: train(found, langs, size, steps), int(SAMPLE_CHARS / share)), langs
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray] | None, langs: list[str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, langs))  # a few kilobytes, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast((model, langs))  # its size follows the languages, MOST_LANGS at most
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +173,8 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray] | None, langs: list[s
             letters = batch.column(2).to_numpy(zero_copy_only=False)
             best, score = np.full(len(letters), len(langs)), np.zeros(len(letters))
             if model is not None and len(letters):
-                p = probabilities(model, batch.column(1))
-                best, score = np.where(letters, p.argmax(1), len(langs)), np.where(letters, p.max(1), 0.0)
+                best, score = likeliest(model, batch.column(1))
+                best, score = np.where(letters, best, len(langs)), np.where(letters, score, 0.0)
             yield pa.record_batch([batch.column(0), batch.column(3), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "held_out", "lang_pred", "score"])
 
     text = F.col(text_col)

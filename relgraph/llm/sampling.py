@@ -17,16 +17,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def chosen_rows(rows: DataFrame, label: str, counts: dict, each: int, key: Column, seed: int = 11) -> DataFrame:
+def chosen_rows(rows: DataFrame, label: str, counts: dict | str, each: int, key: Column, seed: int = 11) -> DataFrame:
     """``rows`` with a column ``h``: of every label up to ``each`` rows, those of smallest hash of ``key``; rows of one key once.
-    ``counts`` has the rows of each label, of which the caller bounds the number.
+    ``counts`` has the rows of each of a few labels, or names the column that has those of a row's label.
 
     A cut of the hashes that leaves more than ``each`` rows comes first, so that ranks are made over bounded rows only; of
     rows that share a hash the smallest stays, so reruns agree whatever the partitions."""
     wide = 1 << 30
-    cut = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(wide * min(1.0, (1.3 * each + 60) / n))))])
+    if isinstance(counts, str):
+        cut = (wide * F.least(F.lit(1.0), (1.3 * each + 60) / F.col(counts))).cast("long")
+    else:
+        cut = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(wide * min(1.0, (1.3 * each + 60) / n))))]), F.col(label))
     h = F.xxhash64(F.lit(seed), key)
-    near = rows.withColumn("h", h).filter(F.pmod("h", F.lit(wide)) < F.element_at(cut, F.col(label)))
+    near = rows.withColumn("h", h).filter(F.pmod("h", F.lit(wide)) < cut)
     others = [c for c in rows.columns if c != label]
     once = near.groupBy(label, "h").agg(F.min(F.struct(*others)).alias("r")).select(label, "h", "r.*")
     own = Window.partitionBy(label).orderBy(F.pmod("h", F.lit(wide)), "h")

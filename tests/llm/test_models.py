@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from relgraph.llm import gru, language_id, toxicity
 from relgraph.llm.words import mix, split_words
@@ -258,6 +259,38 @@ def test_all_languages_are_learned(spark):
     assert got[0] == got[1] and len(got[0]) == 390
 
 
+def test_thousands_of_languages(spark):
+    """No literal a language in the plan, no cell a language and position in memory; beyond the bound an error is told."""
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.pmod("id", F.lit(5000))).alias("lang"))
+    model, langs = language_id.fit(df, steps=2)
+    assert len(langs) > 4500 and model["vf"].shape[1] == len(langs)  # those that have a row outside the held-out fifth
+    got = language_id.identify(df, model, langs)
+    assert got.count() == 10_000 and got.filter(~F.col("lang_pred").isin("und") & F.col("score").between(0, 1)).count() == 10_000
+
+
+def test_more_languages_than_the_bound_raise(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), F.pmod("id", F.lit(9))).alias("lang"))
+    with pytest.raises(ValueError, match="distinct values"):
+        language_id.fit(df, steps=1)
+
+
+def test_languages_drawn_by_steps_are_told_apart(monkeypatch):
+    """With fewer languages to a step than there are, and scored by few cells, as with all at once."""
+    rng = random.Random(3)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    rows = [("".join(rng.choice(alphabets[k]) for _ in range(90)), f"l{k}") for k in range(6) for _ in range(30)]
+    langs = [f"l{k}" for k in range(6)]
+    monkeypatch.setattr(language_id, "CLASSES", 3)
+    model = language_id.train(rows, langs, steps=150)
+    texts = pa.array([t for t, _ in rows])
+    best, score = language_id.likeliest(model, texts)
+    assert np.mean([langs[k] == want for k, (_, want) in zip(best, rows, strict=True)]) > 0.95
+    monkeypatch.setattr(language_id, "CELLS", 64 * 6 * 2)
+    again = language_id.likeliest(model, texts)
+    assert (again[0] == best).all() and np.allclose(again[1], score, atol=1e-5)
+
+
 def test_samples_are_bounded_and_the_same_on_every_run(spark):
     from pyspark.sql import functions as F
 
