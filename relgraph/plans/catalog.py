@@ -413,7 +413,8 @@ def empty_key_extend_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- PageRank ----------------------------------------------------------------------------------------------------------
 
-_W = "w as materialized (select ps.src, ps.dst, 1.0::double / d.degree as w from ps join (select src, count(*) as degree from ps group by src) d on d.src = ps.src), ids as materialized (select src as v from ps union select dst from ps), s as materialized (select distinct src as v from ps)"
+_WEIGHTS = "w as materialized (select e.src, e.dst, 1.0::double / d.degree as w from {g} e join (select src, count(*) as degree from {g} group by src) d on d.src = e.src), ids as materialized (select src as v from {g} union select dst from {g}), s as materialized (select distinct src as v from {g})"
+_W = _WEIGHTS.format(g="ps")
 _FRAME = """with recursive {ps}, {w},
 r as (
   select 0 as it, v, {start}::double as a from ids
@@ -454,6 +455,12 @@ def pagerank_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pagerank.blocks(graphs.ps(spark, sf_dir), reset=0.15))
 
 
+@_register(_FRAME.format(ps=COPART, w=_WEIGHTS.format(g="copart"), start=0, rounds=4, share=0.85, base="0.15"))
+def pagerank_blocks_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rounds over the whole co-purchase graph, by blocks."""
+    return _rounded(pagerank.blocks(graphs.copart(spark, sf_dir), rounds=4, reset=0.15))
+
+
 @_register(_FRAME.format(ps=PS, w=_W, start=1, rounds=1, share=0.15, base="0.85"))
 def pagerank_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = hold(graphs.ps(spark, sf_dir))

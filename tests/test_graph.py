@@ -218,6 +218,28 @@ def test_pagerank_chain(spark, variant, reset, want):
     assert [r for _, r in got] == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("most", [7, 64, 1 << 20])
+def test_pagerank_blocks_equal_joined(spark, most):
+    """A hub, parallel edges, a vertex that only receives; blocks smaller than the hub's edges, and one for all."""
+    rng = random.Random(5)
+    pairs = [(0, k) for k in range(1, 120)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(900)] + [(5, 6)] * 3 + [(6, 2**31 - 1)]
+    e = graphs.local_edges(spark, pairs)
+    sizes = [(len(r.at), len(r.to)) for r in pagerank.packed(e, most).collect()]
+    assert sum(a for a, _ in sizes) == len(pairs) and all(a == b <= most for a, b in sizes)
+    got, want = (dict(rows(f(e, rounds=4, **more), "v", "rank")) for f, more in ((pagerank.blocks, {"most": most}), (pagerank.joined, {})))
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], rel=1e-12) for v in want)
+    assert pagerank.blocks(e.limit(0), rounds=2).count() == 0
+
+
+def test_pagerank_blocks_stay_in_place(spark):
+    """A round's plan exchanges ranks and sums; the packed edges come from where they are held."""
+    e = graphs.local_edges(spark, [(k, (7 * k) % 50) for k in range(200)])
+    ranks = prep.vertices(e).withColumn("value", F.lit(1.0))
+    plan = pagerank.block_push(e, 20)(ranks, 0.5)._jdf.queryExecution().executedPlan().toString()
+    own = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert "Exchange" not in own[: own.index("InMemoryTableScan")]
+
+
 def test_pagerank_dataflow(spark):
     got = rows(pagerank.dataflow(graphs.local_edges(spark, [(0, 1), (1, 2), (0, 2)])), "v", "rank")
     assert [r for _, r in got] == pytest.approx([0.15, 0.21375, 0.245438], abs=1e-6)
