@@ -14,18 +14,17 @@ numbering puts neighbours together.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hilbert import hilbert_layout
+from ..functions.hilbert import with_key
 from ..session import cut, hold
 from .iterate import iterate_and_accumulate
-from .prep import out_degree, vertices
+from .prep import number, out_degree, vertices
 
 
 def weighted(e: DataFrame) -> DataFrame:
@@ -52,31 +51,20 @@ BLOCK = 1 << 20
 
 
 def packed(e: DataFrame, most: int = BLOCK) -> DataFrame:
-    """Blocks of at most ``most`` edges that follow one another along the Hilbert curve: ``part``, the distinct ``sources`` and
-    ``targets``, ascending, and for each edge their places there (``at``, ``to``). Range partitions split a hub's edges as any
-    others. Kept as a table, as sampled ranges need not come out the same twice."""
+    """Blocks of ``most`` edges that follow one another along the Hilbert curve, the last one with fewer: ``part``, the distinct
+    ``sources`` and ``targets``, ascending, and for each edge their places there (``at``, ``to``). An edge's block comes from its
+    place on the whole curve, so blocks do not get smaller with more partitions, and a hub's edges are split as any others. Kept
+    as a table, as edges with equal keys need not come out in the same order twice."""
 
-    def pack(table: pa.Table, part: int) -> pa.RecordBatch:
+    def pack(table: pa.Table) -> pa.Table:
         sources, at = np.unique(table["src"].to_numpy(), return_inverse=True)
         targets, to = np.unique(table["dst"].to_numpy(), return_inverse=True)
-        arrays = [pa.array([part], pa.int64())] + [pa.array([x], pa.list_(kind)) for x, kind in ((sources, pa.int64()), (targets, pa.int64()), (at.astype(np.int32), pa.int32()), (to.astype(np.int32), pa.int32()))]
-        return pa.record_batch(arrays, names=["part", "sources", "targets", "at", "to"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, waiting, n = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            while len(batch):
-                waiting.append(batch.slice(0, most - n))
-                n += len(waiting[-1])
-                batch = batch.slice(len(waiting[-1]))
-                if n == most:
-                    yield pack(pa.Table.from_batches(waiting), own)
-                    own, waiting, n = own + 1, [], 0
-        if waiting:
-            yield pack(pa.Table.from_batches(waiting), own)
-
-    parts = -(-e.count() // most)
-    return cut(hilbert_layout(e.select("src", "dst"), max(parts, 1)).select("src", "dst").mapInArrow(run, "part long, sources array<long>, targets array<long>, at array<int>, to array<int>"))
+        arrays = [table["part"][:1].combine_chunks()] + [pa.array([x], pa.list_(kind)) for x, kind in ((sources, pa.int64()), (targets, pa.int64()), (at.astype(np.int32), pa.int32()), (to.astype(np.int32), pa.int32()))]
+        return pa.table(arrays, names=["part", "sources", "targets", "at", "to"])
+
+    placed = number(with_key(e.select("src", "dst")), "hilbert_key", out="place")
+    dealt = placed.select("src", "dst", F.floor(F.col("place") / F.lit(most)).alias("part")).groupBy("part")
+    return cut(dealt.applyInArrow(pack, "part long, sources array<long>, targets array<long>, at array<int>, to array<int>"))
 
 
 def block_push(e: DataFrame, most: int = BLOCK) -> Callable[[DataFrame, float], DataFrame]:
