@@ -9,51 +9,68 @@ partition is first reduced to a spanning forest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .prep import vertices
 
-if TYPE_CHECKING:
-    import pandas as pd
-
-
-def forest(pairs: pd.DataFrame, parent: dict[int, int]) -> pd.DataFrame:
-    """The edges of ``pairs`` that join two trees of ``parent`` (updated): union by smaller root with path halving."""
-    import pandas as pd
-
-    def root(v: int) -> int:
-        while (p := parent.setdefault(v, v)) != v:
-            parent[v] = v = parent[p]
-        return v
-
-    kept = []
-    for s, t in zip(pairs["src"].tolist(), pairs["dst"].tolist(), strict=True):
-        a, b = root(s), root(t)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append((s, t))
-    return pd.DataFrame(kept, columns=["src", "dst"], dtype="int64")
-
-
-def local_forests(e: DataFrame) -> DataFrame:
-    """A spanning forest of each partition: at most its vertices minus one edges, and the same components overall."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict[int, int] = {}
-        for f in frames:
-            yield forest(f, parent)
-
-    return e.select("src", "dst").mapInPandas(run, "src long, dst long")
+#: Edges that a task holds at a time beside its forest, and edges of a forest at most: 16 bytes each, several times while it is made.
+CHUNK, MOST = 1 << 20, 1 << 23
+
+
+def forest(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Places of the edges that make a spanning forest. In each round every tree that has a smaller neighbour is hung below the
+    smallest such root, by one of the edges between the two, and all trees are made flat by pointer jumping; edges inside a tree go."""
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    root, place, kept = np.arange(len(ids)), np.arange(len(src)), []
+    a, b = ends[: len(src)], ends[len(src) :]
+    while len(place):
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        open_ = high != low
+        a, b, place, high, low = (x[open_] for x in (a, b, place, high, low))
+        order = np.lexsort((low, high))  # the first of a root's edges leads to its smallest neighbour
+        hung, first = np.unique(high[order], return_index=True)
+        kept.append(place[order[first]])
+        root[hung] = low[order[first]]
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return np.sort(np.concatenate([np.empty(0, np.int64), *kept]))
+
+
+def local_forests(e: DataFrame, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
+    """A spanning forest of each partition: the same components overall. A task's forest and new edges, at least ``chunk`` of
+    them and as many as the forest has, are made one forest. One of ``most`` edges is passed on as it is and the next one begun,
+    which bounds what a task holds; the two are left for the star steps to unite."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, new, n = np.empty((2, 0), np.int64), [], 0
+
+        def reduced() -> np.ndarray:
+            both = np.concatenate([kept, *new], axis=1)
+            return both[:, forest(both[0], both[1])]
+
+        for batch in batches:
+            new.append(np.stack([batch.column(k).to_numpy() for k in range(2)]))
+            n += len(batch)
+            if n >= max(chunk, kept.shape[1]):
+                kept, new, n = reduced(), [], 0
+                if kept.shape[1] >= most:
+                    yield pa.record_batch([pa.array(kept[0]), pa.array(kept[1])], names=["src", "dst"])
+                    kept = np.empty((2, 0), np.int64)
+        kept = reduced()
+        yield pa.record_batch([pa.array(kept[0]), pa.array(kept[1])], names=["src", "dst"])
+
+    return e.select("src", "dst").mapInArrow(run, "src long, dst long")
 
 
 def merged_forests(e: DataFrame, levels: int = 2, fan: int = 4) -> DataFrame:
     """:func:`local_forests`, and ``levels`` times those of about ``fan`` partitions made one forest. Each level leaves at most
-    its partitions times the vertices; a task holds the vertices of its own edges, so levels stop at two partitions and the
-    star steps do the rest."""
+    its partitions times the vertices, or all edges beyond what a task may hold (see :func:`local_forests`); levels stop at two
+    partitions and the star steps do the rest."""
     e, parts = local_forests(e), int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(levels):
         parts = max(parts // fan, 2)
