@@ -753,6 +753,21 @@ def split_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("total"))
 
 
+@_register(f"with {PS} select src, dst from ps")
+def packed_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed adjacency files by the data source, each read by several tasks, hubs too."""
+    files = graph_files.write_packed_files(graphs.ps(spark, sf_dir), _new_folder(spark, "packed-source"), 4, edges=5000)
+    return graph_files.read_edges(spark, files, "packed")
+
+
+@_register(ORACLES["split_source_filtered"])
+def packed_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of sources: ranges of the packed files without any are not read."""
+    files = graph_files.write_packed_files(graphs.ps(spark, sf_dir), _new_folder(spark, "packed-filtered"), 4, edges=5000)
+    e = graph_files.read_edges(spark, files, "packed", src=(100, 149))
+    return e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("total"))
+
+
 _WIDE = "select src * 977 as src, dst * 1013 as dst from ps"
 
 

@@ -2,10 +2,11 @@
 
 Layouts: ``split`` (``PREFIX-nodes`` with pairs vertex, degree; ``PREFIX-edges`` with all targets), ``hilbert`` (blocks of 2^16 by
 2^16 cells along the curve: ``PREFIX-upper`` with x >> 16, y >> 16 and the number of edges, ``PREFIX-lower`` with an edge's low
-16 bits each, the source in the low half) and ``prefix`` (four nested levels, see :func:`encode_prefixes`). All numbers are
-little-endian. The first two are cut at every ``edges`` edges, hubs and full blocks too: cut points come from one pass over the
-node or block file, of which only they are kept. A scan of a range of ``src`` or ``dst`` reads only the cuts that have such a vertex
-or block.
+16 bits each, the source in the low half), ``prefix`` (four nested levels, see :func:`encode_prefixes`) and ``packed`` (one file of
+records vertex, degree, targets). All numbers are little-endian. The first two are cut at every ``edges`` edges, hubs and full
+blocks too: cut points come from one pass over the node or block file, of which only they are kept. Packed files are cut in the
+same way where their index says (see :func:`index_packed`). A scan of a range of ``src`` or ``dst`` reads only the cuts that have
+such a vertex or block.
 """
 
 from __future__ import annotations
@@ -117,6 +118,142 @@ def read_cut(cut: Cut, layout: str) -> Iterator[pa.RecordBatch]:
                 return
 
 
+# --- packed adjacency --------------------------------------------------------------------------------------------------
+
+
+def _records(stream, at: int = 0, vertex: int = 0, left: int = 0, head: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A stretch of a packed file at a time, from byte ``at`` on: vertices, how many targets each has in the stretch, where its
+    record begins, and the targets. A record may go on in the next stretch; ``left`` targets of ``vertex`` come first."""
+    half = b""
+    while data := stream.read(4 * CHUNK):
+        words = np.frombuffer(half + data, "<i4")
+        base, k = at - len(half), 0
+        at += len(data)
+        ids, counts, begins, keep = [], [], [], np.ones(len(words), bool)
+        while left or k + 1 < len(words):
+            if not left:
+                vertex, left, head = int(words[k]), int(words[k + 1]), base + 4 * k
+                if left < 0:
+                    raise ValueError(f"a degree of {left} at byte {head}")
+                keep[k : k + 2] = False
+                k += 2
+            n = min(left, len(words) - k)
+            ids.append(vertex)
+            counts.append(n)
+            begins.append(head)
+            left, k = left - n, k + n
+            if left:
+                break
+        half = words[k:].tobytes()
+        keep[k:] = False
+        yield np.array(ids, np.int64), np.array(counts, np.int64), np.array(begins, np.int64), words[keep].astype(np.int64)
+    if left or half:
+        raise ValueError("the last adjacency record is cut off")
+
+
+def _index_path(path: str) -> str:
+    """Beside the file, under a name that Spark's file sources pass over."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/_{name}-index"
+
+
+def packed_index(path: str, edges: int) -> np.ndarray:
+    """A row for every ``edges`` edges of a packed file: the byte at which its first edge's record begins, the number of that
+    record's first edge, its own first edge and its end, and the least and the greatest vertex."""
+    found: dict[int, list[int]] = {}
+    total, head, head_start = 0, -1, 0
+    with _open(path) as stream:
+        for ids, counts, begins, _ in _records(stream):
+            for v, n, begin in zip(ids.tolist(), counts.tolist(), begins.tolist(), strict=True):
+                if begin != head:
+                    head, head_start = begin, total
+                for p in range(total // edges, -(-(total + n) // edges)) if n else ():
+                    row = found.setdefault(p, [head, head_start, p * edges, 0, v, v])
+                    row[3:] = [min((p + 1) * edges, total + n), min(row[4], v), max(row[5], v)]
+                total += n
+    return np.array(list(found.values()), "<i8").reshape(-1, 6)
+
+
+def index_packed(spark: SparkSession, paths: list[str], edges: int = PART_EDGES) -> list[str]:
+    """Writes the index of each packed file beside it, in one pass, a file a task and some of it at a time; gives ``paths`` back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(_index_path(path))
+                rows = packed_index(path, edges)
+                own = f"{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as stream:
+                    stream.write(rows.tobytes())
+                store.move(own, name)
+                yield pa.record_batch([pa.array([len(rows)], pa.int64())], names=["cuts"])
+
+    if paths:
+        files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+        files.mapInArrow(run, "cuts long").agg(F.sum("cuts")).collect()
+    return paths
+
+
+def packed_cuts(path: str, wanted: dict[str, tuple[int, int]]) -> list[Cut]:
+    """The ranges of a packed file's index that have a vertex within ``wanted``."""
+    with _open(_index_path(path)) as stream:
+        rows = np.frombuffer(stream.read(), "<i8").reshape(-1, 6)
+    rows = rows[(rows[:, 5] >= wanted["src"][0]) & (rows[:, 4] <= wanted["src"][1])]
+    return [Cut(path, *r) for r in rows[:, :4].tolist()]
+
+
+def read_packed_cut(cut: Cut) -> Iterator[pa.RecordBatch]:
+    """A range's edges. It begins inside its first record, whose earlier targets are not read."""
+    with _open(cut.path, cut.head) as stream:
+        vertex, degree = np.frombuffer(stream.read(8), "<i4").tolist()
+        at = cut.head + 8 + 4 * (cut.start - cut.head_start)
+        stream.seek(at)
+        total = cut.start
+        for ids, counts, _, targets in _records(stream, at, vertex, degree - (cut.start - cut.head_start), cut.head):
+            n = min(len(targets), cut.end - total)
+            yield pa.record_batch([pa.array(np.repeat(ids, counts)[:n]), pa.array(targets[:n])], names=["src", "dst"])
+            total += n
+            if total == cut.end:
+                return
+    raise ValueError(f"{cut.path}: {cut.end} edges named, {total} found")
+
+
+def write_packed_files(e: DataFrame, uri: str, parts: int, edges: int = PART_EDGES) -> list[str]:
+    """Packed files, vertex v in part ``v % parts``, sorted, and their indices. Degrees are joined to the edges, so that a record's
+    head is known before its targets: a task holds a batch of edges, however many a vertex has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, root = fs.FileSystem.from_uri(uri)
+        names: dict[int, str] = {}
+        stream, last = None, None
+        for batch in batches:
+            part, src, degree, dst = (batch.column(k).to_numpy() for k in range(4))
+            for own in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1) if len(part) else []:
+                here = int(part[own[0]])
+                if here not in names:
+                    if stream is not None:
+                        stream.close()
+                    names[here], last = f"{root}/.{uuid.uuid4().hex}", None
+                    stream = out.open_output_stream(names[here])
+                fresh = np.append(last != int(src[own[0]]), src[own[1:]] != src[own[:-1]])
+                heads = np.stack([src[own][fresh], degree[own][fresh]], 1).ravel()
+                stream.write(_ids(np.insert(dst[own], np.repeat(np.flatnonzero(fresh), 2), heads)).tobytes())
+                last = int(src[own[-1]])
+        if stream is not None:
+            stream.close()
+        yield pa.record_batch([pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())], names=["part", "name"])
+
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root)
+    degrees = e.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    rows = e.select("src", "dst").join(degrees, "src").select(F.pmod("src", F.lit(parts)).cast("long").alias("part"), "src", "degree", "dst")
+    paths = []
+    for r in rows.repartition(parts, "part").sortWithinPartitions("part", "src", "dst").mapInArrow(run, "part long, name string").collect():  # a row a file
+        store.move(r.name, f"{root}/part-{r.part}")
+        paths.append(f"{uri}/part-{r.part}")
+    return index_packed(e.sparkSession, sorted(paths), edges)
+
+
 class EdgeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.layout = options.get("layout", "split")
@@ -126,12 +263,16 @@ class EdgeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.layout == "prefix":
-            return [Cut(p) for p in self.paths]
+            return [Cut(p) for p in self.paths] or [Cut("")]
+        if self.layout == "packed":
+            return [c for p in self.paths for c in packed_cuts(p, self.wanted)] or [Cut("")]
         return [c for p in self.paths for c in cuts(p, self.layout, self.edges, self.wanted)] or [Cut("")]
 
     def read(self, partition: Cut) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return iter(())
+        if self.layout == "packed":
+            return read_packed_cut(partition)
         return read_prefixes(partition.path) if self.layout == "prefix" else read_cut(partition, self.layout)
 
 
@@ -148,7 +289,8 @@ class EdgeFiles(DataSource):
 
 
 def read_edges(spark: SparkSession, paths: list[str], layout: str, edges: int = PART_EDGES, src: tuple[int, int] | None = None, dst: tuple[int, int] | None = None) -> DataFrame:
-    """``src, dst`` of files kept as ``PATH-...``, all or with either end in a range, both bounds included.
+    """``src, dst`` of files kept as ``PATH-...``, all or with either end in a range, both bounds included. Packed files need an
+    index, which sets their cuts in place of ``edges``; a range of ``dst`` filters them only.
 
     Ranges are options of the scan, not filters that Spark pushes down: Spark keeps what a Python source planned for the first
     filter and reads the same DataFrame by it again under another one."""

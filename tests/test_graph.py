@@ -225,7 +225,7 @@ def test_pagerank_blocks_equal_joined(spark, most):
     pairs = [(0, k) for k in range(1, 120)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(900)] + [(5, 6)] * 3 + [(6, 2**31 - 1)]
     e = graphs.local_edges(spark, pairs)
     sizes = [(len(r.at), len(r.to)) for r in pagerank.packed(e, most).collect()]
-    assert sum(a for a, _ in sizes) == len(pairs) and all(a == b <= most for a, b in sizes)
+    assert all(a == b for a, b in sizes) and sorted(a for a, _ in sizes) == sorted([most] * (len(pairs) // most) + ([len(pairs) % most] if len(pairs) % most else []))
     got, want = (dict(rows(f(e, rounds=4, **more), "v", "rank")) for f, more in ((pagerank.blocks, {"most": most}), (pagerank.joined, {})))
     assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], rel=1e-12) for v in want)
     assert pagerank.blocks(e.limit(0), rounds=2).count() == 0
@@ -393,6 +393,44 @@ def test_merged_forests_keep_components(spark):
     assert components.merged_forests(e.limit(0)).isEmpty()
 
 
+def test_forest_of_arrays():
+    """Against union-find, on graphs that need several rounds: hubs above their leaves, long paths, parallel edges, loops."""
+    rng = random.Random(8)
+    cases = [[(k, 1000) for k in range(50)] + [(k, 2000) for k in range(40, 90)], [(k, k + 1) for k in range(500)], [(10**15 + (7 * k) % 501, 10**15 + (7 * k + 7) % 501) for k in range(501)], [(3, 3), (4, 4)], []]
+    cases += [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((30, 25), (300, 290), (300, 3000))]
+    for pairs in cases:
+        src, dst = np.array(pairs, np.int64).reshape(-1, 2).T
+        kept = components.forest(src, dst).tolist()
+        parent = {v: v for p in pairs for v in p}
+
+        def root(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for k in kept:  # every edge joins two trees
+            a, b = root(pairs[k][0]), root(pairs[k][1])
+            assert a != b
+            parent[a] = b
+        assert all(root(a) == root(b) for a, b in pairs)
+
+
+@pytest.mark.parametrize(("chunk", "most"), [(1, 1 << 20), (10, 25), (1, 1), (1 << 20, 1)])
+def test_local_forests_are_bounded(spark, chunk, most):
+    """A forest of the bound's size is passed on, and the components stay what they were."""
+    rng = random.Random(9)
+    e = graphs.local_edges(spark, [(rng.randrange(400), rng.randrange(400)) for _ in range(900)] + [(1000 + k, 1001 + k) for k in range(60)]).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        kept = components.local_forests(e.coalesce(1), chunk, most)
+        assert rows(components.labels(prep.vertices(e).select(F.col("v").alias("src"), F.col("v").alias("dst")).unionAll(kept)), "v", "label") == rows(components.labels(e), "v", "label")
+        n, size = kept.count(), one(components.forest_size(e, pre_reduce=False))
+        assert n == size if most == 1 << 20 else size <= n < 960
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.catalog.clearCache()
+
+
 def _tables(sf):
     c = duckdb.connect()
     c.sql("set TimeZone='UTC'")

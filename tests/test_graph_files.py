@@ -76,6 +76,38 @@ def test_files_by_many_tasks(spark, tmp_path, monkeypatch, layout):
         got.collect()
 
 
+@pytest.mark.parametrize(("chunk", "edges"), [(7, 7), (3, 11), (1, 200), (1 << 20, 1)])
+def test_packed_by_many_tasks(spark, tmp_path, monkeypatch, chunk, edges):
+    """One packed file with a hub, parallel edges and vertices without edges, cut anywhere and read in stretches of few words."""
+    monkeypatch.setattr(graph_files, "CHUNK", chunk)
+    rng = random.Random(6)
+    pairs = sorted([(5, k) for k in range(120)] + [(5, 3)] * 2 + [(rng.randrange(40), rng.randrange(300_000)) for _ in range(60)])
+    e = graphs.local_edges(spark, pairs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        (file,) = graph_files.write_packed_files(e, f"file://{tmp_path}/a", 1, edges)
+        assert rows(codecs.read_packed(spark, file), "src", "dst") == pairs and rows(codecs.read_packed(spark, f"file://{tmp_path}/a"), "src", "dst") == pairs
+        parts = graph_files.write_packed_files(e, f"file://{tmp_path}/b", 3, edges)
+        assert rows(graph_files.read_edges(spark, parts, "packed"), "src", "dst") == pairs == rows(codecs.read_packed(spark, parts), "src", "dst")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = np.fromfile(f"{tmp_path}/a/part-0", "<i4")
+    np.concatenate([[1000, 0], whole, [1001, 0, 1002, 0]]).astype("<i4").tofile(f"{tmp_path}/a/part-0")
+    graph_files.index_packed(spark, [file], edges)
+    got = graph_files.read_edges(spark, [file], "packed")
+    assert rows(got, "src", "dst") == pairs and got.rdd.getNumPartitions() == -(-len(pairs) // edges)
+    kept = graph_files.read_edges(spark, [file], "packed", src=(30, 33), dst=(0, 200_000))
+    assert rows(kept, "src", "dst") == [p for p in pairs if 30 <= p[0] <= 33 and p[1] <= 200_000]
+    assert edges > len(pairs) // 2 or kept.rdd.getNumPartitions() < got.rdd.getNumPartitions()
+    assert graph_files.read_edges(spark, graph_files.write_packed_files(e.limit(0), f"{tmp_path}/c", 2), "packed").isEmpty()
+    with open(f"{tmp_path}/a/part-0", "rb+") as f:
+        f.truncate(400)  # within the hub
+    with pytest.raises(Exception, match="cut off|found"):
+        got.collect()
+    with pytest.raises(Exception, match="cut off"):
+        graph_files.index_packed(spark, [file], edges)
+
+
 def test_files_along_the_curve(spark, tmp_path):
     """Parts follow one another along the curve; no edges, no files."""
     rng = random.Random(2)
