@@ -80,6 +80,18 @@ def test_ngram_join(spark, block):
     assert ngram_join.link_classes(docs(spark, [])).count() == 0
 
 
+def test_ngram_join_of_very_long_texts(spark):
+    """Texts of 60 000 words, one of half another's, and one word of a million letters: links by their whole sets of n-grams."""
+    rng = random.Random(12)
+    base, other, word = sentence(rng, 60_000), sentence(rng, 60_000), "x" * 1_000_000
+    texts = [base, changed(rng, base, 400), changed(rng, base, 900), other, " ".join(base.split()[:30_000] + other.split()[30_000:]), word, word + "y", word, None, ""]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for w in ((t or "").split() for t in texts)]
+    linked = [[j for j in range(len(texts)) if i != j and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(texts))]
+    assert [len(x) for x in linked] == [2, 2, 2, 0, 0, 1, 0, 1, 0, 0]
+    got = sorted(tuple(r) for r in ngram_join.link_classes(docs(spark, list(enumerate(texts)))).select("doc_id", "class_id", "n_links").collect())
+    assert got == [(i, min([i, *x]), len(x)) for i, x in enumerate(linked)]
+
+
 def edit_distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -144,7 +156,8 @@ def test_embedding_recall():
         edited.append(" ".join(ws))
     other = decontamination.Items(list(range(400)), edited)
     w, i = found.candidates(other.words, other.sizes)
-    assert len(set(w[w == i].tolist())) >= 0.97 * 400
+    missed = 400 - len(set(w[w == i].tolist()))
+    assert missed <= 400 * (1 - decontamination.RECALL) + 2 * (400 * (1 - decontamination.RECALL)) ** 0.5
 
 
 @pytest.mark.parametrize("n", [40, 120, 300, 700])
@@ -194,11 +207,21 @@ def test_repeated_passages(spark, parts):
         got = Counter(tuple(r) for r in passage_dedup.repeated_passages(docs(spark, rows)).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    # repeated rows are one key, so their span is given for each of the rows
-    assert set(got) == set(want)
+    assert got == want
     assert passage_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_of_very_long_texts(spark):
+    """A passage deep inside texts of 60 000 words, one at a text's very end, and one word of a million letters, twice."""
+    rng = random.Random(13)
+    texts = [sentence(rng, n, 10**9).split() for n in (60_000, 60_000, 200)]
+    deep, last = (sentence(rng, n, 10**9).split() for n in (60, 50))
+    texts[0][50_000:50_060], texts[1][10:70], texts[2][-50:], texts[1][-50:] = deep, deep, last, last
+    rows = [*enumerate(map(" ".join, texts)), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, None)]
+    got = sorted(tuple(r) for r in passage_dedup.repeated_passages(docs(spark, rows)).collect())
+    assert got == [(0, 50_000, 50_060, 60), (1, 10, 70, 60), (1, 59_950, 60_000, 50), (2, 150, 200, 50)]
+
+
 @pytest.mark.parametrize(("parts", "block"), [(1, 1 << 14), (1, 100), (6, 1 << 14)])
 def test_passages_around_a_frequent_line(spark, parts, block):
     """Copies '35 own words + a line' whose neighbours in suffix order are other texts with that line."""
