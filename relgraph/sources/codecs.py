@@ -124,38 +124,12 @@ def write_binary(e: DataFrame, uri: str, parts: int, split: bool = False) -> lis
 
     ``uri`` is a folder that all executors can write to by ``pyarrow.fs`` (a shared ``file:`` folder, HDFS, an object store). A
     task writes to names of its own and the driver renames those of the attempt that was counted, so a lost executor leaves
-    only files that nothing names."""
-    import uuid as ids
+    only files that nothing names. A task holds a batch of edges, however many a vertex or a part has."""
+    from .graph_files import write_packed_files, write_split_parts
 
-    from pyarrow import fs
-
-    lists = e.select("src", "dst").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pandas as pd
-
-        out, root = fs.FileSystem.from_uri(uri)
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        f = pd.concat(got)
-        for part, own in f.groupby("part"):
-            own, name = own.sort_values("src"), f"{root}/.{ids.uuid4().hex}"
-            src, targets = own["src"].to_numpy(), list(own["neighbours"])
-            for kind, data in zip(("-nodes", "-edges"), encode_split(src, targets), strict=True) if split else [("", encode_packed(src, targets))]:
-                with out.open_output_stream(name + kind) as stream:
-                    stream.write(data)
-            yield pd.DataFrame({"part": [part], "name": [name]})
-
-    store, root = fs.FileSystem.from_uri(uri)
-    store.create_dir(root)
-    placed = lists.withColumn("part", F.pmod("src", F.lit(parts)).cast("long")).repartition(parts, "part")
-    paths = []
-    for r in placed.mapInPandas(run, "part long, name string").collect():  # a row a file
-        for kind in ("-nodes", "-edges") if split else ("",):
-            store.move(f"{r.name}{kind}", f"{root}/part-{r.part}{kind}")
-        paths.append(f"{uri}/part-{r.part}")
-    return sorted(paths)
+    if split:
+        return sorted(write_split_parts(e, uri, F.pmod("src", F.lit(parts)), parts).values())
+    return write_packed_files(e, uri, parts, index=False)
 
 
 def decode_nodes(nodes: bytes, cumulative: bool = False, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:

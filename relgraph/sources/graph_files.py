@@ -218,8 +218,8 @@ def read_packed_cut(cut: Cut) -> Iterator[pa.RecordBatch]:
     raise ValueError(f"{cut.path}: {cut.end} edges named, {total} found")
 
 
-def write_packed_files(e: DataFrame, uri: str, parts: int, edges: int = PART_EDGES) -> list[str]:
-    """Packed files, vertex v in part ``v % parts``, sorted, and their indices. Degrees are joined to the edges, so that a record's
+def write_packed_files(e: DataFrame, uri: str, parts: int, edges: int = PART_EDGES, index: bool = True) -> list[str]:
+    """Packed files, vertex v in part ``v % parts``, sorted, and unless told otherwise their indices. Degrees are joined to the edges, so that a record's
     head is known before its targets: a task holds a batch of edges, however many a vertex has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def write_packed_files(e: DataFrame, uri: str, parts: int, edges: int = PART_EDG
     for r in rows.repartition(parts, "part").sortWithinPartitions("part", "src", "dst").mapInArrow(run, "part long, name string").collect():  # a row a file
         store.move(r.name, f"{root}/part-{r.part}")
         paths.append(f"{uri}/part-{r.part}")
-    return index_packed(e.sparkSession, sorted(paths), edges)
+    return index_packed(e.sparkSession, sorted(paths), edges) if index else sorted(paths)
 
 
 class EdgeReader(DataSourceReader):
@@ -374,29 +374,31 @@ def write_split_parts(e: DataFrame, uri: str, part: Column, tasks: int) -> dict[
         out, root = fs.FileSystem.from_uri(uri)
         names: dict[int, str] = {}
         streams: dict = {}
-        now, degree = (None, None), 0
+        last = np.empty((0, 2), np.int64)  # the vertex whose edges may go on, and how many it has so far
 
         def close() -> None:
             if streams:
-                streams["-nodes"].write(_ids([now[1], degree]).tobytes())
+                streams["-nodes"].write(_ids(last.ravel()).tobytes())
                 for stream in streams.values():
                     stream.close()
 
         for batch in batches:
             p, src, dst = (batch.column(k).to_numpy() for k in range(3))
-            if not len(p):
-                continue
-            first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (src[1:] != src[:-1])))
-            for k, n in zip(first.tolist(), np.diff(np.append(first, len(p))).tolist(), strict=True):
-                here = int(p[k]), int(src[k])
-                if here[0] != now[0]:
+            for own in np.split(np.arange(len(p)), np.flatnonzero(p[1:] != p[:-1]) + 1) if len(p) else []:
+                here, ids = int(p[own[0]]), src[own]
+                if here not in names:
                     close()
-                    names[here[0]] = f"{root}/.{uuid.uuid4().hex}"
-                    streams = {kind: out.open_output_stream(names[here[0]] + kind) for kind in ("-nodes", "-edges")}
-                elif here != now:
-                    streams["-nodes"].write(_ids([now[1], degree]).tobytes())
-                degree, now = (degree if here == now else 0) + n, here
-                streams["-edges"].write(_ids(dst[k : k + n]).tobytes())
+                    names[here], last = f"{root}/.{uuid.uuid4().hex}", last[:0]
+                    streams = {kind: out.open_output_stream(names[here] + kind) for kind in ("-nodes", "-edges")}
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                heads = np.stack([ids[first], np.diff(np.append(first, len(ids)))], 1)
+                if len(last) and last[0, 0] == heads[0, 0]:
+                    heads[0, 1] += last[0, 1]
+                else:
+                    heads = np.concatenate([last, heads])
+                last = heads[-1:]
+                streams["-nodes"].write(_ids(heads[:-1].ravel()).tobytes())
+                streams["-edges"].write(_ids(dst[own]).tobytes())
         close()
         yield pa.record_batch([pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())], names=["part", "name"])
 
