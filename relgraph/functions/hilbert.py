@@ -1,6 +1,6 @@
 """The Hilbert curve as Spark expressions, in two forms that agree.
 
-:func:`hilbert_key` and :func:`hilbert_cell` fold over the bits by a higher-order function, which Spark interprets row by row.
+:func:`hilbert_key` and :func:`hilbert_cell` fold over the bits, a batch of rows at a time as arrays.
 :func:`with_key` and :func:`with_cell` take four bits of both coordinates at a time by a table of the curve's four
 orientations: eight look-ups in a row of projections, inside whole-stage code.
 """
@@ -9,49 +9,85 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = 32
 
 
+def _by_arrays(fold, returned: str, *columns: str | Column) -> Column:
+    """``fold`` over batches of long columns as int64 arrays; rows with a null get null."""
+    import pandas as pd
+
+    def run(*series):
+        some = ~pd.concat(series, axis=1).isna().any(axis=1).to_numpy()
+        found = fold(*(s[some].to_numpy(np.int64) for s in series))
+        if isinstance(found, dict):
+            return pd.DataFrame({k: _spread(v, some) for k, v in found.items()})
+        return _spread(found, some)
+
+    def _spread(values, some):
+        out = pd.Series(np.zeros(len(some), np.int64)).astype("Int64" if not some.all() else "int64")
+        out[some] = values
+        if not some.all():
+            out[~some] = pd.NA
+        return out
+
+    return F.pandas_udf(run, returned)(*[c if isinstance(c, Column) else F.expr(f"cast({c} as bigint)") for c in columns])
+
+
 def hilbert_key(x: str, y: str, levels: int = LEVELS) -> Column:
     """Position of the cell (x, y) on a curve of ``levels`` levels. Ids are below 2**31, so that with 32 levels the key fits a
     signed long; others raise."""
-    fold = f"""aggregate(
-        sequence({levels - 1}, 0, -1),
-        named_struct('x', cast({x} as bigint), 'y', cast({y} as bigint), 'd', 0L),
-        (s, i) -> named_struct(
-            'x', if((shiftright(s.y, i) & 1) = 0, if((shiftright(s.x, i) & 1) = 1, (shiftleft(1L, i) - 1) - (s.y & (shiftleft(1L, i) - 1)), s.y & (shiftleft(1L, i) - 1)), s.x & (shiftleft(1L, i) - 1)),
-            'y', if((shiftright(s.y, i) & 1) = 0, if((shiftright(s.x, i) & 1) = 1, (shiftleft(1L, i) - 1) - (s.x & (shiftleft(1L, i) - 1)), s.x & (shiftleft(1L, i) - 1)), s.y & (shiftleft(1L, i) - 1)),
-            'd', shiftleft(s.d, 2) | ((3 * (shiftright(s.x, i) & 1)) ^ (shiftright(s.y, i) & 1))),
-        s -> s.d)"""
-    fits = f"({x}) >= 0 and ({y}) >= 0 and ({x}) < 2147483648 and ({y}) < 2147483648"
-    return F.expr(f"if({fits}, {fold}, raise_error('ids must be from 0 to 2^31 - 1'))")
+
+    def fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = np.zeros(len(x), np.int64)
+        for i in range(levels - 1, -1, -1):
+            side = (1 << i) - 1
+            rx, ry = x >> i & 1, y >> i & 1
+            x, y = x & side, y & side
+            turned = side * rx
+            x, y = np.where(ry == 0, y ^ turned, x), np.where(ry == 0, x ^ turned, y)
+            d = d << 2 | (3 * rx ^ ry)
+        return d
+
+    fits = F.expr(f"({x}) >= 0 and ({y}) >= 0 and ({x}) < 2147483648 and ({y}) < 2147483648")
+    checked = F.when(fits, F.expr(f"cast({x} as bigint)")).otherwise(F.raise_error(F.lit("ids must be from 0 to 2^31 - 1")))
+    return _by_arrays(fold, "long", checked, y)
 
 
 def hilbert_key_carried(x: str, y: str, levels: int = LEVELS) -> Column:
     """:func:`hilbert_key` with coordinates left as they are: the fold carries the orientation in place of turning them, as in
     the table (swapped 1, turned round 2). For ids below 2**31."""
-    a, b = f"(shiftright(cast({x} as bigint), i) & 1)", f"(shiftright(cast({y} as bigint), i) & 1)"
-    px, py = f"(if((c.s & 1) = 1, {b}, {a}) ^ shiftright(c.s, 1))", f"(if((c.s & 1) = 1, {a}, {b}) ^ shiftright(c.s, 1))"
-    return F.expr(f"""aggregate(
-        sequence({levels - 1}, 0, -1),
-        named_struct('d', 0L, 's', 0L),
-        (c, i) -> named_struct('d', shiftleft(c.d, 2) | ((3 * {px}) ^ {py}), 's', if({py} = 0, c.s ^ (1 | shiftleft({px}, 1)), c.s)),
-        c -> c.d)""")
+
+    def fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d, s = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for i in range(levels - 1, -1, -1):
+            a, b = x >> i & 1, y >> i & 1
+            crossed = (a ^ b) * (s & 1)
+            px, py = a ^ crossed ^ s >> 1, b ^ crossed ^ s >> 1
+            d = d << 2 | (3 * px ^ py)
+            s = np.where(py == 0, s ^ (1 | px << 1), s)
+        return d
+
+    return _by_arrays(fold, "long", x, y)
 
 
 def hilbert_cell(d: str, levels: int = LEVELS) -> Column:
     """``struct(x, y)`` of a position: the inverse of :func:`hilbert_key`."""
-    rx, ry = f"(shiftright({d}, 2 * i + 1) & 1)", f"((shiftright({d}, 2 * i) & 1) ^ (shiftright({d}, 2 * i + 1) & 1))"
-    side = "(shiftleft(1L, i) - 1)"
-    return F.expr(f"""aggregate(
-        sequence(0, {levels - 1}),
-        named_struct('x', 0L, 'y', 0L),
-        (s, i) -> named_struct(
-            'x', if({ry} = 0, if({rx} = 1, {side} - s.y, s.y), s.x) + shiftleft(cast({rx} as bigint), i),
-            'y', if({ry} = 0, if({rx} = 1, {side} - s.x, s.x), s.y) + shiftleft(cast({ry} as bigint), i)))""")
+
+    def fold(d: np.ndarray) -> dict[str, np.ndarray]:
+        x, y = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+        for i in range(levels):
+            rx = d >> 2 * i + 1 & 1
+            ry = d >> 2 * i & 1 ^ rx
+            side = (1 << i) - 1
+            x, y = np.where(ry == 0, np.where(rx == 1, side - y, y), x), np.where(ry == 0, np.where(rx == 1, side - x, x), y)
+            x, y = x + (rx << i), y + (ry << i)
+        return {"x": x, "y": y}
+
+    return _by_arrays(fold, "x long, y long", d)
 
 
 @lru_cache(maxsize=2)

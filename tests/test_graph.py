@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph.functions import hilbert
-from relgraph.operators import bitmaps, components, generic_join, motifs, pagerank, prep
+from relgraph.operators import bitmaps, components, cubes, generic_join, motifs, pagerank, prep
 from relgraph.operators.iterate import iterate, until
 from relgraph.operators.mis import maximal_independent_set
 from relgraph.plans import catalog
@@ -466,3 +466,50 @@ def test_whole_graph_queries_lose_no_edge(spark):
 def test_no_local_checkpoint():
     found = subprocess.run(["grep", "-rln", "localCheckpoint(", "relgraph"], cwd=Path(__file__).parent.parent, capture_output=True, text=True).stdout
     assert not found
+
+
+@pytest.mark.parametrize(("chunk", "pack", "cell"), [(1 << 21, 1 << 20, 3 << 23), (5, 50, 60)])
+def test_cells_send_no_list_along_an_edge(spark, monkeypatch, chunk, pack, cell):
+    """Triangles, paths and clique counts in cells, of many buckets, small stretches and wide ids too: as by rows, and joined by nothing."""
+    for name, value in (("CHUNK", chunk), ("PACK", pack), ("CELL_EDGES", cell)):
+        monkeypatch.setattr(cubes, name, value)
+    rng = random.Random(chunk)
+    pairs = [(rng.randrange(60) * 37 + (1 << 40), rng.randrange(60) * 37 + (1 << 40)) for _ in range(500)]
+    e = prep.normalize(graphs.local_edges(spark, [*pairs, *((5, v) for _, v in pairs)])).cache()
+    found = motifs.triangles(e, expand=True)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = rows(motifs.triangles(e, expand=True, form="rows"), *"abc")
+    index = generic_join.build_index(e, "src", "dst")
+    bits = cubes.triangle_bits(index.rows, index.edges())
+    assert rows(found, *"abc") == rows(generic_join.expand_values(motifs.triangles(e), "c"), *"abc") == rows(bitmaps.expand_bits(bits, "c"), *"abc") == want
+    assert one(motifs.triangle_count(e)) == one(bitmaps.clique_count(e, 3)) == len(want) > 0
+    sums = motifs.triangle_sums(e)
+    assert rows(sums, *sums.columns) == sorted((*k, len(g), sum(g)) for k, own in itertools.groupby(want, lambda t: t[:2]) for g in [[t[2] for t in own]])
+    for k in (4, 5, 6):
+        assert one(bitmaps.clique_count(e, k)) == motifs.cliques(e, k, form="rows").count()
+    paths = e.alias("x").join(e.alias("y"), F.expr("x.dst = y.src and x.src <> y.dst")).groupBy("x.src", "y.dst").count()
+    assert rows(motifs.two_paths(e), "a", "d", "paths") == sorted(tuple(r) for r in paths.collect())
+    spark.catalog.clearCache()
+
+
+def test_unkeyed_beside_an_index_moves_no_values(spark):
+    """Narrowed once, so that prefixes meet lists and no row for each value is shuffled."""
+    e = graphs.local_edges(spark, [(a, b) for a in range(12) for b in range(a)])
+    atoms = [generic_join.Atom(generic_join.build_unkeyed(e, "src"), None), generic_join.Atom(generic_join.build_index(e, "src", "dst"), "b")]
+    found = generic_join.extend(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), atoms, "c", expand=False)
+    assert "left_semi" not in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi").split("inmemoryrelation")[0]
+    assert sorted((r.a, r.b, c) for r in found.collect() for c in r.c) == [(a, b, c) for a in range(12) for b in range(a) for c in range(1, b)]
+
+
+def test_bits_are_folded_by_arrays(spark):
+    """No higher-order function a row, and nulls stay null."""
+    e = spark.createDataFrame([(5, 10), (None, 3)], "src long, dst long").withColumn("k", hilbert.hilbert_key_carried("src", "dst")).withColumn("c", hilbert.hilbert_cell("k"))
+    assert "aggregate(" not in e._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.k, r.c.x, r.c.y) for r in e.collect()] == [(119, 5, 10), (None, None, None)]
+
+
+def test_edge_sort_sorts_no_part_in_one_task(spark):
+    """A place in a part comes from numbers, not from a window over the part."""
+    plan = catalog.QUERIES["edge_sort"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    spark.catalog.clearCache()
