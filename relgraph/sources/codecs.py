@@ -1,7 +1,7 @@
 """Edge-list formats: text, packed adjacency, split node and edge files, neighbour lists, Parquet.
 
-Binary files are read whole by ``binaryFile`` and decoded by partition; a file is one task's work, so large graphs should be
-kept in many part files (paths, lists and globs are taken) or, better, in Parquet.
+A binary file is one task's work, read in stretches where ``pyarrow.fs`` can open it and else whole by ``binaryFile``, so large
+graphs should be kept in many part files (paths, lists and globs are taken) or, better, in Parquet.
 """
 
 from __future__ import annotations
@@ -63,8 +63,29 @@ def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths)
 
 
+def _streamed(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    """The files' paths, where ``pyarrow.fs`` can open them in tasks; None where only Spark can."""
+    from pyarrow import fs
+
+    files = _binary(spark, paths).select("path")
+    first = files.first()
+    try:
+        return files if first is None or fs.FileSystem.from_uri(first.path) else None
+    except (pa.ArrowException, OSError, ValueError, ImportError):
+        return None
+
+
 def read_packed(spark: SparkSession, paths: str | list[str], limit: int | None = None) -> DataFrame:
-    """Packed adjacency files as edges; ``limit`` edges exactly where given."""
+    """Packed adjacency files as edges; ``limit`` edges exactly where given. Files are read in stretches; what only Spark can
+    open is held whole, a file a row."""
+    from . import graph_files
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with graph_files._open(path) as stream:
+                    for ids, counts, _, targets in graph_files._records(stream):
+                        yield pa.record_batch([pa.array(np.repeat(ids, counts)), pa.array(targets)], names=["src", "dst"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
@@ -74,21 +95,46 @@ def read_packed(spark: SparkSession, paths: str | list[str], limit: int | None =
                 src, dst = decode_packed(content)
                 yield pd.DataFrame({"src": src, "dst": dst})
 
-    e = _binary(spark, paths).select("content").mapInPandas(run, EDGES)
+    files = _streamed(spark, paths)
+    e = _binary(spark, paths).select("content").mapInPandas(run, EDGES) if files is None else files.mapInArrow(stretches, EDGES)
     return e if limit is None else e.limit(limit)
 
 
 def read_packed_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Packed adjacency files as ``key, vs``, a row a record: the lists are taken as they are."""
+    """Packed adjacency files as ``key, vs``, a row a record: the lists are taken as they are, read as by :func:`read_packed`."""
+    from . import graph_files
+
+    def lists(ids: np.ndarray, degrees: np.ndarray, targets: np.ndarray) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum(degrees)]).astype(np.int32)
+        return pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(targets))], names=["key", "vs"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                begin, vertex, held = -1, 0, []  # the record that may go on
+                with graph_files._open(path) as stream:
+                    for ids, counts, begins, targets in graph_files._records(stream):
+                        if not len(ids):
+                            continue
+                        if begin == begins[0]:
+                            held.append(targets[: counts[0]])
+                            ids, counts, begins, targets = ids[1:], counts[1:], begins[1:], targets[counts[0] :]
+                        if len(ids):
+                            if begin >= 0:
+                                yield lists(np.array([vertex]), np.array([sum(map(len, held))]), np.concatenate(held))
+                            split = len(targets) - int(counts[-1])
+                            yield lists(ids[:-1], counts[:-1], targets[:split])
+                            begin, vertex, held = int(begins[-1]), int(ids[-1]), [targets[split:]]
+                if begin >= 0:
+                    yield lists(np.array([vertex]), np.array([sum(map(len, held))]), np.concatenate(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                ids, degrees, targets = _records(content)
-                ends = np.concatenate([[0], np.cumsum(degrees)]).astype(np.int32)
-                yield pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(targets))], names=["key", "vs"])
+                yield lists(*_records(content))
 
-    return _binary(spark, paths).select("content").mapInArrow(run, "key long, vs array<long>")
+    files, schema = _streamed(spark, paths), "key long, vs array<long>"
+    return _binary(spark, paths).select("content").mapInArrow(run, schema) if files is None else files.mapInArrow(stretches, schema)
 
 
 def write_packed(e: DataFrame, path: str) -> None:
@@ -186,7 +232,23 @@ def read_split_degrees(spark: SparkSession, prefixes: list[str], cumulative: boo
 
 
 def read_split(spark: SparkSession, prefixes: list[str], cumulative: bool = False) -> DataFrame:
-    """Graphs kept as ``PREFIX-nodes`` and ``PREFIX-edges``; with ``cumulative`` the prefixes are parts 0, 1, ... of the graph."""
+    """Graphs kept as ``PREFIX-nodes`` and ``PREFIX-edges``; with ``cumulative`` the prefixes are parts 0, 1, ... of the graph.
+    Pairs of files are read in stretches, but for cumulative ones and those that only Spark can open."""
+    from . import graph_files
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                prefix, found = path.removesuffix("-edges"), size // 4
+                named = sum(int(heads[:, 1].sum()) for _, heads in graph_files._heads(prefix, "split"))
+                if named != found:
+                    raise ValueError(f"{named} edges named, {found} found")
+                if found:
+                    yield from graph_files.read_cut(graph_files.Cut(prefix, end=found), "split")
+
+    edges = [f"{p}-edges" for p in prefixes]
+    if not cumulative and _streamed(spark, edges) is not None:
+        return _binary(spark, edges).select("path", "length").mapInArrow(stretches, EDGES)
     files = _binary(spark, [f"{p}-{kind}" for p in prefixes for kind in ("nodes", "edges")])
     pairs = files.select(F.regexp_replace("path", "-(nodes|edges)$", "").alias("prefix"), F.regexp_extract("path", "-(nodes|edges)$", 1).alias("kind"), "content")
     both = pairs.groupBy("prefix").agg(F.max(F.when(F.col("kind") == "nodes", F.col("content"))).alias("nodes"), F.max(F.when(F.col("kind") == "edges", F.col("content"))).alias("edges"))

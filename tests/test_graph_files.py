@@ -176,3 +176,35 @@ def test_split_parts(spark, tmp_path):
         assert graph_files.write_split_parts(e.limit(0), f"{tmp_path}/b", F.col("dst"), 2) == {}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_parts_are_sorted_by_many_tasks_and_read_in_stretches(spark, tmp_path, monkeypatch):
+    """A hub's edges lie over several tasks' stretches of one part, and the files come out whole."""
+    e = spark.createDataFrame([(4, k) for k in range(400)] + [(8 * k, k + 1) for k in range(2, 90)] + [(3, 1), (3, 2)], "src long, dst long")
+    want = sorted(map(tuple, e.collect()))
+    tasks = []
+    segments = graph_files._segments
+    monkeypatch.setattr(graph_files, "_segments", lambda *a: tasks.append(found := segments(*a)) or found)
+    packed = codecs.write_binary(e, f"file://{tmp_path}/p", 4)
+    split = codecs.write_binary(e, f"file://{tmp_path}/s", 4, split=True)
+    assert all(len(t[0]) > 2 and len({r.first for r in t[0]}) < len(t[0]) for t in tasks)
+    assert sorted(map(tuple, codecs.read_packed(spark, packed).collect())) == sorted(map(tuple, codecs.read_split(spark, split).collect())) == want
+    lists = codecs.read_packed_lists(spark, packed).collect()
+    assert sorted((r.key, v) for r in lists for v in r.vs) == want and len(lists) == len({a for a, _ in want})
+    assert sorted(map(tuple, codecs.read_split_degrees(spark, split).collect())) == sorted((a, sum(x == a for x, _ in want)) for a in {a for a, _ in want})
+    assert not [f for f in (tmp_path / "p").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+
+
+def test_prefix_files_in_stretches(spark, tmp_path, monkeypatch):
+    """Levels are written and read some blocks at a time: as when they are encoded at once."""
+    monkeypatch.setattr(graph_files, "CHUNK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    cells = sorted({(x * 31 % 700 + (x % 3 << 16), x * 17 % 500) for x in range(900)} | {(x, y) for x in range(16) for y in range(16)})
+    files = graph_files.write_prefixes(spark.createDataFrame(cells, "src long, dst long"), f"file://{tmp_path}/x", 1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(graph_files, "decode_prefixes", None)  # which needs whole levels
+    got = list(graph_files.read_prefixes(files[0]))
+    x, y = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(2))
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == cells and max(map(len, got)) <= 64
+    for level, data in graph_files.encode_prefixes(x, y).items():
+        assert graph_files._open(files[0] + level).read() == data.tobytes()
