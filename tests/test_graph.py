@@ -513,3 +513,10 @@ def test_edge_sort_sorts_no_part_in_one_task(spark):
     plan = catalog.QUERIES["edge_sort"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
     spark.catalog.clearCache()
+
+
+def test_proposals_are_not_validated_by_their_proposer(spark):
+    """By rows, two relations cost a semi-join for each relation's proposals, not two."""
+    found = motifs.triangles(graphs.local_edges(spark, K5), expand=True, form="rows")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    assert found.count() == 10
