@@ -56,6 +56,35 @@ def test_generic_join_forms_agree(spark):
     assert rows(motifs.cliques(e, 4), *"abcd") == rows(motifs.cliques(e, 4, form="rows"), *"abcd") == rows(bitmaps.cliques(e, 4), *"abcd") == want
 
 
+@pytest.mark.parametrize("sides", [(1, 1, 2, 2), (2, 3, 2, 4), (8, 6, 10, 12)])
+def test_extension_within_a_class(spark, monkeypatch, sides):
+    for name, bits in zip(("RUN", "TIMES", "CELL_VALUES", "CELL_PREFIXES"), sides, strict=True):
+        monkeypatch.setattr(generic_join, name, bits)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(-60, 60), rng.randrange(9)) for _ in range(150)] * 2 + [(None, 1)]  # copies of a prefix stay
+    held = sorted({rng.randrange(-70, 70) for _ in range(80)})
+    prefixes = spark.createDataFrame([(y, x) for x, y in pairs], "y long, x long")
+    values = spark.createDataFrame([(v,) for v in held] + [(None,)], "v long")
+    found = generic_join.extend_alike(prefixes, "x", values, lambda c: F.pmod(c, F.lit(3)), "d")
+    assert found.columns == ["y", "x", "d"]
+    assert rows(found, "x", "y", "d") == sorted((x, y, v) for x, y in pairs if x is not None for v in held if v < x and v % 3 == x % 3)
+    assert generic_join.extend_alike(prefixes, "x", values.limit(0), lambda c: c % 3, "d").isEmpty()
+    spark.catalog.clearCache()
+
+
+def test_extension_within_a_class_is_written_small(spark, monkeypatch, tmp_path, n=3000):
+    """A class's result is quadratic, but neighbouring rows are alike and cost a file little, and many tasks share the class."""
+    own = graphs.local_edges(spark, [(97 * i, 97 * i + 1) for i in range(n)])
+    monkeypatch.setattr(graphs, "copart_s", lambda spark, sf_dir: own)
+    catalog.QUERIES["empty_key_extend"](spark, SF).write.parquet(str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    want = n * (n - 1) // 2
+    assert kept.agg(F.count("*"), F.sum("d"), F.sum("src"), F.sum("dst")).first()[:] == (want, 97 * sum(i * (n - 1 - i) for i in range(n)), (a := 97 * sum(i * i for i in range(n))), a + want)
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+    assert sum(files) < want / 2 and len(files) > 2, (sum(files), want, len(files))
+    spark.catalog.clearCache()
+
+
 def test_hub_wider_than_a_row(spark, monkeypatch, width=50):
     """Keys wider than a row are extended by rows and all others by lists, and all come out the same."""
     e = prep.normalize(graphs.local_edges(spark, [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(1, 59)] + [(k, k + 2) for k in range(1, 50)])).cache()
