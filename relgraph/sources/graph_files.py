@@ -2,8 +2,10 @@
 
 Layouts: ``split`` (``PREFIX-nodes`` with pairs vertex, degree; ``PREFIX-edges`` with all targets), ``hilbert`` (blocks of 2^16 by
 2^16 cells along the curve: ``PREFIX-upper`` with x >> 16, y >> 16 and the number of edges, ``PREFIX-lower`` with an edge's low
-16 bits each, the source in the low half), ``prefix`` (four nested levels, see :func:`encode_prefixes`) and ``packed`` (one file of
-records vertex, degree, targets). All numbers are little-endian. The first two are cut at every ``edges`` edges, hubs and full
+16 bits each, the source in the low half), ``prefix`` (four nested levels, see :func:`encode_prefixes`; ids beyond 32 bits have
+``PREFIX-pages`` above them, with x >> 32, y >> 32 and the number of records of the first level) and ``packed`` (one file of records
+vertex, degree, targets). All numbers are little-endian. Ids of ``hilbert`` files are below 2^48, of ``prefix`` files below 2^63; along
+the curve go the squares of 2^31 by 2^31 cells, one after the other. The first two are cut at every ``edges`` edges, hubs and full
 blocks too: cut points come from one pass over the node or block file, of which only they are kept. Packed files are cut in the
 same way where their index says (see :func:`index_packed`). A scan of a range of ``src`` or ``dst`` reads only the cuts that have
 such a vertex or block.
@@ -328,7 +330,7 @@ class EdgeReader(DataSourceReader):
         self.layout = options.get("layout", "split")
         self.paths = json.loads(options["paths"])
         self.edges = int(options.get("edges", PART_EDGES))
-        self.wanted = {end: tuple(json.loads(options.get(end, "null")) or (-(1 << 31), (1 << 32) - 1)) for end in ("src", "dst")}
+        self.wanted = {end: tuple(json.loads(options.get(end, "null")) or (-(1 << 63), (1 << 63) - 1)) for end in ("src", "dst")}
 
     def partitions(self) -> list[InputPartition]:
         if self.layout == "prefix":
@@ -376,9 +378,21 @@ def read_edges(spark: SparkSession, paths: list[str], layout: str, edges: int =
 # --- writing along the curve -------------------------------------------------------------------------------------------
 
 
+def _along_curve(e: DataFrame, parts: int, bits: int) -> DataFrame:
+    """Edges with ids of up to ``bits`` bits, range-partitioned and sorted along the curve, whose keys have 31 bits of either id: squares
+    of as many cells follow one another."""
+    fits = F.least("src", "dst") >= 0
+    fits = fits if bits == 63 else fits & (F.greatest("src", "dst") < 1 << bits)
+    own = [F.when(fits, F.col(c)).otherwise(F.raise_error(F.lit(f"ids must be from 0 to 2^{bits} - 1"))).cast("long").alias(c) for c in ("src", "dst")]
+    rest = [F.col(c).bitwiseAND((1 << 31) - 1).alias(f"__{c}") for c in ("src", "dst")]
+    keyed = hilbert.with_key(e.select(*own).select("src", "dst", *rest), "__src", "__dst")
+    order = [F.shiftright(c, low) for low in (32, 31) for c in ("src", "dst")]
+    return keyed.drop("__src", "__dst").repartitionByRange(parts, *order, "hilbert_key").sortWithinPartitions(*order, "hilbert_key")
+
+
 def _written(laid: DataFrame, uri: str, write, kinds: tuple[str, ...]) -> list[str]:
     """A file set for each partition of ``laid``, by ``write(batches, streams)``, which gives the number of edges. A task writes
-    to names of its own and the driver renames those of the attempt that was counted."""
+    to names of its own and the driver renames those of the attempt that was counted. Files of pages without any go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -387,19 +401,19 @@ def _written(laid: DataFrame, uri: str, write, kinds: tuple[str, ...]) -> list[s
         name = f"{root}/.{uuid.uuid4().hex}"
         streams = {k: out.open_output_stream(name + k) for k in kinds}
         n = write(batches, streams)
-        for stream in streams.values():
+        kept = [k for k in kinds if n and (k != PAGES or streams[k].tell())]
+        for k, stream in streams.items():
             stream.close()
-        if n:
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name])], names=["part", "name"])
-        else:
-            for k in kinds:
+            if k not in kept:
                 out.delete_file(name + k)
+        if n:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([kept])], names=["part", "name", "kinds"])
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root)
     paths = []
-    for r in laid.select("src", "dst").mapInArrow(run, "part long, name string").collect():  # a row a file
-        for kind in kinds:
+    for r in laid.select("src", "dst").mapInArrow(run, "part long, name string, kinds array<string>").collect():  # a row a file
+        for kind in r.kinds:
             store.move(f"{r.name}{kind}", f"{root}/part-{r.part:05d}{kind}")
         paths.append(f"{uri}/part-{r.part:05d}")
     return sorted(paths)
@@ -431,7 +445,7 @@ def write_hilbert(e: DataFrame, uri: str, parts: int) -> list[str]:
             head(block, count)
         return total
 
-    return _written(hilbert.hilbert_layout(e.select("src", "dst"), parts), uri, write, ("-upper", "-lower"))
+    return _written(_along_curve(e, parts, 48), uri, write, ("-upper", "-lower"))
 
 
 def write_split_parts(e: DataFrame, uri: str, part: Column, tasks: int) -> dict[int, str]:
@@ -475,6 +489,7 @@ def _node_pieces(own: list) -> list:
 
 
 LEVELS = {"-high32": "<u4", "-next16": "<u2", "-next08": "u1", "-last08": "u1"}
+PAGES = "-pages"
 
 
 def encode_prefixes(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -530,6 +545,13 @@ def write_prefixes(e: DataFrame, uri: str, parts: int) -> list[str]:
 
     def write(batches: Iterator[pa.RecordBatch], streams: dict) -> int:
         top, total, held = np.empty((0, 2), "<u4"), 0, []
+        page = np.zeros(3, "<i8")  # the one that is being written, and its records so far
+
+        def close() -> None:
+            streams["-high32"].write(top.tobytes())
+            page[2] += len(top)
+            if page[:2].any() or streams[PAGES].tell():
+                streams[PAGES].write(page.tobytes())
 
         def add(cells: np.ndarray) -> None:
             nonlocal top
@@ -540,10 +562,26 @@ def write_prefixes(e: DataFrame, uri: str, parts: int) -> list[str]:
             else:
                 own = np.concatenate([top, own])
             streams["-high32"].write(own[:-1].tobytes())  # the last one may go on
+            page[2] += len(own) - 1
             top = own[-1:]
             for level, data in coded.items():
                 streams[level].write(data.tobytes())
 
+        def add_pages(cells: np.ndarray) -> None:
+            nonlocal top
+            pages = cells >> 32
+            for own in np.split(np.arange(cells.shape[1]), np.flatnonzero((pages[:, 1:] != pages[:, :-1]).any(axis=0)) + 1):
+                now = pages[:, own[0]]
+                if (page[:2] != now).any():
+                    if page[2] or len(top):
+                        if not page[:2].any():  # the first page has a record only where others follow
+                            streams[PAGES].write(np.array([0, 0, page[2] + len(top)], "<i8").tobytes())
+                            streams["-high32"].write(top.tobytes())
+                        else:
+                            close()
+                    page[:], top = [*now, 0], top[:0]
+                add(cells[:, own])
+
         for batch in batches:
             held.append(np.stack([batch.column(k).to_numpy() for k in range(2)]))
             total += len(batch)
@@ -551,20 +589,45 @@ def write_prefixes(e: DataFrame, uri: str, parts: int) -> list[str]:
                 cells = np.concatenate(held, axis=1)
                 end = _open_end(*cells)
                 if end:
-                    add(cells[:, :end])
+                    add_pages(cells[:, :end])
                 held = [cells[:, end:]]
         if total:
-            add(np.concatenate(held, axis=1))
-            streams["-high32"].write(top.tobytes())
+            add_pages(np.concatenate(held, axis=1))
+            close()
         return total
 
-    return _written(hilbert.hilbert_layout(e.select("src", "dst").distinct(), parts), uri, write, tuple(LEVELS))
+    return _written(_along_curve(e.select("src", "dst").distinct(), parts, 63), uri, write, (*LEVELS, PAGES))
+
+
+class _Pages:
+    """What lies beyond 32 bits of the first level's records, once for each."""
+
+    def __init__(self, path: str):
+        self.stream, self.page, self.left = _open(path + PAGES), None, 0
+
+    def take(self, n: int) -> list[np.ndarray]:
+        found = []
+        while n:
+            while not self.left:
+                data = self.stream.read(24)
+                if not data:
+                    raise ValueError(f"levels do not fit: {n} records too many")
+                *self.page, self.left = np.frombuffer(data, "<i8").tolist()
+            used = min(n, self.left)
+            found.append(np.repeat(np.array(self.page, np.int64)[:, None], used, axis=1))
+            n, self.left = n - used, self.left - used
+        return [*np.concatenate(found, axis=1)]
+
+    def close(self) -> None:
+        if self.left or self.stream.read(1):
+            raise ValueError("levels do not fit: records too few")
+        self.stream.close()
 
 
 class _Runs:
     """A level's values, each once for every record of the next level, with those of the levels above; read in stretches."""
 
-    def __init__(self, path: str, level: str, above: _Runs | None = None):
+    def __init__(self, path: str, level: str, above: _Runs | _Pages | None = None):
         self.stream, self.type, self.above = _open(path + level), np.dtype(LEVELS[level]), above
         self.rows, self.left = [np.empty(0, np.int64)], np.empty(0, np.int64)
 
@@ -601,14 +664,18 @@ class _Runs:
 def read_prefixes(path: str) -> Iterator[pa.RecordBatch]:
     """The cells of :func:`write_prefixes`, some at a time of all levels."""
     *upper, lowest = LEVELS
-    runs = None
+    store, name = fs.FileSystem.from_uri(path + PAGES)
+    runs = paged = _Pages(path) if store.get_file_info(name).type == fs.FileType.File else None
     for level in upper:
         runs = _Runs(path, level, runs)
     with _open(path + lowest) as stream:
         while data := stream.read(CHUNK):
             last = np.frombuffer(data, LEVELS[lowest]).astype(np.int64)
             x = y = np.zeros(len(last), np.int64)
-            for values, (low, bits) in zip([last, *runs.take(len(last))], list(hilbert.PREFIXES.values())[::-1], strict=True):
+            groups = runs.take(len(last))
+            if paged:
+                x, y = groups[-2] << 32, groups[-1] << 32
+            for values, (low, bits) in zip([last, *groups[:3]], list(hilbert.PREFIXES.values())[::-1], strict=True):
                 x, y = x | values >> bits << low, y | (values & (1 << bits) - 1) << low
             yield pa.record_batch([pa.array(x), pa.array(y)], names=["src", "dst"])
     runs.close()
